@@ -155,8 +155,9 @@ def collapse_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIPE_TABLES = """
-tabs AS (SELECT l_orderkey AS id, '| part | quantity | price |' || chr(10) || string_agg('| p' || l_partkey || ' | ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' | ' ||
-  CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) || ' |', chr(10) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey)"""
+tab_rows AS (SELECT l_orderkey AS id, l_linenumber, 'p' || l_partkey AS part, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity,
+  '| p' || l_partkey || ' | ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' | ' || CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) || ' |' AS r FROM lineitem),
+tabs AS (SELECT id, '| part | quantity | price |' || chr(10) || string_agg(r, chr(10) ORDER BY l_linenumber, r) AS text FROM tab_rows GROUP BY id)"""
 
 
 def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
