@@ -229,7 +229,7 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), b AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 256 AS bucket, count(*) AS n FROM t GROUP BY ALL)
-SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS tokens, 1.0 AS norm FROM b GROUP BY doc_id""")
+SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS tokens, CAST(1 AS DOUBLE) AS norm FROM b GROUP BY doc_id""")
 def hash_embed_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vectors = X.hashed_vectors(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))

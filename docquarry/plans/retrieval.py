@@ -255,7 +255,7 @@ def intent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_intent(spark, sf_dir).select("query_id", "intent")
 
 
-@query(f"WITH {INTENTS} SELECT query_id, intent, CASE WHEN intent <> 'factual' THEN 0.8 END AS confidence FROM intents")
+@query(f"WITH {INTENTS} SELECT query_id, intent, CASE WHEN intent <> 'factual' THEN CAST(0.8 AS DOUBLE) END AS confidence FROM intents")
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_intent(spark, sf_dir).select("query_id", "intent", "confidence")
 
