@@ -103,17 +103,18 @@ FROM v GROUP BY conv_id"""
 
 OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents),
-s AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS s, w FROM d WHERE len(w) >= 20),
-h AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(array_to_string(w[s : s + 19], ' ')), array_to_string(w[s : s + 4], ' ') ORDER BY doc_id, s) AS k FROM s),
-g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM h WHERE k > 1),
 p AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+s AS (SELECT doc_id, p AS s, count(*) OVER t AS n, string_agg(x, ' ') OVER t AS t FROM p WINDOW t AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+h AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM s WHERE n = 20),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM h WHERE k > 1),
 k AS (SELECT p.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p.p) AS t FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p WHERE g.p IS NULL GROUP BY p.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
-f AS (SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS s, w FROM d WHERE len(w) >= 5),
-r AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, array_to_string(w[s : s + 4], ' ')) AS c FROM f),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+f AS (SELECT doc_id, p AS s, count(*) OVER t AS n, string_agg(x, ' ') OVER t AS t FROM p WINDOW t AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+r AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, t) AS c FROM f WHERE n = 5),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + 4)) AS p FROM r WHERE c > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM d),
 m AS (SELECT doc_id, host, line, i, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS k, len(regexp_extract_all(line, '{_WORDS}')) AS n FROM l WHERE regexp_matches(line, '{_WORDS}')),
