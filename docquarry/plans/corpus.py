@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import safe_id, tokens
+from docquarry.functions import text as T
 from docquarry.operators import chunking as C
 from docquarry.operators import index as X
 from docquarry.plans.registry import query
@@ -213,7 +213,7 @@ def doc_paragraph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {CHUNKS}, t AS (SELECT point_id, unnest({TOKENS}) AS term FROM chunks) SELECT point_id, term, count(*) AS tf FROM t GROUP BY ALL")
-def tokens_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.postings(chunks(spark, sf_dir), "point_id", "text")
 
 
@@ -233,12 +233,12 @@ SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS tokens, CAST(1 AS
 def hash_embed_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vectors = X.hashed_vectors(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
-    return vectors.join(docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("tokens")), "doc_id")
+    return vectors.join(docs.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens")), "doc_id")
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(url, '\.[A-Za-z0-9]+$', ''), '[^0-9A-Za-z_一-鿿-]+', '_', 'g') AS doc_id FROM pages")
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", safe_id(F.col("url")).alias("doc_id"))
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_id(F.col("url")).alias("doc_id"))
 
 
 @query(f"""
