@@ -89,6 +89,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(generate_series(0, CAST(len(h) // 2 - 400 AS BIGINT), 500)) AS base, h FROM d WHERE len(h) >= 800),
+p AS (SELECT doc_id, base, substr(h, 2 * base + 1, 1798) AS h FROM b),
+s AS (SELECT doc_id, base, unnest(generate_series(0, CAST(len(h) // 2 - 400 AS BIGINT))) AS i, h FROM p),
+k AS (SELECT doc_id, base + i AS s, md5(substr(h, 2 * i + 1, 800)) AS k FROM s),
+r AS (SELECT doc_id, s FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+e AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM r),
+g AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM e),
+spans AS (SELECT doc_id, g, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY ALL),
+cut AS (SELECT doc_id, a AS upto, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM spans
+        UNION ALL SELECT d.doc_id, len(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, len(h)),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (upto - since) AS BIGINT)), '' ORDER BY since, upto) AS t FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 OP8 = r"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
            SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -134,4 +151,4 @@ FROM x"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op8_chat": OP8, "op9_window_dedup": OP9, "op10_quality_rules": OP10}
+    return {"op1_decontamination": OP1, "op5_suffix_dedup": OP5, "op8_chat": OP8, "op9_window_dedup": OP9, "op10_quality_rules": OP10}
