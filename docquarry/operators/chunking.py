@@ -131,16 +131,16 @@ def child_windows(docs: DataFrame, text: str, *keep: str, window: int = CHILD_CH
     """(keep..., child, start, chunk): windows at multiples of ``stride``, each cut back to a natural break if one lies at or after the
     next window's start. The last window runs to the end, so every character is in some window."""
     body = lit_text(F.col(text))
-    size = F.length(body)
-    count = F.greatest(F.ceil((size - window) / stride).cast("int"), F.lit(0))
-    rows = docs.withColumn("_body", body).select(*keep, "_body", F.posexplode(F.transform(F.sequence(F.lit(0), count), lambda i: i * stride)).alias("child", "start"), count.alias("_last"))
-    full = F.substring("_body", F.col("start") + 1, F.lit(window))
-    tail = F.reverse(F.substring(full, F.lit(stride + 1), F.lit(window)))
-    spans = [F.when(F.instr(tail, F.reverse(F.lit(b))) > 0, F.length(tail) - F.instr(tail, F.reverse(F.lit(b))) + 1) for b in ("\n\n", "\n", "。", "；", ". ")]
-    cut = F.coalesce(*spans)
-    chunk = F.when((F.col("child") == F.col("_last")) | cut.isNull(), full).otherwise(F.substring(full, F.lit(1), stride + cut))
-    last = F.when(F.col("child") == F.col("_last"), F.substring("_body", F.col("start") + 1, F.length("_body"))).otherwise(chunk)
-    return rows.select(*keep, "child", "start", last.alias("chunk"))
+    count = F.greatest(F.ceil((F.length(body) - window) / stride).cast("int"), F.lit(0))
+    # pieces of one stride each, cut in one pass however long the text is; a window is a piece and the start of the next
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    rows = docs.select(*keep, F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit(""))).alias("_p"), count.alias("_last"))
+    rows = rows.select(*keep, "_p", "_last", F.posexplode("_p").alias("child", "_piece")).filter(F.col("child") <= F.col("_last"))
+    rows = rows.select(*keep, "child", "_piece", F.coalesce(F.get("_p", F.col("child") + 1), F.lit("")).alias("_next"), (F.col("child") == F.col("_last")).alias("_ends"))
+    tail = F.reverse(F.substring("_next", 1, window - stride))
+    cut = F.coalesce(*(F.when(F.instr(tail, b[::-1]) > 0, F.length(tail) - F.instr(tail, b[::-1]) + 1) for b in ("\n\n", "\n", "。", "；", ". ")), F.lit(window - stride))
+    chunk = F.concat("_piece", F.when(F.col("_ends"), F.col("_next")).otherwise(F.substring("_next", F.lit(1), cut)))
+    return rows.select(*keep, "child", (F.col("child") * stride).alias("start"), chunk.alias("chunk"))
 
 
 def search_text(section: Column, summary: Column, body: Column) -> Column:

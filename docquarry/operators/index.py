@@ -35,6 +35,13 @@ def hashed_vectors(frame: DataFrame, key: str, text: str, dim: int = 256) -> Dat
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
+def vectors_of_postings(posted: DataFrame, key: str, dim: int = 256, n: str = "tf") -> DataFrame:
+    """The same vectors from postings (term, key, n), which saves reading the texts again."""
+    counts = posted.groupBy(key, bucket(F.col("term"), dim).alias("bucket")).agg(F.sum(n).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+
+
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf)."""
     return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))

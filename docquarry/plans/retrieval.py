@@ -11,7 +11,7 @@ from docquarry.operators import retrieve as R
 from docquarry.operators import understand as U
 from docquarry.plans.corpus import CHUNKS, chunks, documents
 from docquarry.plans.registry import query
-from docquarry.session import table
+from docquarry.session import Scratch, table
 
 TERMS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
 DIM = 1024
@@ -60,26 +60,36 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def lexical(spark: SparkSession, sf_dir: str, points: DataFrame | None = None, asked: DataFrame | None = None, k: int = R.BM25_K) -> DataFrame:
-    """BM25 hits. ``points`` restricts what may be found, before the ranking; statistics are of all chunks."""
-    rows = chunks(spark, sf_dir)
-    posted = X.postings(rows, "point_id", "text")
-    terms = X.term_stats(posted, rows.count())
+class Index:
+    """The index tables of all chunks, written once for a query: chunks, postings, lengths, term statistics."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        scratch = Scratch(spark, "index")
+        self.chunks = scratch.save("chunks", chunks(spark, sf_dir))
+        self.posted = scratch.save("postings", X.postings(self.chunks, "point_id", "text"))
+        self.lengths = X.doc_stats(self.posted, "point_id")
+        self.terms = X.term_stats(self.posted, self.chunks.count())
+
+
+def lexical(spark: SparkSession, sf_dir: str, points: str | None = None, asked: DataFrame | None = None, k: int = R.BM25_K, index: Index | None = None) -> DataFrame:
+    """BM25 hits. ``points``, a condition, restricts what may be found, before the ranking; statistics are of all chunks."""
+    index = index or Index(spark, sf_dir)
     asked = queries_of(spark, sf_dir) if asked is None else asked
     query_terms = asked.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    if points is not None:
-        return R.bm25(query_terms, posted.join(points, "point_id", "left_semi"), terms, X.doc_stats(posted, "point_id"), k)
-    return R.bm25(query_terms, posted, terms, X.doc_stats(posted, "point_id"), k)
+    posted = index.posted if points is None else index.posted.join(index.chunks.filter(points).select("point_id"), "point_id", "left_semi")
+    return R.bm25(query_terms, posted, index.terms, index.lengths, k)
 
 
-def vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, k: int = R.VECTOR_K) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, k: int = R.VECTOR_K, index: Index | None = None) -> DataFrame:
+    index = index or Index(spark, sf_dir)
     asked = queries_of(spark, sf_dir) if asked is None else asked
-    return R.sparse_cosine(X.hashed_vectors(asked, "query_id", "text", DIM), X.hashed_vectors(chunks(spark, sf_dir), "point_id", "text", DIM), k)
+    return R.sparse_cosine(X.hashed_vectors(asked, "query_id", "text", DIM), X.vectors_of_postings(index.posted, "point_id", DIM), k)
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.fuse(vectors(spark, sf_dir), lexical(spark, sf_dir), R.FUSION_K, R.VECTOR_WEIGHT, R.BM25_WEIGHT)
-    return R.weigh(fused, chunks(spark, sf_dir), spark.createDataFrame(WEIGHTS, "doc_type string, weight double"), "doc_type")
+    index = Index(spark, sf_dir)
+    fused = R.fuse(vectors(spark, sf_dir, index=index), lexical(spark, sf_dir, index=index), R.FUSION_K, R.VECTOR_WEIGHT, R.BM25_WEIGHT)
+    return R.weigh(fused, index.chunks, spark.createDataFrame(WEIGHTS, "doc_type string, weight double"), "doc_type")
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +121,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, point_id, rank, round(score, 6) AS score FROM f""")
 def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter is applied before the ranking, so no query loses recall to it."""
-    return _hits(lexical(spark, sf_dir, chunks(spark, sf_dir).filter("company <> 'src0'").select("point_id")))
+    return _hits(lexical(spark, sf_dir, "company <> 'src0'"))
 
 
 @query("""
@@ -170,7 +180,8 @@ def table_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM}, {VEC}, {FUSED} SELECT query_id, point_id, vector_rank, lexical_rank, round(rrf, 6) AS score FROM fused")
 def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.fuse(vectors(spark, sf_dir), lexical(spark, sf_dir), R.FUSION_K, R.VECTOR_WEIGHT, R.BM25_WEIGHT)
+    index = Index(spark, sf_dir)
+    rows = R.fuse(vectors(spark, sf_dir, index=index), lexical(spark, sf_dir, index=index), R.FUSION_K, R.VECTOR_WEIGHT, R.BM25_WEIGHT)
     return rows.select("query_id", "point_id", "vector_rank", "lexical_rank", F.round("score", 6).alias("score"))
 
 
@@ -227,16 +238,18 @@ r AS (SELECT query_id, point_id, CASE WHEN query_id IN (SELECT query_id FROM poo
   UNION ALL SELECT query_id, point_id, score, 2 FROM bm WHERE query_id IN (SELECT query_id FROM poor) AND NOT EXISTS (SELECT 1 FROM strict s WHERE s.query_id = bm.query_id AND s.point_id = bm.point_id))
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score, stage FROM r""")
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strict = lexical(spark, sf_dir, chunks(spark, sf_dir).filter("doc_type = 'fr'").select("point_id"), k=15)
-    return _hits(R.two_stage(strict, lexical(spark, sf_dir), threshold=20.0, least=16), "stage")
+    index = Index(spark, sf_dir)
+    strict = lexical(spark, sf_dir, "doc_type = 'fr'", k=15, index=index)
+    return _hits(R.two_stage(strict, lexical(spark, sf_dir, index=index), threshold=20.0, least=16), "stage")
 
 
 @query(f"""
 WITH {BM}, {_STRICT}, e AS (SELECT query_id FROM strict GROUP BY query_id HAVING count(*) >= 15)
 SELECT query_id, point_id, rank, round(score, 6) AS score FROM strict SEMI JOIN e USING (query_id) UNION ALL SELECT query_id, point_id, rank, round(score, 6) FROM bm ANTI JOIN e USING (query_id)""")
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strict = lexical(spark, sf_dir, chunks(spark, sf_dir).filter("doc_type = 'fr'").select("point_id"), k=15)
-    return _hits(R.or_unfiltered(strict, lexical(spark, sf_dir), least=15))
+    index = Index(spark, sf_dir)
+    strict = lexical(spark, sf_dir, "doc_type = 'fr'", k=15, index=index)
+    return _hits(R.or_unfiltered(strict, lexical(spark, sf_dir, index=index), least=15))
 
 
 INTENT_RULES = [(1, "comparative", "than"), (1, "comparative", "sowie"), (2, "summary", "les "), (3, "analytical", "und"), (4, "computational", "los ")]
@@ -277,8 +290,9 @@ SELECT query_id, point_id, rank, round(score, 6) AS score FROM f""")
 def intent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary questions only read one kind of document; the filter stands below the ranking."""
     rows = with_intent(spark, sf_dir).select("query_id", "text", "intent")
-    only = lexical(spark, sf_dir, chunks(spark, sf_dir).filter("doc_type = 'fr'").select("point_id"), rows.filter("intent = 'summary'"))
-    return _hits(only.unionByName(lexical(spark, sf_dir, asked=rows.filter("intent <> 'summary'"))))
+    index = Index(spark, sf_dir)
+    only = lexical(spark, sf_dir, "doc_type = 'fr'", rows.filter("intent = 'summary'"), index=index)
+    return _hits(only.unionByName(lexical(spark, sf_dir, asked=rows.filter("intent <> 'summary'"), index=index)))
 
 
 @query("SELECT item_id AS query_id, (contains(text, 'the') OR contains(text, 'les') OR contains(text, 'los')) AND regexp_matches(text, '(and|et|y) ') AS is_metric FROM benchmark")
@@ -366,8 +380,9 @@ WITH {BM}, {VEC}, h AS (SELECT v.query_id, point_id, v.rank, v.score, doc_id FRO
 r AS (SELECT *, 1 AS list FROM h UNION ALL SELECT *, 2 FROM m ANTI JOIN h USING (query_id, doc_id))
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY list, rank, point_id) AS rank, round(score, 6) AS score, list FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list, rank, point_id) <= 10""")
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = chunks(spark, sf_dir).select("point_id", "doc_id")
-    rows = R.backfill(vectors(spark, sf_dir, k=3).join(of, "point_id"), lexical(spark, sf_dir).join(of, "point_id"), "doc_id", 10)
+    index = Index(spark, sf_dir)
+    of = index.chunks.select("point_id", "doc_id")
+    rows = R.backfill(vectors(spark, sf_dir, k=3, index=index).join(of, "point_id"), lexical(spark, sf_dir, index=index).join(of, "point_id"), "doc_id", 10)
     return _hits(rows, "list")
 
 
@@ -377,9 +392,10 @@ WITH {BM}, {VEC}, few AS (SELECT query_id FROM vec WHERE score >= 0.35 GROUP BY
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY list, rank, point_id) AS rank, round(score, 6) AS score, list FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list, rank, point_id) <= 20""")
 def augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a search finds under 6 good hits, what a second search finds is added unseen."""
-    hits = vectors(spark, sf_dir).filter("score >= 0.35")
+    index = Index(spark, sf_dir)
+    hits = vectors(spark, sf_dir, index=index).filter("score >= 0.35")
     enough = hits.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 6").select("query_id")
-    return _hits(R.backfill(hits, lexical(spark, sf_dir).join(enough, "query_id", "left_anti"), "point_id", 20), "list")
+    return _hits(R.backfill(hits, lexical(spark, sf_dir, index=index).join(enough, "query_id", "left_anti"), "point_id", 20), "list")
 
 
 @query(f"""
