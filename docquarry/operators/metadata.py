@@ -49,7 +49,7 @@ def document_type(docs: DataFrame, text: str, keywords: DataFrame, default: str
 
 def normalised(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """``names`` with ``canonical``: the name an alias stands for, else the trimmed name."""
-    table = F.broadcast(aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical")).dropDuplicates(["_alias"]))
+    table = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical")).dropDuplicates(["_alias"])
     rows = names.join(table, F.trim(name) == F.col("_alias"), "left")
     return rows.withColumn("canonical", F.coalesce("_canonical", F.trim(name))).drop("_alias", "_canonical")
 

@@ -140,7 +140,7 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 60, vector_weight: floa
 
 def weigh(hits: DataFrame, points: DataFrame, weights: DataFrame, on: str) -> DataFrame:
     """Scores times the weight of a point's kind (1 where the table has none)."""
-    rows = hits.join(points, "point_id").join(F.broadcast(weights), on, "left")
+    rows = hits.join(points, "point_id").join(weights, on, "left")
     return rows.withColumn("score", F.col("score") * F.coalesce("weight", F.lit(1.0))).drop("weight")
 
 

@@ -57,7 +57,7 @@ def strip_entities(queries: DataFrame, words: list[str], least: int = 4) -> Data
 
 def strategies(queries: DataFrame, table: DataFrame) -> DataFrame:
     """``queries`` (with an intent) and its strategy row."""
-    return queries.join(F.broadcast(table), "intent", "left")
+    return queries.join(table, "intent", "left")
 
 
 def light(intent: Column, n_entities: Column, comparing: Column) -> Column:

@@ -17,7 +17,7 @@ def call_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     rows = calls
     price_in, price_out = (F.lit(p).cast("decimal(12,4)") for p in (PRICE_IN, PRICE_OUT))
     if prices is not None:
-        rows = rows.join(F.broadcast(prices.select("model", F.col("price_in").cast("decimal(12,4)").alias("_in"), F.col("price_out").cast("decimal(12,4)").alias("_out"))), "model", "left")
+        rows = rows.join(prices.select("model", F.col("price_in").cast("decimal(12,4)").alias("_in"), F.col("price_out").cast("decimal(12,4)").alias("_out")), "model", "left")
         price_in, price_out = F.coalesce("_in", price_in), F.coalesce("_out", price_out)
     cost = F.col("prompt_tokens").cast("decimal(18,0)") * price_in + F.col("completion_tokens").cast("decimal(18,0)") * price_out
     return rows.withColumn("cost", F.round(cost / F.lit(1_000_000).cast("decimal(10,0)"), 6).cast("decimal(18,6)")).drop("_in", "_out")

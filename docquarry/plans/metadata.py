@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import metadata as M
+from docquarry.operators.retrieve import small
 from docquarry.plans.corpus import CHUNKS, chunks, documents
 from docquarry.plans.registry import query
 from docquarry.session import table
@@ -44,14 +45,14 @@ def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest known prefix of each part's type."""
     known = _pairs(spark, [("STANDARD",), ("SMALL",), ("S",), ("PROMO",), ("ECO",)], "prefix string")
-    rows = table(spark, sf_dir, "part").join(F.broadcast(known), F.startswith("p_type", "prefix"))
+    rows = table(spark, sf_dir, "part").join(small(known), F.startswith("p_type", "prefix"))
     return rows.groupBy("p_partkey").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 
 @query("SELECT c_custkey, coalesce(r.r_name, trim(n.n_name)) AS canonical FROM customer JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN region r ON r.r_name = trim(n.n_name)")
 def alias_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "region").select(F.col("r_name").alias("alias"), F.col("r_name").alias("canonical"))
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return M.normalised(rows, "n_name", aliases).select("c_custkey", "canonical")
 
 

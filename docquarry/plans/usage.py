@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import estimated_tokens
 from docquarry.operators import evaluate as E
 from docquarry.operators import usage as U
+from docquarry.operators.retrieve import small
 from docquarry.plans.corpus import documents
 from docquarry.plans.registry import query
 from docquarry.plans.retrieval import HYBRID, hybrid, queries_of
@@ -200,7 +201,7 @@ f AS (SELECT query_id, min(rank) AS first, count(DISTINCT doc_id) AS found FROM
 SELECT count(*) AS queries, round(avg(coalesce(found / wanted, 0)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM w LEFT JOIN f USING (query_id)""")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document that contains a query's opening is a true answer."""
-    asked = F.broadcast(queries_of(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("opening")))
+    asked = small(queries_of(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("opening")))
     truth = documents(spark, sf_dir).join(asked, F.contains("text", "opening")).select("query_id", "doc_id")
     return E.recall_mrr(hybrid(spark, sf_dir), truth, "doc_id")
 
