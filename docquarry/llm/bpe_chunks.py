@@ -22,7 +22,6 @@ from docquarry.llm.pieces import between_blanks, encoder, tokenizer
 
 SPAN, MEAN, MOST = 24, 1024, 8192
 MEMO_BYTES = 32 << 20
-SALTS = 16
 
 
 def chunk_ends(data: np.ndarray) -> list[int]:
@@ -119,10 +118,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """``docs`` (did, text) dealt out by what they share; a group that shares a sketch is spread over SALTS tasks."""
+    """``docs`` (did, text) dealt out by range of what they share, so a group that shares a sketch takes as many tasks as its rows need."""
     rows = docs.mapInArrow(_sketches, "did long, text string, sketch long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "sketch", F.pmod(F.xxhash64("did"), F.lit(SALTS))).drop("sketch")
+    return rows.repartitionByRange(parts, "sketch", "did").drop("sketch")
 
 
 class Decoder:
