@@ -364,7 +364,8 @@ def with_spans(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` (did, tag, text and what else it has) with ``whole`` (every byte goes) and ``spans``, arrays of (a, b) to unite."""
     scratch = Scratch(docs.sparkSession, "suffix")
     sums = scratch.save("sums", docs.select("did", "tag", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("size")).filter(F.col("size") >= window))
-    copies = sums.join(sums.groupBy("sum").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tag")).alias("one")), "sum").filter("copies > 1")
+    groups = scratch.save("groups", sums.groupBy("sum").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tag")).alias("one")).filter("copies > 1"))
+    copies = sums.join(groups, "sum")
     copies = scratch.save("copies", copies.select("did", "tag", (F.struct("did", "tag") == F.col("one")).alias("one")).distinct())
     spans = removable_spans(scratch, docs.select("did", "tag", "text"), window)
     spans = spans.join(copies, ["did", "tag"], "left_anti").groupBy("did", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
