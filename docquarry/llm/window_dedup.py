@@ -62,23 +62,27 @@ def _first_level(window: int, gram: int):
 
 def _places(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = batch["at"][i].values
-    return tuple(rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))  # type: ignore[return-value]
+    pos, lo, hi = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    order = np.lexsort((hi, lo, pos))
+    return pos[order], lo[order], hi[order]
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash of each range of words, in blocks."""
+def _codes(data: np.ndarray, kinds: int) -> list[np.ndarray]:
+    """One or two independent codes of every word."""
     starts, ends = word_spans(data)
-    out = [np.empty(len(start), np.int64) for _ in range(2)]
-    order = np.argsort(start, kind="stable")
-    codes = [word_codes(data, starts, ends, which) for which in (0, 1)]
-    for first in range(0, len(starts), BLOCK):
-        i, j = np.searchsorted(start[order], (first, first + BLOCK))
+    return [word_codes(data, starts, ends, which) for which in range(kinds)]
+
+
+def _hashes(codes: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """64 bits of hash for each kind of code of each range of words, in blocks; ``start`` rises."""
+    out = [np.empty(len(start), np.int64) for _ in codes]
+    for first in range(0, len(codes[0]), BLOCK):
+        i, j = np.searchsorted(start, (first, first + BLOCK))
         if i < j:
-            here = order[i:j]
-            top = int(end[here].max())
-            for which in (0, 1):
-                out[which][here] = as_long(Rolling(codes[which][first:top], which).ranges(start[here] - first, end[here] - first))
-    return out[0], out[1]
+            top = int(end[i:j].max())
+            for which, kind in enumerate(codes):
+                out[which][i:j] = as_long(Rolling(kind[first:top], which).ranges(start[i:j] - first, end[i:j] - first))
+    return out
 
 
 def _next_level(window: int, gram: int, length: int):
@@ -86,13 +90,12 @@ def _next_level(window: int, gram: int, length: int):
 
     def rows_of(did, tag, data, i, batch):
         pos, lo, hi = _places(batch, i)
-        split = window - length
+        split, codes = window - length, _codes(data, 1)
         for a, b, start in ((lo, np.minimum(hi, split), pos), (np.maximum(lo, split + 1), hi, pos - (length - gram))):
             fits = a <= b
             if fits.any():
                 n = int(fits.sum())
-                h, _ = _hashes(data, start[fits], start[fits] + length)
-                yield h, np.full(n, did), np.full(n, tag), pos[fits].astype(np.int32), a[fits].astype(np.int16), b[fits].astype(np.int16)
+                yield _hashes(codes, start[fits], start[fits] + length)[0], np.full(n, did), np.full(n, tag), pos[fits].astype(np.int32), a[fits].astype(np.int16), b[fits].astype(np.int16)
 
     return _gathered(_ANCHORS, rows_of)
 
@@ -105,7 +108,9 @@ def _areas(window: int):
 
     def rows_of(did, tag, data, i, batch):
         pos, lo, hi = _places(batch, i)
-        h, h2 = _hashes(data, pos - hi, pos - lo + window)
+        order = np.argsort(pos - hi, kind="stable")
+        pos, lo, hi = pos[order], lo[order], hi[order]
+        h, h2 = _hashes(_codes(data, 2), pos - hi, pos - lo + window)
         n = len(pos)
         yield h * 1024 + lo, h2 * 1024 + hi, np.full(n, did), np.full(n, tag), pos.astype(np.int32), lo.astype(np.int16), hi.astype(np.int16)
 
@@ -121,7 +126,7 @@ def _singles(window: int):
         size = hi - lo + 1
         start = np.repeat(pos - hi, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         start = np.unique(start)
-        h, h2 = _hashes(data, start, start + window)
+        h, h2 = _hashes(_codes(data, 2), start, start + window)
         yield h, h2, np.full(len(start), did), np.full(len(start), tag), start.astype(np.int32)
 
     return _gathered(_WINDOWS, rows_of)
@@ -198,7 +203,8 @@ def remove_later_windows(docs: DataFrame, window: int = 20, first: int = 5) -> D
     scratch = Scratch(docs.sparkSession, "windows")
     named = keyed(docs)
     sums = scratch.save("sums", named.select("did", "tag", F.sha2("text", 256).alias("sum")).distinct())
-    later = sums.join(sums.groupBy("sum").agg(F.count("*").alias("n"), F.min(F.struct("did", "tag")).alias("one")).filter("n > 1"), "sum")
+    groups = scratch.save("groups", sums.groupBy("sum").agg(F.count("*").alias("n"), F.min(F.struct("did", "tag")).alias("one")).filter("n > 1"))
+    later = sums.join(groups, "sum")
     later = scratch.save("later", later.filter(F.struct("did", "tag") != F.col("one")).select("did", "tag", F.lit(True).alias("later")))
     spans = later_windows(scratch, named, later, window, first)
     spans = spans.groupBy("did", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
