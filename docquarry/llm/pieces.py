@@ -10,7 +10,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 500_000
 _held: dict[tuple, Encoder] = {}
 
 
@@ -24,7 +24,6 @@ def tokenizer(path: str):
     return out
 
 
-_DOUBLE = re.compile(r"\s\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: Letters of the Latin blocks, then marks that are neither letters, digits, white space nor apostrophes.
@@ -33,17 +32,10 @@ _PLAIN = re.compile(r"( ?)([^\W\d_İɐ-\U0010ffff]*)([.,;:!?#$%&*|<>()\"-]*)")
 
 def before_words(text: str) -> list[str]:
     """Pieces cut before each space that a non-space follows (and round lone line ends): a byte-level tokenizer always starts a word there."""
-    if _DOUBLE.search(text) is not None:
-        return [x for x in _CUT.split(text) if x]
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out += [" " + x for x in rest]
-    return out
+    plain = text.replace("\n", "").isprintable() and not text.endswith((" ", "\n")) and not any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+    if plain:  # the only white space is single spaces and line ends; U+0001 isn't printable, so it isn't there
+        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
+    return [x for x in _CUT.split(text) if x]
 
 
 def between_blanks(text: str) -> list[str]:
@@ -92,7 +84,9 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
-        if plain is None or not piece or piece == " ":
+        if not piece:
+            return b""
+        if plain is None or piece == " ":
             return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         space, word, marks = plain.groups()
         if self.lower:
