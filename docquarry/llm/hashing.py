@@ -119,7 +119,11 @@ def minimizers(codes: np.ndarray, gram: int, window: int, which: int = 0) -> tup
     if not found:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, U)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+    pos, lo, hi, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    # an anchor of windows on both sides of a block's border is one anchor
+    first = np.flatnonzero(np.diff(pos, prepend=-1))
+    last = np.append(first[1:], len(pos)) - 1
+    return pos[first], lo[last], hi[first], h[first]
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

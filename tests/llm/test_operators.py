@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from docquarry.llm import bpe_chunks, chat, decontaminate, line_quality, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
+from docquarry.llm import bpe_chunks, chat, decontaminate, hashing, line_quality, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
 from docquarry.llm.queries import CONTROL, tokenizer_path
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -142,6 +142,30 @@ def test_suffix_dedup_with_many_partial_neighbours(spark):
         same(suffix_dedup.remove_repeats(frame, window), C.repeats(docs, window))
 
 
+def test_minimizers_across_block_borders(monkeypatch):
+    """Blocks change nothing: each anchor comes once, with the whole range of its offsets."""
+    codes = hashing.byte_codes(np.random.RandomState(6).randint(0, 4, 3000).astype(np.uint8))
+    for block in (64, 100, 701):
+        monkeypatch.setattr(hashing, "BLOCK", 1 << 19)
+        whole = hashing.minimizers(codes, 12, 24)
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        for a, b in zip(hashing.minimizers(codes, 12, 24), whole, strict=True):
+            assert a.tolist() == b.tolist()
+        assert len(set(whole[0].tolist())) == len(whole[0])
+
+
+def test_suffix_dedup_of_a_text_longer_than_a_block(spark):
+    """Bytes that stand once stay at block borders too, and a repeat across a border goes whole."""
+    rng = np.random.RandomState(7)
+    once = ["".join(map(chr, rng.randint(97, 123, hashing.BLOCK + 60_000))) for _ in range(2)]
+    border = hashing.BLOCK - 400
+    passage = once[1][border - 500 : border + 500]
+    docs = [(1, once[0]), (2, once[1]), (3, "<" + passage + ">")]
+    kept = [once[0], once[1][: border - 500] + once[1][border + 500 :], "<>"]
+    expected = [(i, len(t), len(t) - len(k), int(t != k), C.sha(k.encode())) for (i, t), k in zip(docs, kept, strict=True)]
+    same(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")), expected)
+
+
 def test_cut_keeps_whole_characters(spark):
     docs = [(1, "é" * 300 + "x", 1), (2, "y" + "é" * 300, 1), (3, "fine", 4), (4, None, None)]
     rows = suffix_dedup.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
