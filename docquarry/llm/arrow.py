@@ -30,7 +30,11 @@ def longs(column: pa.Array) -> np.ndarray:
 def keyed(docs: DataFrame) -> DataFrame:
     """``did`` and ``tag`` name a row's document: its id (null has a place of its own) and a hash of its text,
     so two texts under one id stay apart. Only these and the text go on: clashing extra columns don't matter."""
-    return docs.select(id_of(F.col("doc_id")).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def id_of(doc_id: Column) -> Column:

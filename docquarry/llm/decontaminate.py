@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrow import id_back, id_of
+from docquarry.llm.arrow import id_back, id_of, text_tag
 from docquarry.session import Scratch
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,6 +46,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, prefix: i
     A document word within any occurrence of an item's window is hit; an item of fewer words than the window is one window.
     Contaminated: at least one word in ``share`` is hit. Null and empty texts have no words and are clean, items without words
     match nothing, an empty benchmark leaves all clean; repeated rows each get their row; other columns are ignored."""
+    return _contamination(docs, items, window, prefix, share).drop("did", "tag")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int = 13, prefix: int = 5, share: int = 20) -> DataFrame:
+    """What contamination gives, with the (did, tag) of each row."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.save("windows", item_windows(items, window))
     at = windows.withColumn("size", F.least(F.size("w"), F.lit(prefix)))
@@ -55,7 +60,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, prefix: i
     at = scratch.save("shingles", at.select("window", "items", F.size("w").alias("len"), "off", hashed.alias("h")))
     rows = at.count()
 
-    named = docs.select(id_of(F.col("doc_id")).alias("did"), F.xxhash64("text").alias("tag"), words(F.col("text")).alias("w"))
+    named = docs.select(id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"), words(F.col("text")).alias("w"))
     # one place more than there are words, so that each document keeps a row
     places = named.select("did", "tag", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
     here = [shingle(F.col("w"), F.col("pos"), k) for k in sizes] or [F.lit(None).cast("long")]
@@ -79,12 +84,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, prefix: i
     )
     out = out.withColumn("row", F.explode(F.array_repeat(F.lit(0), (F.col("rows") / len(here)).cast("int"))))
     return out.select(
-        id_back(F.col("did")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "did", "tag", id_back(F.col("did")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
-    """``docs`` without its contaminated documents; a null doc_id is kept only if no null-id document is contaminated."""
-    bad = contamination(docs, items, **how).filter("contaminated").select(id_of(F.col("doc_id")).alias("bad_id")).distinct()
-    return docs.join(bad, id_of(docs["doc_id"]) == bad["bad_id"], "left_anti")
+    """``docs`` without its contaminated documents; each text under one doc_id, null or not, is judged by itself."""
+    bad = _contamination(docs, items, **how).filter("contaminated").select(F.col("did").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct()
+    return docs.join(bad, (id_of(docs["doc_id"]) == bad["bad_id"]) & (text_tag(docs["text"]) == bad["bad_tag"]), "left_anti")

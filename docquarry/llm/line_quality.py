@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrow import id_back, id_of, longs, texts
+from docquarry.llm.arrow import id_back, id_of, longs, text_tag, texts
 from docquarry.llm.hashing import WHITE, Rolling, word_codes, word_spans
 from docquarry.session import Scratch
 
@@ -77,7 +77,11 @@ def common_lines(lines: DataFrame, most: int, share: float, sizes: DataFrame) ->
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(id_of(F.col("doc_id")).alias("did"), F.xxhash64(text).alias("tag"), text.alias("text"), F.coalesce(F.concat(F.lit("h"), F.col("source").cast("string")), F.lit("")).alias("host"))
+    return docs.select(id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"), text.alias("text"), _host(F.col("source")).alias("host"))
+
+
+def _host(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), source.cast("string")), F.lit(""))
 
 
 def _depleted(scratch: Scratch, named: DataFrame, most: int, share: float) -> DataFrame:
@@ -95,6 +99,12 @@ def quality(docs: DataFrame, most: int = 20, share: float = 0.05, left: float =
     is rejected when the lines that are common on its host (see common_lines) leave less than ``left`` of its words.
     Null and empty texts have no words and fail; a null source is a host of its own; repeated rows each get their row; an empty table gives
     no rows; other columns are ignored."""
+    out = _judged(docs, most, share, left, least_words, repeat_percent)
+    return out.select(id_back(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, most: int, share: float, left: float = 0.2, least_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+    """The statistics and verdict of each row of ``docs``, by (did, tag)."""
     scratch = Scratch(docs.sparkSession, "quality")
     named = _keyed(docs)
     gone = scratch.save("gone", _depleted(scratch, named, most, share).groupBy("did", "tag", "host").agg(F.sum("words").alias("gone")).groupBy("did", "tag").agg(F.max("gone").alias("gone")))
@@ -102,17 +112,22 @@ def quality(docs: DataFrame, most: int = 20, share: float = 0.05, left: float =
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     out = stats.join(gone, ["did", "tag"], "left").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_words") - F.coalesce("gone", F.lit(0)) >= F.col("n_words") * left)
-    return out.select(id_back(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return out.withColumn("kept", kept)
 
 
 def keep_good(docs: DataFrame, most: int = 20, share: float = 0.05, **how: float) -> DataFrame:
-    """``docs`` without rejected documents and, in the rest, without the lines above the limits; n_chars follows."""
+    """``docs`` without rejected documents and, in the rest, without the lines above the limits; n_chars follows.
+
+    Each text under one doc_id, null or not, is judged and cut by itself, and by each of its hosts."""
     scratch = Scratch(docs.sparkSession, "quality")
     named = _keyed(docs)
     gone = _depleted(scratch, named, most, share).groupBy("did", "tag", "host").agg(F.collect_set("at").alias("gone_lines"))
-    verdict = quality(docs, most, share, **how).filter("kept").select(id_of(F.col("doc_id")).alias("did"), F.lit(True).alias("kept")).distinct()
-    marks = scratch.save("marks", verdict.join(gone.drop("tag", "host").dropDuplicates(["did"]), "did", "left").withColumnRenamed("did", "marked"))
-    out = docs.join(marks, id_of(docs["doc_id"]) == marks["marked"])
+    verdict = _judged(docs, most, share, **how).filter("kept").select("did", "tag").distinct()
+    hosts = named.select("did", "tag", "host").distinct()
+    marks = verdict.join(hosts, ["did", "tag"]).join(gone, ["did", "tag", "host"], "left")
+    marks = scratch.save("marks", marks.withColumnsRenamed({"did": "marked", "tag": "marked_tag", "host": "marked_host"}))
+    here = (id_of(docs["doc_id"]) == marks["marked"]) & (text_tag(docs["text"]) == marks["marked_tag"]) & (_host(docs["source"]) == marks["marked_host"])
+    out = docs.join(marks, here)
     text = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone_lines", s.i)), lambda s: s.x), "\n")
     out = out.withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(text))
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

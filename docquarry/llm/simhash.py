@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrow import id_back, id_of, longs, texts
+from docquarry.llm.arrow import id_back, id_of, keyed, longs, text_tag, texts
 from docquarry.llm.graph import components
 from docquarry.session import Scratch
 
 SEED = 42
-_PRINTS = pa.schema([("did", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -47,7 +47,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(data.tobytes(), shingle) for data in texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([pa.array(longs(batch["did"])), pa.array(found, pa.int64())], schema=_PRINTS)
+            yield pa.RecordBatch.from_arrays([pa.array(longs(batch["did"])), pa.array(longs(batch["tag"])), pa.array(found, pa.int64())], schema=_PRINTS)
 
     return run
 
@@ -76,15 +76,11 @@ def bit_cells(fp: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    return docs.select(id_of(F.col("doc_id")).alias("did"), "text").mapInArrow(_fingerprints(shingle), "did long, fp long")
+    return keyed(docs).mapInArrow(_fingerprints(shingle), "did long, tag long, fp long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Per row of ``docs``: (doc_id, fingerprint as 16 hex digits, component_id).
-
-    Documents link if their fingerprints differ in 2 bits or fewer; component_id is the least doc_id reachable. Null and empty texts
-    have fingerprint zero, which links like any other; repeated rows each get their row; a null doc_id counts as least and its
-    component_id is null; an empty table gives no rows; other columns are ignored."""
+def _linked(docs: DataFrame, shingle: int) -> DataFrame:
+    """(did, tag, fp, root, component) per row of ``docs``: ``root`` names its component, ``component`` is the least did in it."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save("prints", fingerprints(docs, shingle))
     nodes = scratch.save("nodes", prints.groupBy("fp").agg(F.min("did").alias("least")))
@@ -97,15 +93,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save("named", named)
     least = scratch.save("least", named.groupBy("root").agg(F.min("least").alias("component")))
-    of_print = scratch.save("of_print", named.join(least, "root").select("fp", "component"))
+    of_print = scratch.save("of_print", named.join(least, "root").select("fp", "root", "component"))
     scratch.drop("nodes", "shared", "near", "roots", "named", "least")
-    out = prints.join(of_print, "fp")
+    return prints.join(of_print, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Per row of ``docs``: (doc_id, fingerprint as 16 hex digits, component_id).
+
+    Documents link if their fingerprints differ in 2 bits or fewer; component_id is the least doc_id reachable. Null and empty texts
+    have fingerprint zero, which links like any other; repeated rows each get their row; a null doc_id counts as least and its
+    component_id is null; an empty table gives no rows; other columns are ignored."""
+    out = _linked(docs, shingle)
     return out.select(id_back(F.col("did")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back(F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, that of the least doc_id; repeated rows of it go too."""
-    found = near_duplicates(docs, shingle)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_of(F.col("doc_id")).alias("kept_id")).distinct()
-    kept = docs.join(chosen, id_of(docs["doc_id"]) == chosen["kept_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component, that of the least doc_id; repeated rows of it go too.
+
+    Different texts under one doc_id, null or not, are documents of their own."""
+    one = _linked(docs, shingle).groupBy("root").agg(F.min(F.struct("did", "tag")).alias("one"))
+    chosen = one.select(F.col("one.did").alias("kept_id"), F.col("one.tag").alias("kept_tag"))
+    # one (did, tag) is one text and has one fingerprint, so no two components choose the same
+    kept = docs.join(chosen, (id_of(docs["doc_id"]) == chosen["kept_id"]) & (text_tag(docs["text"]) == chosen["kept_tag"]))
+    return kept.dropDuplicates(["kept_id", "kept_tag"]).select(*docs.columns)

@@ -1,5 +1,6 @@
 """Each operator against a plain restatement of its contract, over every awkward case, and over empty tables."""
 
+import random
 import sys
 import zlib
 from collections import Counter
@@ -273,6 +274,23 @@ def test_quality_rules(docs, none):
     assert line_quality.quality(none).collect() == []
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    """Null and repeated ids: no document goes, or loses lines, by what is found of another."""
+    r = random.Random(8)
+    prose = lambda: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(40))
+    menu = "menu of the site with several links"
+    ids = [None] * 8 + [5] * 8
+    docs = [(k, f"{prose()}\n{menu}\n{prose()}" if i % 2 else f"{prose()}\n{prose()}\n{prose()}", "s") for i, k in enumerate(ids)] + [(None, "bad", "s"), (5, "bad", "s"), (5, None, "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(2)
+    rows = lambda out: Counter(map(tuple, out.collect()))
+    good = docs[:16]
+    cut = Counter((k, t.replace(f"\n{menu}\n", "\n"), s) for k, t, s in good)
+    assert rows(line_quality.keep_good(frame, most=5, least_words=10)) == cut
+    assert rows(simhash.one_of_each(spark.createDataFrame(good, "doc_id long, text string, source string"))) == Counter(good)
+    items = spark.createDataFrame([(1, good[3][1]), (2, good[12][1])], "item_id long, text string")
+    assert rows(decontaminate.drop_contaminated(frame, items)) == Counter(d for i, d in enumerate(docs) if i not in (3, 12))
+
+
 def test_common_lines_deplete(spark):
     """A line in many different places of a host goes; copies of a document keep theirs; what is left decides."""
     menu = "menu of the site with several links to follow"
