@@ -206,6 +206,12 @@ def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outline_sections(docs, "t", "doc_id").select("doc_id", "section_order", "title", F.length("body").alias("n_chars"))
 
 
+@query()
+def outline_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as they are, cut at headings of their own."""
+    return C.outline_sections(documents(spark, sf_dir), "text", "doc_id").select("doc_id", "section_order", "title", F.length("body").alias("n_chars"))
+
+
 @query("SELECT doc_id, 'doc_' || doc_id || '_' || (i - 1) AS paragraph_id, p AS paragraph FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS p, unnest(generate_series(1, len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))))) AS i FROM documents)")
 def doc_paragraph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(doubled(), "\n\n")).alias("i", "paragraph"))

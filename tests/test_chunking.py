@@ -1,7 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import half_width, point_id, safe_id, tokens
 from docquarry.operators import chunking as C
+from docquarry.plans import registry
 
 REPORT = "\n".join(
     ["一、公司概况", "公司在年内保持增长。" * 5, "", "3、合并利润表", "项目 2023年 2022年", "", "2、收入合计 100 90", "", "二、重要事项", "其他内容。", "", "| 项目 | 金额 |", "| 收入 | 405.29 |", "", "尾段"]
@@ -72,3 +75,27 @@ def test_text_functions(spark):
     assert one(spark, "年报 2023(修订).pdf", safe_id) == "年报_2023_修订_"
     ids = spark.range(1000).select(point_id(F.lit("pro"), "id").alias("p")).agg(F.count_distinct("p"), F.min("p")).first()
     assert ids[0] == 1000 and ids[1] >= 0
+
+
+def test_sections_of_all_documents(spark, sf_dir, tmp_path):
+    """Documents with headings of their own are cut too, as a plain fold over their lines says."""
+    body = "\n".join(["some words of a section that stand in a line of their own here"] * 9)
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    own = [(-1, f"{body}\n# First part\n{body}\n2. Second part\nshort\n## Third part \n{body}", "s"), (-2, f"1. Only part\n{body}", "s"), (-3, "", "s")]
+    spark.createDataFrame(docs + own, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sections(text):
+        out = [("前言/概述", [])]
+        for line in text.split("\n"):
+            title = re.sub(r"^\s*#{1,6}\s*", "", line, flags=re.A).strip(" ")
+            bad = re.search(r"[。；，：,;:.!?！？]$", title) or re.search(r"\d+(\.\d+)?%|\d+\.\d+|增长|下降|同比|环比", title) or len(title) > 15 and re.search("[，,]", title)
+            bad = bad or len(title) > 20 and re.search("因此|但是|由于|以及|其中|并且", title) or not 3 <= len(title) <= 80 or re.search(C.STATEMENT_TITLE, line)
+            if re.search(C.HEADING, line, re.A) and not bad:
+                out.append((title, []))
+            else:
+                out[-1][1].append(line)
+        return [(i, t, len("\n".join(b))) for i, (t, b) in enumerate(out) if len("\n".join(b)) >= 500]
+
+    rows = sorted(map(tuple, registry.queries()["outline_sections_all"](spark, str(tmp_path)).collect()))
+    assert rows == sorted((d, *s) for d, t, _ in docs + own for s in sections(t or ""))
+    assert [r[2] for r in rows if r[0] < 0] == ["1. Only part", "前言/概述", "First part", "Third part"]
