@@ -28,19 +28,21 @@ def doubled(text: str = "text") -> Column:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(point_id, doc_id, company, doc_type, child, text): plain child windows of all documents; the retrieval corpus."""
     rows = C.child_windows(documents(spark, sf_dir), "text", "doc_id", "source", "lang")
-    return rows.select((F.col("doc_id") * 100_000 + F.col("child")).alias("point_id"), "doc_id", F.col("source").alias("company"), F.col("lang").alias("doc_type"), "child", F.col("chunk").alias("text"))
+    return rows.select((F.shiftleft("doc_id", 24) + F.col("child")).alias("point_id"), "doc_id", F.col("source").alias("company"), F.col("lang").alias("doc_type"), "child", F.col("chunk").alias("text"))
 
 
 #: The same in SQL: windows of 400 at multiples of 320, cut back to the first kind of break found at or after the next start.
-CHUNKS = """
+CHUNKS = r"""
 wins AS (SELECT doc_id, source, lang, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 400) / 320.0) AS BIGINT), 0))) AS child FROM documents WHERE text IS NOT NULL),
 fulls AS (SELECT *, CAST(child * 320 AS BIGINT) AS start, substr(text, CAST(child * 320 + 1 AS BIGINT), 400) AS f, child = greatest(CAST(ceil((length(text) - 400) / 320.0) AS BIGINT), 0) AS last FROM wins),
 tails AS (SELECT *, substr(f, 321) AS t FROM fulls),
 cuts AS (SELECT *, CASE WHEN contains(t, chr(10) || chr(10)) THEN length(t) - strpos(reverse(t), chr(10) || chr(10)) + 1 WHEN contains(t, chr(10)) THEN length(t) - strpos(reverse(t), chr(10)) + 1
   WHEN contains(t, '。') THEN length(t) - strpos(reverse(t), '。') + 1 WHEN contains(t, '；') THEN length(t) - strpos(reverse(t), '；') + 1
   WHEN contains(t, '. ') THEN length(t) - strpos(reverse(t), ' .') + 1 END AS cut FROM tails),
-chunks AS (SELECT doc_id * 100000 + child AS point_id, doc_id, source AS company, lang AS doc_type, child, start,
-  CASE WHEN last THEN substr(text, start + 1) WHEN cut IS NULL THEN f ELSE substr(f, 1, CAST(320 + cut AS BIGINT)) END AS text FROM cuts)"""
+more AS (SELECT *, substr(text, start + 320 + coalesce(cut, 80) + 1, 640 - coalesce(cut, 80)) AS behind FROM cuts),
+chunks AS (SELECT doc_id * 16777216 + child AS point_id, doc_id, source AS company, lang AS doc_type, child, start,
+  CASE WHEN last THEN substr(text, start + 1) ELSE substr(f, 1, CAST(320 + coalesce(cut, 80) AS BIGINT)) ||
+    CASE WHEN strpos(behind, chr(10)) > 1 AND regexp_matches(split_part(behind, chr(10), 1), '^\s*\d+[,.]?\d*\s*(亿元|万元|元|%|每股|占总|同比|增长|下降|收入|利润|分红|股息|净利润|营收|归母)') THEN split_part(behind, chr(10), 1) || chr(10) ELSE '' END END AS text FROM more)"""
 
 
 @query("SELECT doc_id, length(text) AS n_chars, (length(text) - length(replace(text, chr(10) || chr(10), ''))) // 2 + 1 AS page_count FROM documents WHERE length(trim(text)) > 0")
@@ -70,25 +72,27 @@ def parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {CHUNKS}, old AS (SELECT point_id, lang_text FROM (SELECT point_id, md5(text) AS lang_text, doc_type FROM chunks)),
-new AS (SELECT point_id, md5('v2 ' || text) AS lang_text FROM chunks WHERE doc_type = 'fr' UNION ALL SELECT point_id + 50000, md5(text) FROM chunks WHERE doc_type = 'de')
+new AS (SELECT point_id, md5('v2 ' || text) AS lang_text FROM chunks WHERE doc_type = 'fr' UNION ALL SELECT point_id + 8388608, md5(text) FROM chunks WHERE doc_type = 'de')
 SELECT point_id, lang_text AS digest FROM new UNION ALL SELECT point_id, lang_text FROM old WHERE point_id NOT IN (SELECT point_id FROM new)""")
 def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch that rewrites one language's points and adds new ones for another."""
     rows = chunks(spark, sf_dir)
     old = rows.select("point_id", F.md5("text").alias("digest"))
     changed = rows.filter("doc_type = 'fr'").select("point_id", F.md5(F.concat(F.lit("v2 "), "text")).alias("digest"))
-    added = rows.filter("doc_type = 'de'").select((F.col("point_id") + 50_000).alias("point_id"), F.md5("text").alias("digest"))
+    added = rows.filter("doc_type = 'de'").select((F.col("point_id") + (1 << 23)).alias("point_id"), F.md5("text").alias("digest"))
     return S.upsert(old, changed.unionByName(added))
 
 
-PARENTS = """
+PARENTS = r"""
 p0 AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
 p1 AS (SELECT doc_id, p, i FROM (SELECT doc_id, unnest(ps) AS p, unnest(generate_series(1, len(ps))) AS i FROM p0)),
-walk AS (SELECT doc_id, i, p, length(p) AS size, 0 AS g FROM p1 WHERE i = 1
-  UNION ALL SELECT p1.doc_id, p1.i, p1.p, CASE WHEN w.size > 0 AND w.size + length(p1.p) > 2000 THEN length(p1.p) ELSE w.size + length(p1.p) END,
-                   CASE WHEN w.size > 0 AND w.size + length(p1.p) > 2000 THEN w.g + 1 ELSE w.g END FROM walk w JOIN p1 ON p1.doc_id = w.doc_id AND p1.i = w.i + 1),
+p2 AS (SELECT doc_id, p, i, h, coalesce(last_value(CASE WHEN h THEN trim(regexp_replace(p, '^\s*(?:#{1,6}\s+|[一二三四五六七八九十]+、|\d{1,2}[.、]\s*)', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '') AS section
+  FROM (SELECT *, regexp_matches(p, '^\s*(#{1,6}\s+.+|[一二三四五六七八九十]+、.+|\d{1,2}(\.|、)\s*\S.*)$') AS h FROM p1)),
+walk AS (SELECT doc_id, i, p, section, length(p) AS size, 0 AS g FROM p2 WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, x.p, x.section, CASE WHEN flush THEN length(x.p) ELSE x.before + length(x.p) END, CASE WHEN flush THEN x.g + 1 ELSE x.g END
+  FROM (SELECT p2.doc_id, p2.i, p2.p, p2.section, w.size AS before, w.g, w.size > 0 AND (w.size + length(p2.p) > 2000 OR p2.h AND w.size >= 600) AS flush FROM walk w JOIN p2 ON p2.doc_id = w.doc_id AND p2.i = w.i + 1) x),
 tail AS (SELECT doc_id, max(g) AS top, max_by(size, i) AS size FROM walk GROUP BY doc_id),
-parents AS (SELECT w.doc_id, CASE WHEN t.size < 600 AND t.top > 0 THEN least(g, t.top - 1) ELSE g END AS parent, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text
+parents AS (SELECT w.doc_id, CASE WHEN t.size < 600 AND t.top > 0 THEN least(g, t.top - 1) ELSE g END AS parent, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text, arg_min(section, i) AS section
   FROM walk w JOIN tail t USING (doc_id) GROUP BY 1, 2)"""
 
 
@@ -97,18 +101,24 @@ def parent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parents(documents(spark, sf_dir), pieces, "doc_id")
 
 
-@query(f"WITH RECURSIVE {PARENTS} SELECT doc_id, parent, length(text) AS char_count, md5(text) AS digest FROM parents")
+@query(f"WITH RECURSIVE {PARENTS} SELECT doc_id, parent, section, length(text) AS char_count, md5(text) AS digest FROM parents")
 def parents_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parent_rows(spark, sf_dir).select("doc_id", "parent", "char_count", F.md5("text").alias("digest"))
+    return parent_rows(spark, sf_dir).select("doc_id", "parent", "section", "char_count", F.md5("text").alias("digest"))
+
+
+_CLEANED = r"""
+noise AS (SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\s*(第\s*\d+\s*页.*|page\s+\d+.*|\d{1,4}|[-—]\s*\d+\s*[-—]|.*免责声明.*|disclaimer.*)\s*$') AND NOT regexp_matches(x, '^\s*<!--\s*image\s*-->\s*$')), chr(10)) AS text FROM documents)"""
+_OF_CLEANED = PARENTS.replace("coalesce(text, '')", "text").replace("FROM documents", "FROM noise")
 
 
 @query(f"""
-WITH RECURSIVE {PARENTS}, n AS (SELECT doc_id, parent, length(text) AS chars, greatest(CAST(ceil((length(text) - 400) / 320.0) AS BIGINT), 0) + 1 AS c FROM parents)
-SELECT doc_id, count(*) AS parents, CAST(sum(c) AS BIGINT) AS children, CAST(sum(chars) AS BIGINT) AS chars FROM n GROUP BY doc_id""")
+WITH RECURSIVE {_CLEANED}, {_OF_CLEANED}, n AS (SELECT doc_id, section, length(text) AS chars, greatest(CAST(ceil((length(text) - 400) / 320.0) AS BIGINT), 0) + 1 AS c FROM parents)
+SELECT doc_id, count(*) AS parents, CAST(sum(c) AS BIGINT) AS children, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (section <> '') AS sectioned FROM n GROUP BY doc_id""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chunk pipeline, as counts per document."""
-    rows = C.child_windows(parent_rows(spark, sf_dir), "text", "doc_id", "parent", "char_count")
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("child") == 0).alias("parents"), F.count("*").alias("children"), F.sum(F.when(F.col("child") == 0, F.col("char_count"))).alias("chars"))
+    """The whole chunk pipeline, as counts per document; line ends stand for blank lines."""
+    above, below = C.chunk_corpus(documents(spark, sf_dir).withColumn("text", doubled()), "doc_id")
+    parents = above.groupBy("doc_id").agg(F.count("*").alias("parents"), F.sum("char_count").alias("chars"), F.count_if(F.col("section") != "").alias("sectioned"))
+    return parents.join(below.groupBy("doc_id").agg(F.count("*").alias("children")), "doc_id")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, child, start, md5(text) AS digest FROM chunks")
@@ -235,10 +245,10 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), b AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 256 AS bucket, count(*) AS n FROM t GROUP BY ALL)
-SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS tokens, CAST(1 AS DOUBLE) AS norm FROM b GROUP BY doc_id""")
+SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS tokens, round(max(n) / sqrt(sum(n * n)), 6) AS heaviest FROM b GROUP BY doc_id""")
 def hash_embed_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    vectors = X.hashed_vectors(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
+    vectors = X.hashed_vectors(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.max("weight"), 6).alias("heaviest"))
     return vectors.join(docs.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens")), "doc_id")
 
 

@@ -49,6 +49,50 @@ def test_parents_lose_no_text(spark):
     assert [r.text for r in rows if r.doc_id == 2] == ["short"] and not [r for r in rows if r.doc_id == 3]
 
 
+def test_parents_flush_at_sections(spark):
+    pieces = ["intro " * 20, "一、第一节", "a" * 700, "---", "2. Second", "b" * 500, "三、第三节", "c" * 1900, "d" * 200, "e" * 10]
+    rows = C.parents(spark.createDataFrame([(1, pieces)], "doc_id long, ps array<string>"), F.col("ps"), "doc_id").orderBy("parent").collect()
+    assert [(r.section, r.page) for r in rows] == [("", 1), ("Second", 2), ("第三节", 2)]
+    assert rows[1].text == "2. Second\n\n" + "b" * 500 + "\n\n三、第三节" and rows[2].text.endswith("e" * 10)
+
+
+def test_chunk_pipeline(spark):
+    body = "# 收入分析\n" + "正文。" * 250 + "\n\n| 项目 | 金额 |\n| 收入 | 405.29 |\nPage 3\n\n---\n\n# 风险\n" + "内容。" * 220
+    above, below = C.chunk_corpus(spark.createDataFrame([("pro", 1, body), ("pro", 2, None), ("safe", 3, "short")], "collection string, doc_id long, text string"), "collection", "doc_id")
+    rows = above.orderBy("doc_id", "parent").collect()
+    assert [(r.doc_id, r.section, r.page, r.has_table) for r in rows] == [(1, "收入分析", 1, True), (1, "风险", 2, False), (3, "", 1, False)]
+    assert "Page 3" not in rows[0].text and "405.29" in rows[0].table_summary
+    children = below.filter("doc_id = 1").orderBy("parent", "child").collect()
+    assert all(r.section == ("收入分析", "风险")[r.parent] and r.page == r.parent + 1 for r in children)
+    assert children[1].text.startswith("[收入分析] ") and children[0].search_text.startswith("[收入分析]\n") and "[table_data]" in children[0].search_text
+    assert [r.text for r in below.filter("doc_id = 3").collect()] == ["short"]
+
+
+def test_a_figure_line_belongs_to_the_window_before(spark):
+    text = "x" * 340 + "\n405.29亿元 同比增长\n" + "y" * 700
+    rows = C.child_windows(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", "doc_id").orderBy("child").collect()
+    assert rows[0].chunk == "x" * 340 + "\n405.29亿元 同比增长\n" and rows[1].start == 320
+    plain = C.child_windows(spark.createDataFrame([(1, text.replace("405.29亿元", "then"))], "doc_id long, text string"), "text", "doc_id").orderBy("child").collect()
+    assert len(plain[0].chunk) < len(rows[0].chunk)
+
+
+def test_small_text_rules(spark):
+    assert one(spark, "| 营业收入 | 1 |", C.has_financial_table) is True and one(spark, "营业收入\n| a | 1 |", C.has_financial_table) is False
+    assert one(spark, "三、 重要事项", C.section_name) == "重要事项" and one(spark, "## Risks ", C.section_name) == "Risks" and one(spark, "plain", C.section_name) is None
+    files = spark.createDataFrame([("f", "# all\n_生成于 今天\n## one.md\nfirst\n---\nsecond\n## empty\n\n## two.md\nlast"), ("g", None)], "path string, text string")
+    assert [(r.place, r.name, r.body) for r in C.summary_sections(files, "text", "path").collect()] == [(0, "one.md", "first\nsecond"), (1, "two.md", "last")]
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    """200,000 lines in one text: a pass over them, not one for each."""
+    text = "\n".join(["word"] * 100_000 + ["", "# t"] * 50_000)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert C.paragraphs(frame).count() == 50_001
+    assert len(one(spark, text, C.merge_short_lines)) == len(text)
+    above, below = C.chunk_corpus(frame, "doc_id")
+    assert above.agg(F.sum("char_count")).first()[0] > 500_000 and below.count() > 1500
+
+
 def test_children_cover_every_character(spark):
     texts = ["", "x" * 399, "y" * 401, "ab. " * 300, "first\n\n" + "z" * 700 + "\n" + "w" * 900, "句子。" * 400]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
