@@ -30,14 +30,15 @@ def base_unit(unit: Column) -> Column:
     return F.when(unit.isin([n for n, _ in UNITS]), "元").otherwise(unit)
 
 
-def extract_metrics(rows: DataFrame, key: str, text: str, metrics: list[str] | None = None, enough: int = 5, gap: int = 30, most: int = 50) -> DataFrame:
+def extract_metrics(rows: DataFrame, key: str, text: str, metrics: list[str] | None = None, enough: int = 5, gap: int = 30, most: int | None = 50) -> DataFrame:
     """(key, metric, value, unit, raw_text, confidence): metric, separator, number, unit in a line (high); documents with fewer than ``enough``
-    of those also by up to ``gap`` characters between (medium). One row for each (metric, value), ``most`` at most, in reading order."""
+    of those also by up to ``gap`` characters between (medium). One row for each (metric, value), in reading order; figures beyond ``most`` of a
+    document are dropped (None keeps all)."""
     names = "|".join(metrics or DEFAULT_METRICS)
     strict, loose = rf"({names})\s*[:：为是]\s*{NUMBER}\s*{UNIT}", rf"({names})[^\d\n]{{0,{gap}}}?{NUMBER}\s*{UNIT}"
 
     def found(pattern: str, confidence: str) -> DataFrame:
-        hits = rows.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))).alias("place", "raw_text"))
+        hits = rows.select(key, F.posexplode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))).alias("place", "raw_text")).filter("raw_text is not null")
         part = lambda i: F.regexp_extract("raw_text", pattern, i)
         return hits.select(key, "place", part(1).alias("metric"), number(part(2)).alias("n"), part(3).alias("u"), "raw_text", F.lit(confidence).alias("confidence"))
 
@@ -48,13 +49,14 @@ def extract_metrics(rows: DataFrame, key: str, text: str, metrics: list[str] | N
     order = (F.col("confidence"), F.col("place"))
     once = Window.partitionBy(key, "metric", F.round("value", 2)).orderBy(*order)
     rows = both.withColumn("k", F.row_number().over(once)).filter("k = 1")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("k") <= most)
+    if most is not None:
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("k") <= most)
     return rows.select(key, "metric", "value", "unit", "raw_text", "confidence")
 
 
 def dominant_year(rows: DataFrame, key: str, text: str, first: int = 2020, last: int = 2030) -> DataFrame:
     """(key, year): the most frequent year in range, the earlier on ties."""
-    years = rows.select(key, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(20\d{2})"), F.lit(1))).alias("year")).withColumn("year", F.col("year").cast("int"))
+    years = rows.select(key, F.explode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(20\d{2})"), F.lit(1))).alias("year")).withColumn("year", F.col("year").cast("int"))
     counts = years.filter(F.col("year").between(first, last)).groupBy(key, "year").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "year")
     return counts.withColumn("k", F.row_number().over(w)).filter("k = 1").select(key, "year")
@@ -104,6 +106,54 @@ def has_table(text: Column) -> Column:
     return (pipes >= 2) | ((pipes >= 1) & (F.size(lines) <= 3)) | (aligned >= 2)
 
 
+#: Titles of statements, and the words of each kind of statement.
+STATEMENT_TITLES = ["合并利润表", "母公司利润表", "合并资产负债表", "母公司资产负债表", "合并现金流量表", "母公司现金流量表", "合并股东权益变动表", "母公司股东权益变动表"]
+KEYWORD_GROUPS = [
+    ("利润表", ["营业收入", "营业成本", "营业利润", "利润总额", "净利润", "归属于母公司所有者的净利润", "归母净利润", "少数股东损益", "综合收益总额", "营业总收入", "营业总成本", "销售费用", "管理费用", "研发费用", "财务费用", "投资收益", "资产减值损失", "信用减值损失"]),
+    ("资产负债表", ["资产总计", "负债合计", "所有者权益", "流动资产", "非流动资产", "流动负债", "非流动负债", "货币资金", "应收账款", "存货", "固定资产", "无形资产", "短期借款", "长期借款", "应付账款", "股本", "资本公积", "盈余公积", "未分配利润"]),
+    ("现金流量表", ["经营活动产生的现金流量", "投资活动产生的现金流量", "筹资活动产生的现金流量", "现金及现金等价物净增加额", "销售商品、提供劳务收到的现金"]),
+    ("财务指标", ["毛利率", "净利率", "ROE", "净资产收益率", "资产负债率", "流动比率", "速动比率", "每股收益", "每股净资产", "基本每股收益", "稀释每股收益", "加权平均净资产收益率"]),
+]
+
+
+def detect_statement(text: Column, titles: list[str] | None = None, groups: list[tuple[str, list[str]]] | None = None, first: int = 8) -> Column:
+    """STRUCT<title, statement_type, keywords>: the first statement title in a text, its kind, and every keyword it contains.
+
+    Without a title, kind and title are the first group one of whose first ``first`` words it contains; else both are empty."""
+    titles, groups = titles or STATEMENT_TITLES, groups or KEYWORD_GROUPS
+    named = F.coalesce(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in titles))
+    kind = F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, words[:first])), lambda w: F.contains(text, w)), F.lit(name)) for name, words in groups))
+    found = F.coalesce(named, kind, F.lit(""))
+    return F.struct(found.alias("title"), found.alias("statement_type"), finance_keywords(text, [w for _, words in groups for w in words]).alias("keywords"))
+
+
+def with_encoding(parents: DataFrame, children: DataFrame, chars: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Both with statement_type, financial_keywords, encoding_text and prefix_title.
+
+    ``parents`` (id, text, section, company, year), ``children`` (id, parent_id and the same). A child with keywords but without a statement takes its parent's. A table
+    is encoded as a sentence, a text with keywords and a statement behind a prefix of what is known, any other as it is; prefix_title is the beginning
+    of what is encoded where that differs from the text."""
+
+    def marked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_d", detect_statement(F.coalesce("text", F.lit(""))))
+        return rows.withColumns({"statement_type": F.col("_d.statement_type"), "financial_keywords": F.col("_d.keywords")}).drop("_d")
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        sentence = F.when(has_table(text), table_sentence(text, F.col("statement_type"), F.col("company"), F.col("year")))
+        plain = (F.size("financial_keywords") == 0) | (F.coalesce("statement_type", F.lit("")) == "")
+        code = F.coalesce(F.nullif(sentence, F.lit("")), F.when(plain, text), encoding_text(text, F.lit(None).cast("string"), F.col("company"), F.col("section"), F.col("year"), F.col("statement_type")))
+        return rows.withColumn("encoding_text", code).withColumn("prefix_title", F.when(F.col("encoding_text") != text, F.substring("encoding_text", 1, chars)).otherwise(""))
+
+    above = marked(parents)
+    below = marked(children)
+    own = F.when(F.size("financial_keywords") > 0, F.lit(None).cast("string")).otherwise(F.col("statement_type"))
+    titled = F.exists(F.array(*map(F.lit, STATEMENT_TITLES)), lambda t: F.contains(F.col("text"), t))
+    inherited = inherit_title(below.withColumn("_own", F.col("statement_type")).withColumn("statement_type", F.when(titled, F.col("statement_type")).otherwise(own)), above)
+    below = inherited.withColumn("statement_type", F.coalesce(F.nullif("statement_type", F.lit("")), "_own")).drop("_own")
+    return encoded(above), encoded(below)
+
+
 def finance_keywords(text: Column, words: list[str]) -> Column:
     """The vocabulary's words that a text contains, in the vocabulary's order."""
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))

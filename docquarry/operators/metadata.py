@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators.retrieve import small
+from docquarry.operators.retrieve import containing
 
 UNKNOWN = "未知"
 #: Fixed weights of document types; others count 1.
@@ -29,13 +29,15 @@ def year_of(name: Column, head: Column) -> Column:
     return F.coalesce(*(F.coalesce(first_match(name, [p]), first_match(head, [p])) for p in YEAR_PATTERNS), F.lit(UNKNOWN))
 
 
-def company_of(name: Column, head: Column) -> Column:
-    return F.coalesce(first_match(name, COMPANY_PATTERNS[:1]), first_match(head, COMPANY_PATTERNS[1:4]), first_match(name, COMPANY_PATTERNS[4:]), F.lit(UNKNOWN))
+def company_of(name: Column, head: Column, by_code: Column | None = None) -> Column:
+    """The company by report code, by the name's pattern, by labels in the head, by the name's first words."""
+    known = [] if by_code is None else [by_code]
+    return F.coalesce(*known, first_match(name, COMPANY_PATTERNS[:1]), first_match(head, COMPANY_PATTERNS[1:4]), first_match(name, COMPANY_PATTERNS[4:]), F.lit(UNKNOWN))
 
 
 def contained(texts: DataFrame, text: str, vocabulary: DataFrame, key: str, *order: Column) -> DataFrame:
     """``texts`` joined to the first vocabulary row, by ``order``, whose key its text contains."""
-    rows = texts.join(small(vocabulary), F.contains(texts[text], vocabulary[key]))
+    rows = containing(texts, text, vocabulary, key, "doc_id")
     w = Window.partitionBy("doc_id").orderBy(*order)
     return rows.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
 
@@ -54,10 +56,38 @@ def normalised(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     return rows.withColumn("canonical", F.coalesce("_canonical", F.trim(name))).drop("_alias", "_canonical")
 
 
-def extract_metadata(docs: DataFrame, name: str, text: str) -> DataFrame:
-    """``docs`` with company, year (text) and importance by name and the first 2000 characters; unknown values say so."""
-    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, 2000)
-    return docs.withColumns({"company": company_of(F.col(name), head), "year": year_of(F.col(name), head)})
+def title_of(text: Column, cut: int = 80) -> Column:
+    """The first line with a word, without its heading mark."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"^\s*#{1,6}\s*", "")), 1, cut)
+
+
+def extract_metadata(
+    docs: DataFrame, name: str, text: str, codes: DataFrame | None = None, keywords: DataFrame | None = None, brokers: DataFrame | None = None, aliases: DataFrame | None = None, chars: int = 2000,
+) -> DataFrame:
+    """``docs`` (doc_id, ``name``, ``text``, ...) with company, year, doc_type, broker, title and importance, by name and the first ``chars`` characters.
+
+    ``codes`` (info_code, stock): a code within the name gives the company, the first in order. ``keywords`` (doc_type, prio, keyword): see document_type.
+    ``brokers`` (broker): the longest that the name begins with, else empty. ``aliases`` (alias, canonical) normalise companies. Unknown values say so."""
+    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars)
+    rows = docs.select("doc_id", F.coalesce(F.col(name), F.lit("")).alias("_name"), head.alias("_head"))
+    made = rows.select("doc_id", "_name", "_head", F.lit(None).cast("string").alias("_stock"))
+    if codes is not None:
+        found = contained(rows, "_name", codes.select("info_code", F.col("stock").alias("_stock")), "info_code", F.col("info_code"))
+        made = rows.join(found.select("doc_id", "_stock"), "doc_id", "left")
+    made = made.select("doc_id", "_name", "_head", company_of(F.col("_name"), F.col("_head"), F.col("_stock")).alias("_company"), year_of(F.col("_name"), F.col("_head")).alias("year"), title_of(F.col("_head")).alias("title"))
+    if aliases is not None:
+        made = normalised(made, "_company", aliases).drop("_company").withColumnRenamed("canonical", "_company")
+    kinds = made.select("doc_id", F.lit(UNKNOWN).alias("doc_type"))
+    if keywords is not None:
+        kinds = document_type(made.select("doc_id", F.concat_ws("\n", "_name", "_head").alias("_both")), "_both", keywords, UNKNOWN)
+    made = made.join(kinds, "doc_id")
+    if brokers is not None:
+        starts = containing(rows.select("doc_id", "_name"), "_name", brokers.select("broker"), "broker", "doc_id").filter(F.startswith("_name", "broker"))
+        made = made.join(starts.groupBy("doc_id").agg(F.max_by("broker", F.length("broker")).alias("_broker")), "doc_id", "left")
+    broker = F.coalesce("_broker", F.lit("")) if brokers is not None else F.lit("")
+    made = made.select("doc_id", F.col("_company").alias("company"), "year", "doc_type", broker.alias("broker"), "title", importance(F.col("doc_type")).alias("importance"))
+    return docs.join(made, "doc_id")
 
 
 def importance(doc_type: Column) -> Column:
@@ -83,9 +113,14 @@ def derive_aliases(names: DataFrame, strip: str = "(股份|集团|有限公司|
 
 def entity_search(asked: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, name, tier, place): exact, then by alias, then one within the other; longer names first."""
-    both = asked.join(small(names), F.contains("text", "name") | F.contains("name", "text") | F.contains("text", "alias"))
+    asked = asked.select("query_id", "text").filter(F.length("text") >= 2)
+    names = names.select("name", "alias")
+    ways = (containing(asked, "text", names, "name", "query_id"), containing(asked, "text", names, "alias", "query_id"), containing(names, "name", asked, "text", "name"))
+    both = ways[0].select("query_id", "text", "name", "alias")
+    for more in ways[1:]:
+        both = both.unionByName(more.select("query_id", "text", "name", "alias"))
     tier = F.when(F.col("text") == F.col("name"), 1).when(F.contains("text", "alias"), 2).otherwise(3)
-    rows = both.filter(F.length("text") >= 2).groupBy("query_id", "name").agg(F.min(tier).alias("tier"))
+    rows = both.groupBy("query_id", "name").agg(F.min(tier).alias("tier"))
     w = Window.partitionBy("query_id").orderBy("tier", F.length("name").desc(), "name")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
@@ -98,22 +133,26 @@ def summary_route(name: Column, skip: list[str], routes: list[tuple[str, str]],
     return out.otherwise(default)
 
 
-def profile(docs: DataFrame, text: str, least: int = 5000) -> DataFrame:
-    """Documents of at least ``least`` characters."""
-    return docs.withColumn("chars", F.length(text)).filter(F.col("chars") >= least)
+def profile(docs: DataFrame, text: str, least: int = 5000, name: str | None = None, keywords: DataFrame | None = None) -> DataFrame:
+    """Documents of at least ``least`` characters with ``chars``; with a ``name`` column also their type, by keywords in it, and company."""
+    rows = docs.withColumn("chars", F.length(text)).filter(F.col("chars") >= least)
+    if name is None:
+        return rows
+    rows = rows.withColumn("company", company_of(F.col(name), F.substring(text, 1, 2000)))
+    return rows if keywords is None else rows.join(document_type(rows.select("doc_id", name), name, keywords), "doc_id")
 
 
 def keyword_lines(docs: DataFrame, text: str, terms: DataFrame, each: int = 3) -> DataFrame:
     """(doc_id, term, line_no, line): up to ``each`` lines of a document that contain a term."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = lines.join(small(terms), F.contains("line", "term"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
+    rows = containing(lines, "line", terms, "term", "doc_id", "line_no")
     w = Window.partitionBy("doc_id", "term").orderBy("line_no")
     return rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).drop("k")
 
 
 def number_lines(docs: DataFrame, text: str, pattern: str = r"\d|%|亿|万", least: int = 10, most: int = 20) -> DataFrame:
     """(doc_id, line_no, line): the first ``most`` lines of some length with numbers or units."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = lines.filter((F.length("line") >= least) & F.col("line").rlike(pattern))
     return rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")

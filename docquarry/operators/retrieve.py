@@ -1,8 +1,8 @@
 """Retrieval and ranking of a table of queries against a table of chunks.
 
 Hits are rows (query_id, point_id, score, rank); equal scores are ranked by point_id, and scores count to 6 decimals, so a
-ranking doesn't depend on the order in which sums were formed. Filters go below the ranking. A vocabulary joins by ``contains``
-only after a check of its size (see small)."""
+ranking doesn't depend on the order in which sums were formed. Filters go below the ranking. Vocabularies of any size are searched for in
+texts (see containing)."""
 
 from __future__ import annotations
 
@@ -18,15 +18,29 @@ from pyspark.sql import functions as F
 VECTOR_K, BM25_K, FINAL_K = 10, 20, 5
 FUSION_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 1.5, 0.7
 TABLE_BOOST, MIN_SCORE = 1.5, 0.005
-VOCABULARY_ROWS = 100_000
-QUERY_BLOCK = 4096
-
-
-def small(vocabulary: DataFrame, rows: int = VOCABULARY_ROWS) -> DataFrame:
-    """A vocabulary to be broadcast; larger ones are refused, since a ``contains`` join has no other way."""
-    if vocabulary.limit(rows + 1).count() > rows:
-        raise ValueError(f"a vocabulary for substring search may have {rows} rows at most")
-    return F.broadcast(vocabulary)
+#: Vocabularies up to so many rows are broadcast to the texts; larger ones meet them by a gram of each key.
+VOCABULARY_ROWS, GRAM = 2_000, 4
+#: Bytes of a block of vectors that is multiplied as one matrix.
+BLOCK_BYTES = 1 << 20
+
+
+def containing(texts: DataFrame, text: str, vocabulary: DataFrame, key: str, *ids: str, rows: int | None = None) -> DataFrame:
+    """``texts`` joined with each row of ``vocabulary`` whose ``key`` its ``text`` contains; ``ids`` name a text (repeated ids do no harm).
+
+    A vocabulary of at most ``rows`` rows is broadcast. Of a larger one each key is found by its first characters (GRAM at most): a text's
+    different grams join them by equality, without the text, and what meets is then verified. Null texts and keys meet nothing."""
+    rows = VOCABULARY_ROWS if rows is None else rows
+    if vocabulary.limit(rows + 1).count() <= rows:
+        return texts.join(F.broadcast(vocabulary), F.contains(texts[text], vocabulary[key]))
+    keys = vocabulary.select(F.col(key).alias("_key")).filter("_key is not null").distinct().withColumn("_gram", F.substring("_key", 1, GRAM))
+    sizes = sorted(r[0] for r in keys.select(F.length("_gram")).distinct().collect())  # GRAM + 1 numbers at most
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    of_size = lambda n: F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
+    slim = texts.filter(F.col(text).isNotNull()).select(*ids, F.explode(grams).alias("_gram")).distinct()
+    met = slim.join(keys, "_gram").select(*ids, "_key").distinct()
+    found = texts.join(met, list(ids)).filter(F.contains(F.col(text), F.col("_key")))
+    return found.join(vocabulary, found["_key"] == vocabulary[key]).drop("_key")
 
 
 def ranked(hits: DataFrame, score: str = "score", by: str = "query_id", name: str = "rank", tie: str = "point_id") -> DataFrame:
@@ -47,62 +61,99 @@ def bm25(query_terms: DataFrame, posted: DataFrame, terms: DataFrame, lengths: D
     return top(rows.groupBy("query_id", "point_id").agg(F.sum(part).alias("score")).filter("round(score, 6) > 0"), k)
 
 
-def sparse_cosine(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_K) -> DataFrame:
-    """Top k by cosine of sparse normalised vectors (query_id, bucket, weight) and (point_id, bucket, weight)."""
-    q = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
-    return top(vectors.join(q, "bucket").groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")), k)
-
-
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_K, same: str | None = None) -> DataFrame:
     """Top k by inner product of (query_id, embedding[, same]) and (point_id, embedding[, same]); ``same``: a column that must be equal.
 
-    Queries go out in blocks of QUERY_BLOCK vectors, which bounds what is sent to the tasks at once; each task multiplies its batches with a block
-    and passes on its best k of each query only. A query never meets its own row if the two ids are equal."""
-    spark = queries.sparkSession
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    blocks = numbered.select("block").distinct().count()
-    found: DataFrame | None = None
-    for block in range(max(1, blocks)):
-        rows = numbered.filter(F.col("block") == block).drop("block").toPandas()
-        part = vectors.mapInArrow(_block_topk(rows, k, same), "query_id long, point_id long, score double") if len(rows) else spark.createDataFrame([], "query_id long, point_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return top(found, k)
-
-
-def _block_topk(rows: pd.DataFrame, k: int, same: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    ids = rows["query_id"].to_numpy(np.int64)
-    matrix = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]]) if len(rows) else np.zeros((0, 1))
-    groups = rows[same].to_numpy() if same else None
-
-    def best(q: np.ndarray, p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((p, -np.round(s, 6), q))
-        q, p, s = q[order], p[order], s[order]
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        keep = place < k
-        return q[keep], p[keep], s[keep]
+    Both sides are packed into blocks of BLOCK_BYTES. Each task multiplies the query blocks with its own vector blocks and passes on the best k of
+    each query, so no vector passes through the driver. A query never meets its own row if the two ids are equal."""
+    pick = lambda frame, key: frame.select(F.col(key).cast("long").alias("id"), F.array().cast("array<int>").alias("at"), F.col("embedding").cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).cast("long").alias("grp"))
+    return _block_topk(pick(queries, "query_id"), pick(vectors, "point_id"), k, 0)
+
+
+def sparse_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int = VECTOR_K, same: str | None = None) -> DataFrame:
+    """Top k by inner product above 0 of sparse vectors (query_id, bucket, weight) and (point_id, bucket, weight), in blocks as in dense_topk.
+
+    ``same``: a column that must be equal; a query's null binds nothing."""
+
+    def pick(frame: DataFrame, key: str) -> DataFrame:
+        group = F.coalesce(F.when(F.first(same).isNotNull(), F.xxhash64(F.first(same))), F.lit(0)) if same else F.lit(0)
+        rows = frame.groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), F.col("weight").cast("double").alias("w"))).alias("x"), group.cast("long").alias("grp"))
+        return rows.select("id", F.col("x.b").alias("at"), F.col("x.w").alias("v"), "grp")
+
+    return _block_topk(pick(queries, "query_id"), pick(vectors, "point_id"), k, dim)
+
+
+_BLOCK = "n int, ids binary, groups binary, starts binary, at binary, v binary"
+
+
+def _packed(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of (id, at, v, grp) rows: values, and where ``dim`` isn't 0 their places in a vector of ``dim``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                vectors = np.asarray(batch["embedding"].flatten(), np.float64).reshape(batch.num_rows, -1)
-                points = batch["point_id"].to_numpy(zero_copy_only=False)
-                scores = matrix @ vectors.T
-                if groups is not None:
-                    scores[groups[:, None] != batch[same].to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                scores[ids[:, None] == points[None, :]] = -np.inf
-                n = min(k, batch.num_rows)
+        for batch in batches:
+            widest = dim or int(np.diff(batch["v"].offsets.to_numpy()).max(initial=1))
+            size = max(1, BLOCK_BYTES // (8 * max(widest, 1)))
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                starts = part["v"].offsets.to_numpy()
+                columns = [part["id"].to_numpy(), part["grp"].to_numpy(zero_copy_only=False), starts - starts[0], part["at"].flatten().to_numpy().astype(np.int32), part["v"].flatten().to_numpy().astype(np.float64)]
+                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int32())} | {n: [c.tobytes()] for n, c in zip(("ids", "groups", "starts", "at", "v"), columns, strict=True)})
+
+    return run
+
+
+def _matrix(row: dict, dim: int) -> np.ndarray:
+    starts, v = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["v"], np.float64)
+    if not dim:
+        return v.reshape(row["n"], -1)
+    out = np.zeros((row["n"], dim))
+    out[np.repeat(np.arange(row["n"]), np.diff(starts)), np.frombuffer(row["at"], np.int32)] = v
+    return out
+
+
+def _best(q: np.ndarray, p: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((p, -np.round(s, 6), q))
+    q, p, s = q[order], p[order], s[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))[: len(q)]
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[keep], p[keep], s[keep]
+
+
+def _block_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+    lanes = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    # every lane gets each query block and its share of the vector blocks
+    q = queries.mapInArrow(_packed(dim), _BLOCK).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    v = vectors.mapInArrow(_packed(dim), _BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    q = q.select("lane", F.struct("n", "ids", "groups", "starts", "at", "v").alias("q"))
+    pairs = q.join(v.select("lane", F.struct("n", "ids", "groups", "starts", "at", "v").alias("p")), "lane").select("q", "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, matrix, held = b"", np.zeros((0, 0)), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, p = batch["q"][i].as_py(), batch["p"][i].as_py()
+                if q["ids"] != last:  # the pairs of a query block mostly come one after another
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "point_id", "score"])
+                    last, matrix, held = q["ids"], _matrix(q, dim), None
+                ids, points = np.frombuffer(q["ids"], np.int64), np.frombuffer(p["ids"], np.int64)
+                scores = matrix @ _matrix(p, dim).T
+                mine, theirs = np.frombuffer(q["groups"], np.int64)[:, None], np.frombuffer(p["groups"], np.int64)[None, :]
+                scores[(mine != theirs) & ~(bool(dim) & (mine == 0))] = -np.inf
+                if dim:
+                    scores[scores <= 0] = -np.inf
+                else:
+                    scores[ids[:, None] == points[None, :]] = -np.inf
+                n = min(k, len(points))
                 # every score that rounds to at least the n-th best stays, so ties are settled by id
-                floor = np.round(np.partition(scores, -n, axis=1)[:, -n], 6)[:, None] if n < batch.num_rows else np.full((len(ids), 1), -np.inf)
-                i, j = np.nonzero((np.round(scores, 6) >= floor) & (scores > -np.inf))
-                new = (ids[i], points[j], scores[i, j])
-                held = best(*new) if held is None else best(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+                floor = np.round(np.partition(scores, -n, axis=1)[:, -n], 6)[:, None] if n < len(points) else np.full((len(ids), 1), -np.inf)
+                x, y = np.nonzero((np.round(scores, 6) >= floor) & (scores > -np.inf))
+                new = (ids[x], points[y], scores[x, y])
+                held = _best(*(new if held is None else [np.concatenate(z) for z in zip(held, new, strict=True)]), k)
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "point_id", "score"])
 
-    return run
+    return top(pairs.mapInArrow(run, "query_id long, point_id long, score double"), k)
 
 
 def merge_max(*hits: DataFrame, k: int) -> DataFrame:
@@ -115,8 +166,8 @@ def merge_max(*hits: DataFrame, k: int) -> DataFrame:
 
 def expand_queries(queries: DataFrame, synonyms: DataFrame, most: int = 3, each: int = 2) -> DataFrame:
     """(query_id, variant, text): the query, then it with a term replaced by its first synonyms; ``most`` different texts."""
-    words = small(synonyms.filter(F.col("prio") <= each))
-    made = queries.join(words, F.contains(queries["text"], words["term"])).select(
+    words = synonyms.filter(F.col("prio") <= each)
+    made = containing(queries.select("query_id", "text"), "text", words, "term", "query_id").select(
         "query_id", F.col("text").alias("old"), F.replace("text", F.col("term"), F.col("synonym")).alias("text"), "term", "prio"
     )
     rows = made.filter("text <> old").groupBy("query_id", "text").agg(F.min(F.struct("term", "prio")).alias("order"))
@@ -176,6 +227,27 @@ def rerank_flags(hits: DataFrame, gap: float = 0.03, low: float = 0.35, spread:
     )
 
 
+#: What makes a question comparing or conditional.
+COMPARING = r"对比|比较|相比|差异|区别|哪个更|\bversus\b|\bvs\b|\bcompare"
+CONDITIONAL = r"如果|假设|在.{1,20}情况下|\bif\b|\bassuming\b"
+
+
+def rerank_wanted(queries: DataFrame, hits: DataFrame, *patterns: str, intents: tuple[str, ...] = ("analytical", "comparative"), **thresholds: float) -> DataFrame:
+    """(query_id, wanted, reason) for queries (query_id, text, intent, entities): whether re-ranking pays, and the first reason that says so.
+
+    A question of a pattern, of two entities or more, or of such an intent wants it; any other if its scores are close, weak or flat."""
+    found = queries.select("query_id", "text", "intent", F.size("entities").alias("n")).join(rerank_flags(hits, **thresholds), "query_id", "left")
+    asks = lambda p: F.lower("text").rlike(p)
+    reason = F.lit(None).cast("string")
+    for name in ("flat", "weak", "close"):
+        reason = F.when(F.col(name), F.lit(name)).otherwise(reason)
+    reason = F.when(F.col("intent").isin(*intents), F.lit("intent")).otherwise(reason)
+    reason = F.when(F.col("n") >= 2, F.lit("entities")).otherwise(reason)
+    for i, pattern in reversed(list(enumerate(patterns or (COMPARING, CONDITIONAL)))):
+        reason = F.when(asks(pattern), F.lit(f"pattern {i}")).otherwise(reason)
+    return found.select("query_id", reason.isNotNull().alias("wanted"), reason.alias("reason"))
+
+
 def first_of_each(hits: DataFrame, parent: str) -> DataFrame:
     """One hit of each parent, the first by rank, ranked anew."""
     place = Window.partitionBy("query_id", parent).orderBy("rank")
@@ -209,10 +281,12 @@ def backfill(hits: DataFrame, more: DataFrame, parent: str, k: int) -> DataFrame
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("rank").withColumnRenamed("place", "rank")
 
 
-def diverse(hits: DataFrame, group: str, text: str, k: int = 8, each: int = 2) -> DataFrame:
-    """Without repeated points or equal openings; up to ``each`` of each group come first, the best others fill up to k."""
+def diverse(hits: DataFrame, group: str, text: str, k: int = 8, each: int = 2, opening: int | None = 300) -> DataFrame:
+    """Without repeated points or texts; up to ``each`` of each group come first, the best others fill up to k.
+
+    Texts with the same first ``opening`` characters count as repeats, so others with that opening go too; None compares whole texts."""
     order = (F.round("score", 6).desc(), "point_id")
-    once = Window.partitionBy("query_id", F.md5(F.substring(text, 1, 300))).orderBy(*order)
+    once = Window.partitionBy("query_id", F.md5(F.substring(text, 1, opening) if opening else F.col(text))).orderBy(*order)
     rows = hits.dropDuplicates(["query_id", "point_id"]).withColumn("copy", F.row_number().over(once)).filter("copy = 1").drop("copy")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", group).orderBy(*order)))
     pick = Window.partitionBy("query_id").orderBy((F.col("place") > each).cast("int"), *order)
@@ -262,7 +336,34 @@ def documents_of(hits: DataFrame, doc: str, text: str, part: int = 2000, whole:
 
 
 def once_each(queries: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-    """(queries to run, all queries with the id whose answer they share), by a normalised key."""
-    shared = Window.partitionBy(*key)
-    rows = queries.withColumn("answer_id", F.min("query_id").over(shared))
+    """(queries to run, all queries with the id whose answer they share), by a normalised key; counts of a key meet before they are joined."""
+    name = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    first = queries.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.min("query_id").alias("answer_id"))
+    condition = name[0]
+    for more in name[1:]:
+        condition = condition & more
+    rows = queries.join(first, condition).drop(*(f"_{k}" for k in key))
     return rows.filter("query_id = answer_id").drop("answer_id"), rows.select("query_id", "answer_id")
+
+
+def viewpoints(themes: DataFrame, marks: dict[str, str]) -> DataFrame:
+    """(query_id, body): themes (theme_no, theme) with their viewpoints (source, stance, view) as text, a mark for each stance; others get none.
+
+    Themes and viewpoints stand in order of theme_no, then source, then view; a theme without a viewpoint stands alone."""
+    mark = F.lit("")
+    for stance, sign in marks.items():
+        mark = F.when(F.col("stance") == stance, F.lit(sign)).otherwise(mark)
+    line = F.when(F.col("view").isNotNull(), F.concat(F.lit("- "), mark, F.lit("["), F.coalesce("source", F.lit("")), F.lit("] "), "view"))
+    held = themes.groupBy("query_id", "theme_no", "theme").agg(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("source", "view", line.alias("line"))))).alias("v"))
+    block = F.array_join(F.concat(F.array(F.concat(F.lit("## "), "theme")), F.transform("v", lambda x: x.line)), "\n")
+    rows = held.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("theme_no", block.alias("block")))).alias("b"))
+    return rows.select("query_id", F.array_join(F.transform("b", lambda x: x.block), "\n").alias("body"))
+
+
+def find_documents(documents: DataFrame, asked: str, *fields: str, opened: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """``documents`` any of whose ``fields`` contains the text asked for, whatever the case; with ``opened`` (key, opened), recent ones first."""
+    found = F.lit(False)
+    for field in fields:
+        found = found | F.contains(F.lower(F.coalesce(F.col(field).cast("string"), F.lit(""))), F.lit(asked.lower()))
+    rows = documents.filter(found)
+    return rows if opened is None else rows.join(opened, key, "left").orderBy(F.col("opened").desc_nulls_last(), key)

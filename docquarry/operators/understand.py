@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators.retrieve import small
+from docquarry.operators.retrieve import COMPARING, containing
 
 #: Passages kept, re-ranking, and search mode of each intent.
 STRATEGIES = [
@@ -19,14 +19,53 @@ STRATEGIES = [
 
 def intents(queries: DataFrame, rules: DataFrame, default: str = "factual", confidence: float = 0.8) -> DataFrame:
     """``queries`` with (intent, confidence): the first rule (prio, intent, keyword) whose keyword the text contains."""
-    rows = queries.join(small(rules), F.contains(F.lower("text"), "keyword")).groupBy("query_id").agg(F.min_by("intent", "prio").alias("intent"))
+    low = queries.select("query_id", F.lower("text").alias("low"))
+    rows = containing(low, "low", rules, "keyword", "query_id").groupBy("query_id").agg(F.min_by("intent", "prio").alias("intent"))
     out = queries.join(rows, "query_id", "left")
     return out.withColumn("confidence", F.when(F.col("intent").isNotNull(), F.lit(confidence))).withColumn("intent", F.coalesce("intent", F.lit(default)))
 
 
+#: The classes of the rule router in their order, each with its pattern; several entities stand third.
+ROUTES = [
+    ("comparative", COMPARING),
+    ("computational", r"计算|增长率|同比|环比|复合|比率|占比|平均|合计|\bcalculate\b|\bratio\b|\bgrowth\b"),
+    ("multi_entity", None),
+    ("theme", r"观点|主题|趋势|看法|展望|\bviews?\b|\boutlook\b"),
+    ("summarization", r"总结|概括|摘要|综述|概述|\bsummar"),
+    ("factual", r"多少|是什么|什么时候|哪一年|谁|\bhow much\b|\bwhat is\b|\bwhen\b|\bwho\b"),
+]
+
+
+def routes(queries: DataFrame, rules: list[tuple[str, str | None]] | None = None, confidence: float = 0.8, default: str = "none") -> DataFrame:
+    """(query_id, intent, confidence): the first rule, in order, whose pattern the lower-cased text has; a rule without a pattern asks for two
+    ``entities`` or more. Where none holds the intent is ``default`` without a confidence."""
+    intent = F.lit(None).cast("string")
+    for name, pattern in reversed(rules or ROUTES):
+        holds = F.size("entities") >= 2 if pattern is None else F.lower(F.coalesce("text", F.lit(""))).rlike(pattern)
+        intent = F.when(holds, F.lit(name)).otherwise(intent)
+    return queries.select("query_id", F.coalesce(intent, F.lit(default)).alias("intent"), F.when(intent.isNotNull(), F.lit(confidence)).alias("confidence"))
+
+
+def branch(intent: Column, n_entities: Column, light: Column) -> Column:
+    """The answer branch a query takes: comparisons and several entities fan out, themes and summaries gather, sums compute, the rest is looked up."""
+    return (
+        F.when(intent == "computational", "compute").when((intent == "comparative") | (n_entities >= 2), "fan_out").when(intent.isin("theme", "summarization", "summary"), "gather")
+        .when(light, "light").otherwise("search")
+    )
+
+
+def filtered_by_slots(hits: DataFrame, slots: DataFrame, **columns: str) -> DataFrame:
+    """``hits`` that agree with what their query names: ``company="company"`` compares a hit's company with the query's, a slot that is null binds nothing."""
+    rows = hits.join(slots.select("query_id", *(F.col(c).alias(f"_{n}") for n, c in columns.items())), "query_id")
+    for name in columns:
+        rows = rows.filter(F.col(f"_{name}").isNull() | (F.col(f"_{name}") == F.col(name)))
+    return rows.drop(*(f"_{n}" for n in columns))
+
+
 def entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, entities, multi): all names that a query's text contains, in order; two or more make it multi-entity."""
-    rows = queries.join(small(names), F.contains("text", "name")).groupBy("query_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
+    found = containing(queries.select("query_id", "text"), "text", names.select("name"), "name", "query_id")
+    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
     out = queries.select("query_id").join(rows, "query_id", "left")
     held = F.coalesce("entities", F.array().cast("array<string>"))
     return out.select("query_id", held.alias("entities"), (F.size(held) >= 2).alias("multi"))
@@ -34,7 +73,7 @@ def entities(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def longest_entity(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name): by tier (full name before alias before short form), then the longest, then by name."""
-    rows = texts.join(small(names), F.contains("text", "alias"))
+    rows = containing(texts.select("query_id", "text"), "text", names, "alias", "query_id")
     order = Window.partitionBy("query_id").orderBy("tier", F.length("alias").desc(), "alias", "name")
     return rows.withColumn("place", F.row_number().over(order)).filter("place = 1").select("query_id", "name")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import metadata as M
-from docquarry.operators.retrieve import small
+from docquarry.operators.retrieve import containing
 from docquarry.plans.corpus import CHUNKS, chunks, documents
 from docquarry.plans.registry import query
 from docquarry.session import table
@@ -45,7 +45,7 @@ def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest known prefix of each part's type."""
     known = _pairs(spark, [("STANDARD",), ("SMALL",), ("S",), ("PROMO",), ("ECO",)], "prefix string")
-    rows = table(spark, sf_dir, "part").join(small(known), F.startswith("p_type", "prefix"))
+    rows = containing(table(spark, sf_dir, "part"), "p_type", known, "prefix", "p_partkey").filter(F.startswith("p_type", "prefix"))
     return rows.groupBy("p_partkey").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 

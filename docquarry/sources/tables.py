@@ -65,8 +65,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
 
 
+def scroll(points: DataFrame, **equal: object) -> DataFrame:
+    """All points whose columns equal the given values (None: is null), without paging."""
+    rows = points
+    for name, value in equal.items():
+        rows = rows.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return rows
+
+
 def delete_documents(points: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
-    """``points`` without the documents of ``gone``, for example by (collection, source_file)."""
+    """``points`` without the documents of ``gone``, for example by (collection, source_file); of a catalog or list of files likewise."""
     return points.join(gone.select(*on).distinct(), list(on), "left_anti")
 
 
@@ -80,9 +88,37 @@ def pending(documents: DataFrame, indexed: DataFrame, doc_id: str = "doc_id") ->
     return documents.join(indexed.select(doc_id).distinct(), doc_id, "left_anti")
 
 
-def save_collection(points: DataFrame, path: str, mode: str = "append") -> None:
-    """Write points partitioned by collection; ``overwrite`` recreates the collections it holds."""
+def ensure_collection(spark: SparkSession, path: str, like: DataFrame, name: str, recreate: bool = False) -> int:
+    """How many points collection ``name`` under ``path`` holds; where it is missing, or is to be made anew, it is left empty with ``like``'s columns."""
+    folder = f"{path}/collection={name}"
+    empty = like.limit(0).drop("collection")
+    if not recreate:
+        try:
+            return spark.read.parquet(folder).count()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+    empty.write.mode("overwrite").parquet(folder)
+    return 0
+
+
+def save_collection(points: DataFrame, path: str, mode: str = "append") -> int:
+    """Write points partitioned by collection; ``overwrite`` recreates the collections it holds. The number of points under ``path`` then."""
     points.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    return points.sparkSession.read.parquet(path).count()
+
+
+def append_state(rows: DataFrame, path: str) -> None:
+    """Add versions of records to an append-only table; what is there is never written again."""
+    rows.write.mode("append").parquet(path)
+
+
+def current_state(spark: SparkSession, path: str, key: str, version: str, deleted: str | None = None) -> DataFrame:
+    """The last version of each record; records whose last version is marked ``deleted`` are left out."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("s")).select(key, "s.*").select(*rows.columns)
+    return last if deleted is None else last.filter(~F.coalesce(F.col(deleted), F.lit(False)))
 
 
 def save_reports(path: str, **tables: DataFrame) -> None:

@@ -66,3 +66,49 @@ def test_verification_needs_whole_numbers(spark):
 def test_footer(spark):
     issues = spark.createDataFrame([(1, i, f"i{i}") for i in range(5)], "query_id long, place int, text string")
     assert V.footer(issues, "text").first().footer == "i0；i1；i2…另有2项"
+
+
+def test_metadata_record(spark):
+    docs = [(1, "中信证券_x_H3_AP20_2023年报.md", "# 关于报告\n正文"), (2, "Acme_2022半年度报告.md", "intro\nmore"), (3, None, None), (4, "中信_note.md", "\n\n  First line\nx")]
+    frame = spark.createDataFrame(docs, "doc_id long, name string, text string")
+    codes = spark.createDataFrame([("H3_AP20", "平安银行"), ("H3", "later")], "info_code string, stock string").orderBy("info_code")
+    words = spark.createDataFrame([("annual", 1, "年报"), ("half_year", 2, "半年度报告")], "doc_type string, prio int, keyword string")
+    brokers = spark.createDataFrame([("中信",), ("中信证券",)], "broker string")
+    aliases = spark.createDataFrame([("Acme", "Acme Holding")], "alias string, canonical string")
+    rows = {r.doc_id: r for r in M.extract_metadata(frame, "name", "text", codes, words, brokers, aliases).collect()}
+    assert tuple(rows[1])[3:] == ("later", "2023", "annual", "中信证券", "关于报告", 0.7)
+    assert tuple(rows[2])[3:] == ("Acme Holding", "2022", "half_year", "", "intro", 0.8)
+    assert tuple(rows[3])[3:] == (M.UNKNOWN, M.UNKNOWN, M.UNKNOWN, "", "", 1.0) and rows[4].broker == "中信" and rows[4].title == "First line"
+    bare = M.extract_metadata(frame, "name", "text").filter("doc_id = 2").first()
+    assert (bare.company, bare.doc_type, bare.broker) == ("Acme", M.UNKNOWN, "")
+    rows = M.profile(frame.withColumn("text", F.rpad("text", 6000, "。")), "text", 5000, "name", words).collect()
+    assert {(r.doc_id, r.doc_type) for r in rows} == {(1, "annual"), (2, "half_year"), (4, "other")}
+
+
+def test_routes_and_contents(spark):
+    route = M.summary_route(F.col("n"), ["跳过"], [("研报", "research"), ("评级", "rating"), ("年报", "annual")])
+    rows = spark.createDataFrame([("研报和年报",), ("某年报",), ("跳过年报",), ("x",)], "n string").select(route.alias("r")).collect()
+    assert [r.r for r in rows] == ["research", "annual", None, "general"]
+    text = "第一章 概况\nplain\n1.2 细分 " + "x" * 100 + "\n第三节 风险"
+    rows = M.contents_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text").orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == [0, 2, 3] and len(rows[1].line) == 80
+
+
+def test_statements_of_chunks(spark):
+    parents = [("p1", "3、合并利润表\n营业收入 100", "主要", "甲", "2023"), ("p2", "no finance", "", "甲", "2023"), ("p3", "| 项目 | 金额 |\n| 净利润 | 5 |", "表", "甲", "2023")]
+    children = [("c1", "p1", "营业成本 和 销售费用", "主要", "甲", "2023"), ("c2", "p1", "nothing of it", "主要", "甲", "2023"), ("c3", "p2", "毛利率 20%", "", "甲", "2023"), ("c4", "p2", None, "", "甲", "2023")]
+    kind = "section string, company string, year string"
+    above, below = D.with_encoding(spark.createDataFrame(parents, f"id string, text string, {kind}"), spark.createDataFrame(children, f"id string, parent_id string, text string, {kind}"))
+    a, b = ({r.id: r for r in x.collect()} for x in (above, below))
+    assert a["p1"].statement_type == "合并利润表" and a["p1"].encoding_text == "[公司=甲][章节=主要][年份=2023][报表=合并利润表]3、合并利润表\n营业收入 100" and a["p1"].prefix_title == a["p1"].encoding_text[:80]
+    assert a["p2"].encoding_text == "no finance" and a["p2"].prefix_title == "" and a["p3"].encoding_text == "甲 2023 利润表：净利润 金额: 5"
+    assert b["c1"].statement_type == "合并利润表" and b["c1"].financial_keywords == ["营业成本", "销售费用"] and b["c3"].statement_type == "财务指标"
+    assert b["c2"].encoding_text == "nothing of it" and b["c4"].encoding_text == ""
+
+
+def test_places_in_answers(spark):
+    text = "收入 1,200.5万元[来源12]，增长5%[来源3]"
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "[来源1]")], "query_id long, answer string")
+    assert [(r.raw, text[r.start : r.start + len(r.raw)]) for r in V.figures(frame).orderBy("place").collect()] == [("1,200.5万元", "1,200.5万元"), ("5%", "5%")]
+    assert [(r.query_id, r.idx) for r in V.source_tags(frame).orderBy("query_id", "place").collect()] == [(1, 12), (1, 3), (3, 1)]
+    assert all(text[r.start : r.end] == f"[来源{r.idx}]" for r in V.source_tags(frame).filter("query_id = 1").collect())

@@ -1,13 +1,20 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.operators import chunking as C
+from docquarry.operators import evaluate as E
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
-from docquarry.operators import usage as U
-from docquarry.operators import evaluate as E
+from docquarry.operators import search as S
 from docquarry.operators import understand as Q
-from docquarry.sources import tables as S
+from docquarry.operators import usage as U
+from docquarry.session import Scratch
+from docquarry.sources import tables as T
 
 HITS = "query_id long, point_id long, score double, rank int"
 
@@ -49,9 +56,88 @@ def test_citations_number_without_gaps(spark):
     assert [(r.point_id, r.idx) for r in R.citations(hits).orderBy("idx").collect()] == [(7, 1), (8, 2)]
 
 
-def test_vocabulary_size_is_checked(spark):
-    with pytest.raises(ValueError, match="vocabulary"):
-        R.small(spark.range(20), 10)
+def test_large_vocabularies_find_the_same(spark):
+    """Beyond the limit keys are found by a gram; short and long keys, repeated ids and nulls included."""
+    r = random.Random(2)
+    texts = [(i % 40, "".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(60)] + [(50, None), (51, ""), (52, "abcabcabc")]
+    keys = [("".join(r.choice("abc") for _ in range(n)), n) for n in (1, 2, 3, 4, 5, 6, 7, 9) for _ in range(4)] + [("abcabcabc", 0), (None, 1)]
+    frame, words = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(keys, "word string, n int")
+    found = [sorted(map(tuple, R.containing(frame, "text", words, "word", "id", rows=rows).collect())) for rows in (1000, 0)]
+    assert found[0] == found[1] == sorted((i, t, w, n) for i, t in texts for w, n in keys if t is not None and w is not None and w in t)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    weights = [60 / (i + 1) for i in range(60)]
+    return [(i, " ".join(r.choices(words, weights, k=r.randint(3, 40))), f"c{i % 3}") for i in range(300)]
+
+
+def scores(corpus, query, dim=None):
+    terms = [t.split() for _, t, _ in corpus]
+    df = Counter(w for t in terms for w in set(t))
+    n, mean = len(terms), sum(map(len, terms)) / len(terms)
+    raw = {w: math.log((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    out = {}
+    for (i, _, _), t in zip(corpus, terms, strict=True):
+        tf = Counter(t)
+        s = sum((floor if raw[w] < 0 else raw[w]) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in query.split() if w in tf)
+        out[i] = round(s, 6)
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 60, 100_000])
+def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, seed):
+    """However few postings bound the k-th score; also from a saved index, and within a group."""
+    monkeypatch.setattr(S, "SEED_POSTINGS", seed)
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
+    index.save(str(tmp_path / "index"))
+    index = S.SearchIndex.load(spark, str(tmp_path / "index"), 64)
+    asked = [(1, "w0 w1 w2 w50 w51", None), (2, "w0", "c1"), (3, "w59 w58 w3 w3", "c2"), (4, "nothing", None), (5, "w1 w0 w2", "c9")]
+    frame = spark.createDataFrame(asked, "query_id long, text string, same string")
+    for same in (None, "company"):
+        hits = S.lexical(index, frame, 7, same).collect()
+        for q, text, want in asked:
+            of = scores(corpus, text)
+            ok = [i for i, _, c in corpus if of[i] > 0 and (same is None or want is None or c == want)]
+            best = sorted(ok, key=lambda i: (-of[i], i))[:7]
+            assert [h.point_id for h in sorted((h for h in hits if h.query_id == q), key=lambda h: h.rank)] == best
+
+
+def test_hybrid_search(spark, corpus):
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string").withColumn("doc_id", F.col("point_id") % 100), Scratch(spark, "test"), dim=64)
+    queries = spark.createDataFrame([(1, corpus[7][1]), (2, corpus[20][1])], "query_id long, text string")
+    synonyms = spark.createDataFrame([("w1 ", 1, "w40 ")], "term string, prio int, synonym string")
+    tables = index.chunks.filter("point_id % 5 = 0").select("point_id")
+    parents = index.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    rows = S.hybrid(index, queries, synonyms, tables, F.col("query_id") == 1, parents=parents, scorer=lambda q, t: [float(a == b) for a, b in zip(q, t, strict=True)], k=3).collect()
+    assert {(r.query_id, r.point_id) for r in rows if r.rank == 1} == {(1, 7), (2, 20)} and {r.chunks for r in rows} == {3} and max(r.rank for r in rows) == 3
+    vec = S.candidates(index, queries, synonyms, tables, F.col("query_id") == 1)[0]
+    plain = S.candidates(index, queries, synonyms)[0]
+    assert max(r.score for r in vec.filter("query_id = 1").collect()) >= max(r.score for r in plain.filter("query_id = 1").collect())
+    subs = spark.createDataFrame([(1, "a", corpus[3][1], "c0"), (1, "b", corpus[4][1], "c1"), (2, "a", corpus[5][1], None)], "query_id long, entity string, text string, same string")
+    found = S.fan_out(index, subs, total=6).collect()
+    assert {r.company for r in found if r.query_id == 1} == {"c0", "c1"} and max(r.rank for r in found) == 6
+
+
+def test_viewpoints_and_document_search(spark):
+    rows = spark.createDataFrame([(1, 2, "later", None, None, None), (1, 1, "growth", "b", "negative", "falls"), (1, 1, "growth", "a", "odd", "rises")], "query_id long, theme_no int, theme string, source string, stance string, view string")
+    assert R.viewpoints(rows, {"positive": "+", "negative": "-"}).first().body == "## growth\n- [a] rises\n- -[b] falls\n## later"
+    docs = spark.createDataFrame([(1, "Annual", "X"), (2, "other", "annual x"), (3, "none", None)], "doc_id long, title string, company string")
+    opened = spark.createDataFrame([(2, 5)], "doc_id long, opened long")
+    assert [r.doc_id for r in R.find_documents(docs, "ANNUAL", "title", "company", opened=opened).collect()] == [2, 1]
+
+
+def test_query_router(spark):
+    rows = spark.createDataFrame([(1, "对比甲和乙", ["a", "b"]), (2, "甲的增长率", []), (3, "甲 乙", ["a", "b"]), (4, "市场观点", []), (5, "总结年报", []), (6, "收入是多少", []), (7, "hello", []), (8, None, [])], "query_id long, text string, entities array<string>")
+    got = [(r.intent, r.confidence) for r in Q.routes(rows).orderBy("query_id").collect()]
+    assert [i for i, _ in got] == ["comparative", "computational", "multi_entity", "theme", "summarization", "factual", "none", "none"] and got[0][1] == 0.8 and got[7][1] is None
+    hits = spark.createDataFrame([(1, 7, 1.0, 1, "甲", "2023"), (1, 8, 0.9, 2, "乙", "2023")], HITS + ", company string, year string")
+    slots = spark.createDataFrame([(1, "甲", None)], "query_id long, company string, year string")
+    assert [r.point_id for r in Q.filtered_by_slots(hits, slots, company="company", year="year").collect()] == [7]
+    assert Q.filtered_by_slots(hits, slots, year="year").count() == 2
 
 
 def test_strip_entities(spark):
@@ -81,7 +167,7 @@ def test_parser_errors_stay_in_their_row(spark):
     def parse(path, content):
         return content.decode("utf-8").upper()
 
-    rows = S.parse_documents(spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"\xff"))], "path string, content binary"), parse).orderBy("path").collect()
+    rows = T.parse_documents(spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"\xff"))], "path string, content binary"), parse).orderBy("path").collect()
     assert [(r.text, r.status) for r in rows] == [("OK", "success"), (None, "error")] and "UnicodeDecodeError" in rows[1].error
 
 
@@ -89,13 +175,46 @@ def test_scan_and_collections(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a.md", "x\n\ny"), ("b.txt", "  "), ("c.txt", "z")):
         (tmp_path / "in" / name).write_text(text)
-    rows = S.scan_corpus(spark, str(tmp_path / "in")).collect()
+    rows = T.scan_corpus(spark, str(tmp_path / "in")).collect()
     assert sorted((r.text, r.page_count) for r in rows) == [("x\n\ny", 2), ("z", 1)]
     (tmp_path / "meta.json").write_text('{"info_code":"A1","stock":"S"}\n{"info_code":"","stock":"T"}\n{"stock":"U"}\n')
-    assert [r.stock for r in S.scan_report_metadata(spark, str(tmp_path / "meta.json")).collect()] == ["S"]
-    points = S.split_collection(spark.createDataFrame([(1, "a")], "point_id long, text string"), "pro", "safe")
-    S.save_collection(points, str(tmp_path / "points"))
-    assert spark.read.parquet(str(tmp_path / "points")).filter("collection = 'safe'").count() == 1
+    assert [r.stock for r in T.scan_report_metadata(spark, str(tmp_path / "meta.json")).collect()] == ["S"]
+    points = T.split_collection(spark.createDataFrame([(1, "a")], "point_id long, text string"), "pro", "safe")
+    path = str(tmp_path / "points")
+    assert T.ensure_collection(spark, path, points, "pro") == 0
+    assert T.save_collection(points, path) == 2 and T.save_collection(points, path) == 4
+    assert T.save_collection(points.filter("collection = 'pro'"), path, "overwrite") == 3
+    assert T.ensure_collection(spark, path, points, "safe") == 2 and T.ensure_collection(spark, path, points, "safe", recreate=True) == 0
+    assert T.scroll(spark.read.parquet(path), collection="pro").count() == 1 and T.scroll(spark.read.parquet(path), collection="safe").count() == 0
+    reports = str(tmp_path / "reports")
+    for _ in range(2):
+        T.save_reports(reports, means=points, rows=points.limit(1))
+    assert spark.read.json(f"{reports}/means").count() == 2 and spark.read.json(f"{reports}/rows").count() == 1
+
+
+def test_state_is_appended(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for version, rows in enumerate([[("a", "x", False), ("b", "y", False)], [("a", "z", False)], [("b", None, True)]]):
+        T.append_state(spark.createDataFrame(rows, "key string, value string, gone boolean").withColumn("version", F.lit(version)), path)
+    assert sorted(map(tuple, T.current_state(spark, path, "key", "version").select("key", "value").collect())) == [("a", "z"), ("b", None)]
+    assert [r.key for r in T.current_state(spark, path, "key", "version", deleted="gone").collect()] == ["a"]
+
+
+def test_points_of_outlines_and_summaries(spark):
+    points = spark.createDataFrame([(1, "old")], "point_id long, text string")
+    outlines = spark.createDataFrame([("d", 1, "s", "short", "long text"), ("d", 2, "s", "short", "more")], "doc_id string, section_order int, section string, outline_text string, text string")
+    once = X.outline_points(points, outlines)
+    assert once.count() == 3 and once.filter("chunk_type = 'outline' and not is_parent and importance = 1.3").count() == 2
+    changed = outlines.withColumn("text", F.lit("new"))
+    assert X.outline_points(once, changed).filter("text = 'new'").count() == 0
+    assert X.outline_points(once, changed, force=True).filter("text = 'new'").count() == 2 and X.outline_points(once, changed, force=True).count() == 3
+    rows = X.summary_points(spark.createDataFrame([("one.md", "body")], "name string, body string")).collect()
+    assert {(r.is_parent, r.text) for r in rows} == {(True, "body"), (False, "body")} and next(r for r in rows if not r.is_parent).parent_id == next(r for r in rows if r.is_parent).point_id
+    docs = spark.createDataFrame([("d", "word " * 400)], "doc_id string, text string")
+    above, below = C.chunk_corpus(docs, "doc_id")
+    held = X.document_points(above, below, spark.createDataFrame([("d", "Acme", "2023")], "doc_id string, company string, year string"), "pro", text_chars=None)
+    assert held.filter("company <> 'Acme'").count() == 0 and held.select("point_id").distinct().count() == held.count()
+    assert held.filter("not is_parent").join(held.filter("is_parent").select(F.col("point_id").alias("parent_id")), "parent_id", "left_anti").count() == 0
 
 
 def test_cache_hits_do_not_renew(spark):
