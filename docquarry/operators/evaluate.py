@@ -79,11 +79,32 @@ def recall_mrr(hits: DataFrame, truth: DataFrame, *on: str) -> DataFrame:
 
 
 def token_f1(pairs: DataFrame, answer: str, gold: str) -> DataFrame:
-    """``pairs`` with the harmonic mean of precision and recall over different words, and exact match."""
-    a, g = F.array_distinct(words(F.col(answer))), F.array_distinct(words(F.col(gold)))
-    both = F.size(F.array_intersect(a, g))
-    f1 = F.when(both == 0, 0.0).otherwise(2 * both / (F.size(a) + F.size(g)))
-    return pairs.withColumns({"f1": f1, "exact": F.coalesce(F.trim(answer) == F.trim(gold), F.lit(False))})
+    """``pairs`` with ``f1``, the harmonic mean of precision and recall over words with their repeats, and exact match."""
+    a, g = words(F.col(answer)), words(F.col(gold))
+    rows = pairs.withColumns({"_a": a, "_g": g})
+    count = lambda held, w: F.size(F.filter(held, lambda x: x == w))
+    both = F.aggregate(F.array_distinct("_g"), F.lit(0), lambda acc, w: acc + F.least(count("_a", w), count("_g", w)))
+    rows = rows.withColumn("_both", both)
+    f1 = F.when(F.col("_both") == 0, 0.0).otherwise(2 * F.col("_both") / (F.size("_a") + F.size("_g")))
+    return rows.withColumns({"f1": f1, "exact": F.coalesce(F.trim(answer) == F.trim(gold), F.lit(False))}).drop("_a", "_g", "_both")
+
+
+def number_accuracy(pairs: DataFrame, answer: str, gold: str, tolerance: float = 0.01) -> DataFrame:
+    """``pairs`` with ``numbers``: the share of the gold answer's different numbers that the answer states within ``tolerance``; without any it is 1."""
+    of = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[-+]?\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull()))
+    rows = pairs.withColumns({"_n": of(F.col(gold)), "_m": of(F.col(answer))})
+    met = F.size(F.filter("_n", lambda x: F.exists("_m", lambda y: F.abs(y - x) <= tolerance * F.abs(x))))
+    return rows.withColumn("numbers", F.when(F.size("_n") == 0, 1.0).otherwise(met / F.size("_n"))).drop("_n", "_m")
+
+
+def weighted_final(rows: DataFrame, **weights: float) -> DataFrame:
+    """``rows`` with ``final``: the weighted mean of the named scores; a missing or NaN score counts as 0."""
+    total = sum(weights.values())
+    part = [F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)) * w for n, w in weights.items()]
+    out = part[0]
+    for more in part[1:]:
+        out = out + more
+    return rows.withColumn("final", F.round(out / total, 6))
 
 
 def timing(results: DataFrame) -> DataFrame:

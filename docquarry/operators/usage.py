@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +50,27 @@ def recent_calls(calls: DataFrame, n: int) -> DataFrame:
 
 def budget_actions(calls: DataFrame, day_budget: float = DAY_BUDGET, session_budget: float = SESSION_BUDGET) -> DataFrame:
     """``calls`` with ``action`` by the share of the day's or session's budget that calls up to and with it use. A budget of 0 or less never binds."""
-    running = lambda *by: F.sum("cost").over(Window.partitionBy(*by).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0))
     share = lambda spent, budget: spent.cast("double") / budget if budget > 0 else F.lit(0.0)
-    ratio = F.greatest(share(running(F.to_date("ts")), day_budget), share(running("session_id"), session_budget))
-    return calls.withColumn("ratio", ratio).withColumn("action", action(F.col("ratio")))
+    rows = running_sum(running_sum(calls.withColumn("_day", F.to_date("ts")), "cost", "_spent_day", "_day"), "cost", "_spent", "session_id")
+    rows = rows.withColumn("ratio", F.greatest(share(F.col("_spent_day"), day_budget), share(F.col("_spent"), session_budget)))
+    return rows.withColumn("action", action(F.col("ratio"))).drop("_day", "_spent_day", "_spent")
+
+
+def running_sum(rows: DataFrame, value: str, name: str, *by: str, ts: str = "ts", tie: str = "call_id", slot_seconds: int = 60) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of the same ``by`` up to and with each, in order of ``ts`` and ``tie``.
+
+    Sums of time slots are summed up first, a row for each slot of a key, and a row adds only what its own slot holds before it. So no task
+    sees a whole day or session, however many calls it has."""
+    slotted = rows.withColumn("_slot", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (slot_seconds * 1_000_000)).cast("long"))
+    slots = slotted.groupBy(*by, "_slot").agg(F.sum(value).alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
+    names = {b: f"_by{i}" for i, b in enumerate(by)}
+    bases = slots.withColumn("_base", upto).select(*(F.col(b).alias(n) for b, n in names.items()), F.col("_slot").alias("_at"), "_base")
+    same = F.col("_slot").eqNullSafe(F.col("_at"))
+    for b, n in names.items():
+        same = same & F.col(b).eqNullSafe(F.col(n))
+    own = F.sum(value).over(Window.partitionBy(*by, "_slot").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
+    return slotted.withColumn("_own", own).join(bases, same).withColumn(name, F.col("_base") + F.col("_own")).drop("_own", "_base", "_at", "_slot", *names.values())
 
 
 def action(ratio: Column) -> Column:
@@ -78,16 +98,28 @@ def repeat_rate(requests: DataFrame, ttl_seconds: int, *key: str) -> DataFrame:
 
 
 def cache_hits(requests: DataFrame, ttl_seconds: int, *key: str) -> DataFrame:
-    """The exact effect of a cache whose entries live ``ttl_seconds`` from when they were stored; a hit doesn't renew them.
-
-    Each key's request times are folded in order."""
-    times = requests.groupBy("layer", *(k for k in key if k != "layer")).agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("stored"), F.lit(0).alias("hits"))
-    fold = F.aggregate(
-        "t", start, lambda acc, t: F.when(t - acc.stored <= ttl_seconds * 1_000_000, F.struct(acc.stored.alias("stored"), (acc.hits + 1).alias("hits"))).otherwise(F.struct(t.alias("stored"), acc.hits.alias("hits"))), lambda acc: acc.hits
-    )
-    rows = times.select("layer", F.size("t").alias("n"), fold.alias("hits")).groupBy("layer").agg(F.sum("n").alias("requests"), F.sum("hits").alias("hits"))
-    return rows.withColumn("rate", F.round(F.col("hits") / F.col("requests"), 4))
+    """(layer, requests, hits, rate): what a log says of a cache whose entries live ``ttl_seconds`` from when they were stored; a hit doesn't renew them.
+
+    Requests are dealt out by key and sorted by Spark; a task reads them in order and holds one time at once, however many a key has."""
+    names = list(dict.fromkeys(("layer", *key)))
+    rows = requests.select(F.struct(*names).alias("k"), "layer", F.unix_micros("ts").alias("t")).select(F.xxhash64("k").alias("h"), F.to_json("k").alias("k"), F.coalesce(F.col("layer").cast("string"), F.lit("")).alias("layer"), "t")
+    rows = rows.repartition("h", "k").sortWithinPartitions("h", "k", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stored = None, 0
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for k, layer, t in zip(batch["k"].to_pylist(), batch["layer"].to_pylist(), batch["t"].to_pylist(), strict=True):
+                count = counts.setdefault(layer, [0, 0])
+                count[0] += 1
+                if k == last and t is not None and t - stored <= ttl_seconds * 1_000_000:
+                    count[1] += 1
+                else:
+                    last, stored = k, t if t is not None else -(1 << 62)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(2))], names=["layer", "requests", "hits"])
+
+    found = rows.select("k", "layer", "t").mapInArrow(run, "layer string, requests long, hits long").groupBy("layer").agg(F.sum("requests").alias("requests"), F.sum("hits").alias("hits"))
+    return found.withColumn("rate", F.round(F.col("hits") / F.col("requests"), 4))
 
 
 def _rates(rows: DataFrame) -> DataFrame:

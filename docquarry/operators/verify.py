@@ -12,19 +12,32 @@ TAG = r"\[来源(\d+)\]"
 VALUE = rf"([-+]?\d[\d,]*(?:\.\d+)?)\s*{UNIT}"
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """ARRAY<STRUCT<raw, start>>: each match and where it begins, from 0."""
+    raws, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    step = lambda acc, x: F.struct((acc.at + x["b"] + x["n"]).alias("at"), F.concat(acc.out, F.array(acc.at + x["b"])).alias("out"))
+    lengths = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(raws)).alias("b"), raws.alias("r")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["r"]).alias("n")))
+    starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc.out)
+    return F.transform(F.arrays_zip(raws.alias("raw"), starts.alias("start")), lambda x: F.struct(x["raw"].alias("raw"), x["start"].alias("start")))
+
+
 def source_tags(answers: DataFrame, text: str = "answer") -> DataFrame:
-    """(query_id, idx, place): the source tags of each answer in order."""
-    rows = answers.select("query_id", F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TAG), F.lit(1))).alias("place", "i"))
-    return rows.select("query_id", F.col("i").cast("int").alias("idx"), "place")
+    """(query_id, idx, place, start, end): the source tags of each answer in order, and the characters they take."""
+    rows = answers.select("query_id", F.posexplode_outer(_matches(F.coalesce(text, F.lit("")), TAG)).alias("place", "m")).filter("m is not null")
+    return rows.select("query_id", F.regexp_extract("m.raw", TAG, 1).cast("int").alias("idx"), "place", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.raw")).alias("end"))
 
 
 def figures(answers: DataFrame, text: str = "answer", least: float = 0.001) -> DataFrame:
-    """(query_id, place, raw, value, unit): numbers outside source tags, without tiny ones and bare years."""
-    masked = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "")
-    rows = answers.select("query_id", F.posexplode(F.regexp_extract_all(masked, F.lit(VALUE), F.lit(0))).alias("place", "raw"))
-    rows = rows.select("query_id", "place", "raw", number(F.regexp_extract("raw", VALUE, 1)).alias("n"), F.regexp_extract("raw", VALUE, 2).alias("unit"))
+    """(query_id, place, start, raw, value, unit): numbers outside source tags and where they begin, without tiny ones and bare years.
+
+    Tags count up to four digits."""
+    masked = F.coalesce(text, F.lit(""))
+    for digits in range(1, 5):  # as many marks as characters, so that places hold
+        masked = F.regexp_replace(masked, rf"\[来源\d{{{digits}}}\]", "\u0001" * (4 + digits))
+    rows = answers.select("query_id", F.posexplode_outer(_matches(masked, VALUE)).alias("place", "m"))
+    rows = rows.select("query_id", "place", F.col("m.start").alias("start"), F.col("m.raw").alias("raw")).select("query_id", "place", "start", "raw", number(F.regexp_extract("raw", VALUE, 1)).alias("n"), F.regexp_extract("raw", VALUE, 2).alias("unit"))
     keep = (F.abs("n") >= least) & ~((F.col("unit") == "") & F.col("n").between(2000, 2099) & (F.col("n") == F.floor("n")))
-    return rows.filter(keep).select("query_id", "place", "raw", F.col("n").alias("value"), "unit")
+    return rows.filter(keep).select("query_id", "place", "start", "raw", F.col("n").alias("value"), "unit")
 
 
 def cited_pairs(answers: DataFrame, text: str = "answer", near: int = 20, far: int = 100) -> DataFrame:
@@ -78,11 +91,13 @@ def verify(pairs: DataFrame, sources: DataFrame, tolerance: float = 0.005) -> Da
 
 
 def verdicts(verified: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, pairs, failed, passed): an answer passes if no pair failed."""
-    counts = verified.groupBy("query_id").agg(F.count("*").alias("pairs"), F.count_if(~F.col("passed")).alias("failed"))
+    """(query_id, pairs, failed, passed, issues): an answer passes if no pair failed; the pairs that did, by source and value."""
+    said = F.concat(F.lit("来源"), "idx", F.lit("："), F.format_string("%.2f", F.col("value").cast("double")), F.coalesce("unit", F.lit("")))
+    failed = F.collect_list(F.when(~F.col("passed"), F.struct("idx", "value", said.alias("said"))))
+    counts = verified.groupBy("query_id").agg(F.count("*").alias("pairs"), F.count_if(~F.col("passed")).alias("failed"), F.transform(F.array_sort(failed), lambda x: x.said).alias("issues"))
     rows = answers.select("query_id").join(counts, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return rows.select("query_id", zero("pairs").alias("pairs"), zero("failed").alias("failed"), (zero("failed") == 0).alias("passed"))
+    return rows.select("query_id", zero("pairs").alias("pairs"), zero("failed").alias("failed"), (zero("failed") == 0).alias("passed"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
 
 
 def cross_document(verified: DataFrame, least: int = 3, spread: float = 0.05, width: float = 1e7) -> DataFrame:

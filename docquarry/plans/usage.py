@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import estimated_tokens
 from docquarry.operators import evaluate as E
 from docquarry.operators import usage as U
-from docquarry.operators.retrieve import small
+from docquarry.operators.retrieve import containing
 from docquarry.plans.corpus import documents
 from docquarry.plans.registry import query
 from docquarry.plans.retrieval import HYBRID, hybrid, queries_of
@@ -76,7 +76,13 @@ def ttl_repeat_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.repeat_rate(rows, 86_400, "user_id", "layer")
 
 
-@query()
+TTL = """
+e AS (SELECT user_id, event_type AS layer, epoch_us(ts) AS t FROM events),
+st AS (SELECT user_id, layer, min(t) AS t FROM e GROUP BY ALL UNION ALL SELECT user_id, layer, t FROM (SELECT s.user_id, s.layer, min(e.t) AS t FROM st s JOIN e ON e.user_id = s.user_id AND e.layer = s.layer AND e.t > s.t + 86400000000 GROUP BY s.user_id, s.layer) n),
+hits AS (SELECT layer, count(*) AS requests, count(*) - (SELECT count(*) FROM st WHERE st.layer = e.layer) AS hits FROM e GROUP BY layer)"""
+
+
+@query(f"WITH RECURSIVE {TTL} SELECT layer, requests, hits, round(hits / requests, 4) AS rate FROM hits")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact fold of each key's request times."""
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("layer"), F.col("ts").cast("timestamp").alias("ts"))
@@ -122,7 +128,9 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.latest_status(rows, "status", "event_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CALLS}, {TTL}, f AS (SELECT count(*) AS n, CAST(sum(cost) AS DOUBLE) AS c, count(DISTINCT session_id) AS s FROM costed)
+SELECT 'calls' AS name, CAST(n AS DOUBLE) AS value FROM f UNION ALL SELECT 'cost', c FROM f UNION ALL SELECT 'sessions', CAST(s AS DOUBLE) FROM f UNION ALL SELECT 'hit_rate', round(CAST(sum(hits) AS DOUBLE) / sum(requests), 4) FROM hits""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.overview(calls(spark, sf_dir), cache_hits(spark, sf_dir))
 
@@ -190,27 +198,41 @@ def eval_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.timing(results(spark, sf_dir).withColumn("error", F.when(F.col("grounding") == 1, "failed")))
 
 
-@query(f"WITH {HYBRID} SELECT q.query_id, count(f.point_id) AS contexts, count(DISTINCT f.company) AS groups, length(any_value(q.text)) > 50 AS answered FROM queries q LEFT JOIN final f USING (query_id) GROUP BY q.query_id")
+@query(f"WITH {HYBRID} SELECT q.query_id, count(f.point_id) AS contexts, count(DISTINCT f.company) AS groups, length(any_value(q.text)) > 50 AS answered FROM base q LEFT JOIN final f USING (query_id) GROUP BY q.query_id")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.coverage(hybrid(spark, sf_dir), queries_of(spark, sf_dir).withColumnRenamed("text", "answer"), "company")
 
 
 @query(f"""
-WITH {HYBRID}, truth AS (SELECT query_id, d.doc_id FROM queries q JOIN documents d ON contains(d.text, substr(q.text, 1, 60))), w AS (SELECT query_id, count(DISTINCT doc_id) AS wanted FROM truth GROUP BY query_id),
+WITH {HYBRID}, truth AS (SELECT query_id, d.doc_id FROM base q JOIN documents d ON contains(d.text, substr(q.text, 1, 60))), w AS (SELECT query_id, count(DISTINCT doc_id) AS wanted FROM truth GROUP BY query_id),
 f AS (SELECT query_id, min(rank) AS first, count(DISTINCT doc_id) AS found FROM final SEMI JOIN truth USING (query_id, doc_id) GROUP BY query_id)
 SELECT count(*) AS queries, round(avg(coalesce(found / wanted, 0)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM w LEFT JOIN f USING (query_id)""")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document that contains a query's opening is a true answer."""
-    asked = small(queries_of(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("opening")))
-    truth = documents(spark, sf_dir).join(asked, F.contains("text", "opening")).select("query_id", "doc_id")
+    asked = queries_of(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("opening"))
+    truth = containing(documents(spark, sf_dir).select("doc_id", "text"), "text", asked, "opening", "doc_id").select("query_id", "doc_id")
     return E.recall_mrr(hybrid(spark, sf_dir), truth, "doc_id")
 
 
 @query(f"""
-WITH {HYBRID}, p AS (SELECT query_id, q.text AS gold, f.text AS answer FROM final f JOIN queries q USING (query_id) WHERE rank = 1),
-t AS (SELECT query_id, gold, answer, list_distinct(list_filter(string_split_regex(lower(gold), '[^\\pL\\pN]+'), lambda x: x <> '')) AS g, list_distinct(list_filter(string_split_regex(lower(answer), '[^\\pL\\pN]+'), lambda x: x <> '')) AS a FROM p)
-SELECT query_id, round(2 * len(list_intersect(a, g)) / (len(a) + len(g)), 6) AS f1, trim(answer) = trim(gold) AS exact FROM t""")
+WITH {HYBRID}, p AS (SELECT query_id, q.text AS gold, f.text AS answer FROM final f JOIN base q USING (query_id) WHERE rank = 1),
+t AS (SELECT query_id, gold, answer, list_filter(string_split_regex(lower(gold), '[^\\pL\\pN]+'), lambda x: x <> '') AS g, list_filter(string_split_regex(lower(answer), '[^\\pL\\pN]+'), lambda x: x <> '') AS a FROM p),
+gc AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(g) AS w FROM t) GROUP BY ALL), ac AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(a) AS w FROM t) GROUP BY ALL),
+b AS (SELECT query_id, sum(least(gc.n, ac.n)) AS n FROM gc JOIN ac USING (query_id, w) GROUP BY query_id)
+SELECT query_id, round(2 * coalesce(b.n, 0) / (len(a) + len(g)), 6) AS f1, trim(answer) = trim(gold) AS exact FROM t LEFT JOIN b USING (query_id)""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passage of each query stands for its answer."""
     best = hybrid(spark, sf_dir).filter("rank = 1").select("query_id", F.col("text").alias("answer")).join(queries_of(spark, sf_dir).withColumnRenamed("text", "gold"), "query_id")
     return E.token_f1(best, "answer", "gold").select("query_id", F.round("f1", 6).alias("f1"), "exact")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS v, o_orderkey % 4 AS m FROM orders)
+SELECT id, CASE m WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS numbers, round((2 * CASE m WHEN 0 THEN 0.5 ELSE 1.0 END + m / 4.0) / 3, 6)::DOUBLE AS final FROM p""")
+def number_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold answer states an order's price and 12.5 %; every fourth answer states another price."""
+    price, m = F.round("o_totalprice").cast("long"), F.pmod("o_orderkey", F.lit(4))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), (m / 4.0).alias("style"), F.concat(F.lit("price "), price, F.lit(" up 12.5%")).alias("gold"), F.concat(F.lit("up 12.5% to "), F.when(m == 0, price * 3 + 90).otherwise(price)).alias("answer"),
+    )
+    return E.weighted_final(E.number_accuracy(rows, "answer", "gold"), numbers=2.0, style=1.0).select("id", "numbers", "final")

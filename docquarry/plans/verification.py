@@ -38,14 +38,14 @@ STATED = f"""stated AS (SELECT o_orderkey AS query_id, {PRICE} AS price, CASE WH
 PAIRS = f"""{STATED}, pairs AS (SELECT query_id, CAST(stated AS BIGINT) AS value, '元' AS unit, 1 AS idx, stated = price AS passed FROM stated WHERE true UNION ALL SELECT query_id, m + 1, '%', 2, true FROM stated)"""
 
 
-@query(f"WITH {PAIRS} SELECT query_id, value, unit FROM pairs")
+@query(f"WITH {PAIRS}, w AS (SELECT query_id, length(CAST(stated AS VARCHAR)) AS n FROM stated) SELECT query_id, value, unit, CASE idx WHEN 1 THEN 3 ELSE n + 12 END AS start FROM pairs JOIN w USING (query_id)")
 def answer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.figures(answers(spark, sf_dir)).select("query_id", F.col("value").cast("long").alias("value"), "unit")
+    return V.figures(answers(spark, sf_dir)).select("query_id", F.col("value").cast("long").alias("value"), "unit", "start")
 
 
-@query(f"WITH {PAIRS} SELECT query_id, idx FROM pairs")
+@query(f"WITH {PAIRS}, w AS (SELECT query_id, length(CAST(stated AS VARCHAR)) AS n, length(CAST(m + 1 AS VARCHAR)) AS k FROM stated) SELECT query_id, idx, CASE idx WHEN 1 THEN n + 4 ELSE n + k + 13 END AS start, CASE idx WHEN 1 THEN n + 9 ELSE n + k + 18 END AS \"end\" FROM pairs JOIN w USING (query_id)")
 def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.source_tags(answers(spark, sf_dir)).select("query_id", "idx")
+    return V.source_tags(answers(spark, sf_dir)).select("query_id", "idx", "start", "end")
 
 
 @query(f"WITH {PAIRS} SELECT query_id, value, unit, idx FROM pairs")
@@ -58,9 +58,9 @@ def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(spark, sf_dir).select("query_id", "idx", "passed")
 
 
-@query(f"WITH {PAIRS} SELECT query_id, count(*) AS pairs, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS passed FROM pairs GROUP BY query_id")
+@query(f"WITH {PAIRS} SELECT query_id, count(*) AS pairs, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS passed, coalesce(string_agg('来源' || idx || '：' || printf('%.2f', CAST(value AS DOUBLE)) || unit, '；' ORDER BY idx, value) FILTER (NOT passed), '') AS issues FROM pairs GROUP BY query_id")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.verdicts(verified(spark, sf_dir), answers(spark, sf_dir))
+    return V.verdicts(verified(spark, sf_dir), answers(spark, sf_dir)).withColumn("issues", F.array_join("issues", "；"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[\s　]+', '', 'g')) AS digest FROM documents")

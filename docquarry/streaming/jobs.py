@@ -17,19 +17,28 @@ from pyspark.sql.types import StructType
 from docquarry.operators.usage import CACHE_ONLY, SESSION_BUDGET, WARN
 
 
-def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "point_id") -> StreamingQuery:
-    """Chunk documents as they arrive and append points that ``path`` doesn't hold yet."""
+def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, doc: str = "doc_id", buckets: int = 64) -> StreamingQuery:
+    """Chunk documents as they arrive and keep their points under ``path``: those of a document that comes again are replaced.
+
+    Points lie in ``buckets`` partitions by a hash of their document. A batch reads and writes only the partitions that its documents fall into, so a
+    large table isn't read for a small batch; one that runs again leaves the same points. Of a document that comes twice in a batch, one of the rows counts."""
+    bucket = F.pmod(F.xxhash64(F.col(doc)), F.lit(buckets)).cast("int")
 
     def batch(rows: DataFrame, _epoch: int) -> None:
         spark = rows.sparkSession
-        points = chunker(rows).dropDuplicates([key])
+        rows = rows.dropDuplicates([doc]).persist()
         try:
-            held = spark.read.parquet(path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            held = None
-        (points if held is None else points.join(held, key, "left_anti")).write.mode("append").parquet(path)
+            points = chunker(rows).withColumn("bucket", bucket)
+            touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # ``buckets`` numbers at most
+            try:
+                held = spark.read.schema(points.schema).parquet(path).filter(F.col("bucket").isin(touched))
+                points = points.unionByName(held.join(rows.select(doc), doc, "left_anti"))
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            points.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        finally:
+            rows.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,7 +57,7 @@ def usage_sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "1 hou
 
 
 class BudgetGuard(StatefulProcessor):
-    """A session's running cost, and what its budget says after each call."""
+    """The running cost of a session or day, and what its budget says after each call. Calls are counted in chunks as they come, in order of time."""
 
     def __init__(self, budget: float = SESSION_BUDGET) -> None:
         self.budget = budget
@@ -63,15 +72,29 @@ class BudgetGuard(StatefulProcessor):
         self.spent.update((float(total.iloc[-1]),))
         ratio = total / self.budget if self.budget > 0 else total * 0
         action = ratio.map(lambda r: "reject" if r >= 1 - 1e-12 else "cache_only" if r >= CACHE_ONLY else "warn" if r >= WARN else "ok")
-        yield pd.DataFrame({"session_id": key[0], "call_id": calls["call_id"], "action": action})
+        yield pd.DataFrame({"key": [str(key[0])] * len(calls), "call_id": calls["call_id"], "action": action})
 
     def close(self) -> None:
         pass
 
 
-def live_budget(calls: DataFrame, budget: float = SESSION_BUDGET) -> DataFrame:
-    """(session_id, call_id, action) as calls arrive; needs the RocksDB state store."""
-    return calls.groupBy("session_id").transformWithStateInPandas(BudgetGuard(budget), "session_id long, call_id long, action string", "append", "none")
+def live_budget(calls: DataFrame, budget: float = SESSION_BUDGET, day_budget: float | None = None) -> DataFrame:
+    """(session_id, call_id, action) as calls arrive; needs the RocksDB state store. With ``day_budget``: (day, call_id, action) by the budget of its day.
+
+    A stream keeps state by one key, so a call that both budgets bind is asked of both streams, and the stricter action holds (see stricter)."""
+    schema = "key string, call_id long, action string"
+    if day_budget is None:
+        rows = calls.groupBy("session_id").transformWithStateInPandas(BudgetGuard(budget), schema, "append", "none")
+        return rows.select(F.col("key").cast("long").alias("session_id"), "call_id", "action")
+    daily = calls.withColumn("day", F.to_date("ts").cast("string")).groupBy("day")
+    return daily.transformWithStateInPandas(BudgetGuard(day_budget), schema, "append", "none").select(F.col("key").cast("date").alias("day"), "call_id", "action")
+
+
+def stricter(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(call_id, action): of two drained tables of actions the stricter of each call."""
+    rank = F.array_position(F.array(*map(F.lit, ("ok", "warn", "cache_only", "reject"))), F.col("action"))
+    both = one.select("call_id", "action").unionByName(other.select("call_id", "action"))
+    return both.groupBy("call_id").agg(F.max_by("action", rank).alias("action"))
 
 
 def once_within(uploads: DataFrame, horizon: str = "1 hour", *key: str) -> DataFrame:

@@ -25,6 +25,19 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     same(spark.read.parquet(str(tmp_path / "points")), chunk(docs), "point_id", "chunk")
 
 
+def test_a_changed_document_is_replaced(spark, tmp_path):
+    chunk = lambda rows: child_windows(rows, "text", "doc_id").withColumn("point_id", F.col("doc_id") * 1000 + F.col("child"))
+    first = [(i, f"text of {i} " * (50 * i + 1)) for i in range(6)]
+    path, source = str(tmp_path / "points"), str(tmp_path / "docs")
+    frame = spark.createDataFrame(first, "doc_id long, text string")
+    frame.write.parquet(source)
+    jobs.ingest(spark.readStream.schema(frame.schema).parquet(source), chunk, path, str(tmp_path / "state"), buckets=4).awaitTermination()
+    changed = spark.createDataFrame([(5, "now short"), (9, "a new one")], "doc_id long, text string")
+    changed.write.mode("append").parquet(source)
+    jobs.ingest(spark.readStream.schema(frame.schema).parquet(source), chunk, path, str(tmp_path / "state"), buckets=4).awaitTermination()
+    same(spark.read.parquet(path), chunk(frame.filter("doc_id <> 5").unionByName(changed)), "point_id", "chunk")
+
+
 def test_usage_by_day(spark, sf_dir, tmp_path):
     rows = calls(spark, sf_dir)
     live = jobs.drained(spark, jobs.usage_by_day(stream(spark, rows, tmp_path, "calls")), str(tmp_path / "out"), str(tmp_path / "state"), "complete")
@@ -35,6 +48,10 @@ def test_live_budget(spark, sf_dir, tmp_path):
     rows = calls(spark, sf_dir)
     live = jobs.drained(spark, jobs.live_budget(stream(spark, rows.select("session_id", "call_id", "ts", "cost"), tmp_path, "calls"), 0.05), str(tmp_path / "out"), str(tmp_path / "state"))
     same(live, U.budget_actions(rows, 0, 0.05), "call_id", "action")
+    source = spark.readStream.schema(rows.select("session_id", "call_id", "ts", "cost").schema).parquet(str(tmp_path / "calls"))
+    daily = jobs.drained(spark, jobs.live_budget(source, day_budget=2.0), str(tmp_path / "day"), str(tmp_path / "day-state"))
+    same(daily, U.budget_actions(rows, 2.0, 0), "call_id", "action")
+    same(jobs.stricter(live, daily), U.budget_actions(rows, 2.0, 0.05), "call_id", "action")
 
 
 def test_live_history(spark, sf_dir, tmp_path):
