@@ -16,7 +16,6 @@ from docquarry.session import Scratch
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 BLANKS = r"[\x20\x09-\x0D]+"
-NO_WORD = r"^[\x20\x09-\x0D]*$"
 
 
 def statistics(data: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -49,30 +48,21 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(longs(batch["did"])), pa.array(longs(batch["tag"])), *(pa.array(found[:, i]) for i in range(5))], schema=_STATS)
 
 
-def line_key(line: Column) -> Column:
-    """A hash of a line without case and with its white space normalised."""
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, BLANKS, " "))))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(did, tag, host, at, line, around, words): the lines with a word, with a hash of the lines before and after them."""
-    cut = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text"))), lambda x: ~x.text.rlike(NO_WORD))
-    held = docs.select("did", "tag", "host", F.transform(cut, lambda x: F.struct(x["at"].alias("at"), line_key(x["text"]).alias("line"), F.size(F.array_remove(F.split(x["text"], BLANKS), "")).alias("words"))).alias("ls"))
-    k = F.col("k")
-    return held.select("did", "tag", "host", "ls", F.posexplode("ls").alias("k", "l")).select(
-        "did", "tag", "host", "l.at", "l.line", F.xxhash64(F.get(F.col("ls")["line"], k - 1), F.lit(7), F.get(F.col("ls")["line"], k + 1)).alias("around"), "l.words",
-    )
+    """(did, tag, host, at, line, words): each line with a word, as a hash without case and with its white space normalised."""
+    cut = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.array_remove(F.split(x, BLANKS), "").alias("ws")))
+    held = docs.select("did", "tag", "host", F.explode_outer(F.filter(cut, lambda x: F.size(x.ws) > 0)).alias("l")).filter("l is not null")
+    return held.select("did", "tag", "host", "l.at", F.xxhash64(F.lower(F.array_join("l.ws", " "))).alias("line"), F.size("l.ws").alias("words"))
 
 
-def common_lines(lines: DataFrame, most: int, share: float, sizes: DataFrame) -> DataFrame:
-    """(host, line) of the lines above the limits: in more than ``most`` documents and ``share`` of the host's documents.
+def common_lines(lines: DataFrame, sizes: DataFrame, least: int, share: float, most: int) -> DataFrame:
+    """(host, line) of the lines in more different documents of a host than its limit.
 
-    A line of copied documents always has the same neighbours; to be page furniture a line must stand in that many
-    different surroundings too, so copies are left to the near-duplicate stage."""
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("did", "tag").alias("documents"), F.count_distinct("around").alias("places"))
-    counts = counts.filter((F.col("documents") > most) & (F.col("places") > most))
-    limit = F.greatest(F.lit(float(most)), F.col("size") * share)
-    return counts.join(sizes, "host").filter((F.col("documents") > limit) & (F.col("places") > limit)).select("host", "line")
+    The limit is ``share`` of the host's documents, but ``least`` at least and ``most`` at most, so it doesn't rise with a host beyond measure.
+    Documents are told apart by their whole text: exact copies count once."""
+    counts = lines.select("host", "line", "tag").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > least)
+    limit = F.least(F.greatest(F.lit(float(least)), F.col("size") * share), F.lit(float(most)))
+    return counts.join(sizes, "host").filter(F.col("documents") > limit).select("host", "line")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,51 +74,57 @@ def _host(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h"), source.cast("string")), F.lit(""))
 
 
-def _depleted(scratch: Scratch, named: DataFrame, most: int, share: float) -> DataFrame:
-    """(did, tag, host, at, gone_words): each line that goes."""
+def _gone(scratch: Scratch, named: DataFrame, least: int, share: float, most: int) -> DataFrame:
+    """(did, tag, host, at, words): each line that goes; texts are cut into lines once."""
     sizes = scratch.save("sizes", named.groupBy("host").agg(F.count("*").alias("size")))
-    lines = lines_of(named)
-    common = scratch.save("common", common_lines(lines, most, share, sizes))
-    return lines.join(common, ["host", "line"]).select("did", "tag", "host", "at", "words").distinct()
+    lines = scratch.save("lines", lines_of(named))
+    common = scratch.save("common", common_lines(lines, sizes, least, share, most))
+    gone = scratch.save("gone", lines.join(common, ["host", "line"]).select("did", "tag", "host", "at", "words").distinct())
+    scratch.drop("sizes", "lines", "common")
+    return gone
 
 
-def quality(docs: DataFrame, most: int = 20, share: float = 0.05, left: float = 0.2, least_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+def quality(
+    docs: DataFrame, least: int = 20, share: float = 0.05, most: int = 1000, left: float = 0.2, least_words: int = 10, repeat_percent: int = 20
+) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     base_failed: fewer than ``least_words`` words, or more than ``repeat_percent`` % of them in repeated 5-word windows. Else a document
     is rejected when the lines that are common on its host (see common_lines) leave less than ``left`` of its words.
     Null and empty texts have no words and fail; a null source is a host of its own; repeated rows each get their row; an empty table gives
     no rows; other columns are ignored."""
-    out = _judged(docs, most, share, left, least_words, repeat_percent)
+    scratch, named = Scratch(docs.sparkSession, "quality"), _keyed(docs)
+    out = _judged(named, _gone(scratch, named, least, share, most), left, least_words, repeat_percent)
     return out.select(id_back(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _judged(docs: DataFrame, most: int, share: float, left: float = 0.2, least_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """The statistics and verdict of each row of ``docs``, by (did, tag)."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    named = _keyed(docs)
-    gone = scratch.save("gone", _depleted(scratch, named, most, share).groupBy("did", "tag", "host").agg(F.sum("words").alias("gone")).groupBy("did", "tag").agg(F.max("gone").alias("gone")))
+def _judged(named: DataFrame, gone: DataFrame, left: float, least_words: int, repeat_percent: int) -> DataFrame:
+    """The statistics and verdict of each row of ``named``, by (did, tag); of a text's hosts the one where most goes counts."""
+    lost = gone.groupBy("did", "tag", "host").agg(F.sum("words").alias("gone")).groupBy("did", "tag").agg(F.max("gone").alias("gone"))
     stats = named.select("did", "tag", "text").mapInArrow(_statistics, ", ".join(f"{n} long" for n in _STATS.names))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    out = stats.join(gone, ["did", "tag"], "left").withColumn("base_failed", failed)
+    out = stats.join(lost, ["did", "tag"], "left").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_words") - F.coalesce("gone", F.lit(0)) >= F.col("n_words") * left)
     return out.withColumn("kept", kept)
 
 
-def keep_good(docs: DataFrame, most: int = 20, share: float = 0.05, **how: float) -> DataFrame:
+def keep_good(
+    docs: DataFrame, least: int = 20, share: float = 0.05, most: int = 1000, left: float = 0.2, least_words: int = 10, repeat_percent: int = 20
+) -> DataFrame:
     """``docs`` without rejected documents and, in the rest, without the lines above the limits; n_chars follows.
 
-    Each text under one doc_id, null or not, is judged and cut by itself, and by each of its hosts."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    named = _keyed(docs)
-    gone = _depleted(scratch, named, most, share).groupBy("did", "tag", "host").agg(F.collect_set("at").alias("gone_lines"))
-    verdict = _judged(docs, most, share, **how).filter("kept").select("did", "tag").distinct()
-    hosts = named.select("did", "tag", "host").distinct()
-    marks = verdict.join(hosts, ["did", "tag"]).join(gone, ["did", "tag", "host"], "left")
-    marks = scratch.save("marks", marks.withColumnsRenamed({"did": "marked", "tag": "marked_tag", "host": "marked_host"}))
-    here = (id_of(docs["doc_id"]) == marks["marked"]) & (text_tag(docs["text"]) == marks["marked_tag"]) & (_host(docs["source"]) == marks["marked_host"])
-    out = docs.join(marks, here)
-    text = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone_lines", s.i)), lambda s: s.x), "\n")
-    out = out.withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(text))
-    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    Each text under one doc_id, null or not, is judged and cut by itself, and cut by each of its hosts. Null and empty texts have no words and go; repeated rows
+    are kept or go together; an empty table stays empty; other columns may have any names."""
+    scratch, named = Scratch(docs.sparkSession, "quality"), _keyed(docs)
+    gone = _gone(scratch, named, least, share, most)
+    verdict = _judged(named, gone, left, least_words, repeat_percent).filter("kept").select("did", "tag").distinct()
+    cuts = gone.groupBy("did", "tag", "host").agg(F.collect_set("at").alias("cuts"))
+    marks = verdict.join(named.select("did", "tag", "host").distinct(), ["did", "tag"]).join(cuts, ["did", "tag", "host"], "left")
+    marks = scratch.save("marks", marks)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"), _host(F.col("source")).alias("host"))
+    out = rows.join(marks, ["did", "tag", "host"])
+    lines = F.transform(F.split("row.text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    kept = F.array_join(F.transform(F.filter(lines, lambda s: ~F.array_contains("cuts", s.i)), lambda s: s.x), "\n")
+    text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(kept)
+    values = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(values[c].alias(c) if c in values else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -136,11 +136,11 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(genera
 l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM d),
 m AS (SELECT doc_id, host, line, i, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS k, len(regexp_extract_all(line, '{_WORDS}')) AS n FROM l WHERE regexp_matches(line, '{_WORDS}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM m GROUP BY doc_id),
-a AS (SELECT *, concat_ws('|', coalesce(lag(k) OVER w, chr(1)), coalesce(lead(k) OVER w, chr(1))) AS around FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 size AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-common AS (SELECT host, k FROM a JOIN size USING (host) GROUP BY host, k, size.n
-           HAVING least(count(DISTINCT doc_id), count(DISTINCT around)) > greatest(20, 0.05 * size.n)),
-gone AS (SELECT doc_id, sum(n) AS n FROM a SEMI JOIN common USING (host, k) GROUP BY doc_id),
+texts AS (SELECT doc_id, md5(text) AS t FROM d),
+common AS (SELECT host, k FROM m JOIN texts USING (doc_id) JOIN size USING (host) GROUP BY host, k, size.n
+           HAVING count(DISTINCT t) > least(greatest(20, 0.05 * size.n), 1000)),
+gone AS (SELECT doc_id, sum(n) AS n FROM m SEMI JOIN common USING (host, k) GROUP BY doc_id),
 x AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
              coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS lost
       FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
