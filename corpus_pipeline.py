@@ -10,6 +10,9 @@ from docquarry.llm import bpe_chunks, decontaminate, line_quality, simhash, suff
 from docquarry.llm.queries import tokenizer_path
 from docquarry.session import Scratch, table
 
+#: Bytes of a repeated passage: what 51 words of 3.7 letters and a blank take.
+PASSAGE_BYTES = 240
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and lines that are common on their host go from the rest."""
@@ -22,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that stand elsewhere too are cut out."""
-    return suffix_dedup.cut_repeats(docs)
+    """Passages of PASSAGE_BYTES and more that stand earlier too are cut out; the first of each stays."""
+    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES, keep_first=True)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,16 @@ Every byte is judged, but not every suffix is sorted. A window of ``window`` byt
 *anchor*, half a window long), so equal windows have equal anchors at equal offsets. Anchors whose gram stands
 once in the corpus can't lie in a repeated window and go. What stands to the right of each remaining anchor (a
 suffix) and, read backwards, to its left (a suffix of the reversed text) is sorted twice over: tasks sort runs, code
-them by front (length of the common prefix, then the rest), deal them out by splitters, and merge what they
+them by front (length of the common prefix, then the rest), deal them out by ranges of the gram's hash, and merge what they
 receive with a loser tree that carries common prefixes along and never compares a known prefix again. Its lengths of common prefixes tell how
 far each anchor's neighbours agree with it on both sides, hence which windows repeat. Offsets that no
 single neighbour settles are decided by comparing hashes of those windows themselves.
 
 Contexts that are equal over their whole length are counted before the sort, so a group of copies, however large, is one
-suffix; a gram with a very large number of different contexts is spread by the splitters.
+suffix; a gram with a very large number of different contexts is spread by splitters of its own.
+
+Where the first occurrence is to stay, the same merge also finds, for each suffix, the nearest ones in order that stand earlier in
+the corpus and the offsets shared all the way to them.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrow import fewer, id_back, keyed, longs, texts
+from docquarry.llm.arrow import fewer, id_back, id_of, keyed, longs, text_tag, texts
 from docquarry.llm.hashing import BLOCK, Rolling, as_long, byte_codes, minimizers
 from docquarry.session import Scratch
 
 GRAM_BYTES = 16
 RUN_ROWS = 60_000
+#: A gram with more contexts than this, and than one in HOT_SHARE of all, is spread by splitters.
+HOT_ROWS, HOT_SHARE = 2_000, 1_000_000
 _ANCHORS = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16())])
 
 
@@ -117,15 +122,15 @@ def _prefixes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-_RUNS = pa.schema([("dest", pa.int32()), ("run", pa.binary())])
-_HEAD = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("n", "<i4"), ("first", "<i2"), ("second", "<i2"), ("lcp", "<u2"), ("ghost", "?")])
+_RUNS = pa.schema([("dest", pa.int64()), ("run", pa.binary())])
+_HEAD = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("did", "<i8"), ("tag", "<i8"), ("pos", "<i4"), ("first", "<i2"), ("second", "<i2"), ("lcp", "<u2"), ("ghost", "?")])
 
 
-def _sorted_runs(first: str, second: str, reach: int, splitters: list[bytes]):
+def _sorted_runs(first: str, second: str, reach: int, dests: int, hot: dict[bytes, tuple[int, list[bytes]]]):
     """Sorted runs, front-coded, one piece for each destination.
 
-    A piece also takes along its neighbours beyond the splitters (ghosts) where they share the splitter's gram,
-    so every suffix meets its true neighbours."""
+    Destinations are equal ranges of the grams' hashes, which need no sample. Only a gram with very many contexts (``hot``) is cut further, by
+    splitters of its own; its pieces also take along their neighbours beyond the splitters (ghosts), so every suffix meets its true neighbours."""
 
     def piece(rows: np.ndarray, head: np.ndarray) -> bytes:
         head["lcp"] = _prefixes(rows)
@@ -137,24 +142,36 @@ def _sorted_runs(first: str, second: str, reach: int, splitters: list[bytes]):
         order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
         rows = rows[order]
         head = np.zeros(len(rows), _HEAD)
-        for name in ("c1", "c2", "n"):
+        for name in ("c1", "c2", "did", "tag", "pos"):
             head[name] = longs(batch[name])[order]
         for name, column in (("first", first), ("second", second)):
             head[name] = np.array([len(x) for x in batch[column].to_pylist()], np.int64)[order]
-        keys = [r.tobytes() for r in rows]
-        cuts = [0, *(bisect.bisect_left(keys, s) for s in splitters), len(keys)]
-        dests, runs = [], []
-        for d, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            before = i > 0 and d > 0 and keys[i - 1][:GRAM_BYTES] == splitters[d - 1][:GRAM_BYTES]
-            after = j < len(keys) and d < len(splitters) and keys[j][:GRAM_BYTES] == splitters[d][:GRAM_BYTES]
-            if i == j and not before and not after:
-                continue
-            part = head[i - before : j + after].copy()
-            part["ghost"][:1] |= before
-            part["ghost"][len(part) - 1 :] |= after
-            dests.append(d)
-            runs.append(piece(rows[i - before : j + after], part))
-        yield pa.RecordBatch.from_arrays([pa.array(dests, pa.int32()), pa.array(runs, pa.binary())], schema=_RUNS)
+        upper = np.ascontiguousarray(rows[:, :4]).view(">u4").ravel().astype(np.uint64)
+        dest = ((upper * np.uint64(dests)) >> np.uint64(32)).astype(np.int64)
+        ghosts: dict[int, tuple[int, int]] = {}
+        if hot:
+            grams = [r.tobytes() for r in rows[:, :GRAM_BYTES]]
+            for gram, (base, splitters) in hot.items():
+                i, j = bisect.bisect_left(grams, gram), bisect.bisect_right(grams, gram)
+                keys = [r.tobytes() for r in rows[i:j]]
+                cuts = [i, *(i + bisect.bisect_left(keys, s) for s in splitters), j]
+                for d, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    dest[x:y] = base + d
+                    ghosts[base + d] = (x - 1 if x > i else -1, y if y < j else -1)
+        by = np.argsort(dest, kind="stable")
+        starts = np.flatnonzero(np.diff(dest[by], prepend=-1))
+        members = {int(dest[by[i]]): by[i:j] for i, j in zip(starts, np.append(starts[1:], len(by)), strict=True)}
+        dests_out, runs = [], []
+        for d in sorted(members.keys() | ghosts.keys()):
+            before, after = ghosts.get(d, (-1, -1))
+            at = np.concatenate([[before] * (before >= 0), members.get(d, by[:0]), [after] * (after >= 0)]).astype(np.int64)
+            if len(at):
+                part = head[at]
+                part["ghost"][:1] |= before >= 0
+                part["ghost"][len(part) - 1 :] |= after >= 0
+                dests_out.append(d)
+                runs.append(piece(rows[at], part))
+        yield pa.RecordBatch.from_arrays([pa.array(dests_out, pa.int64()), pa.array(runs, pa.binary())], schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,11 +252,31 @@ def merge(runs: list[list[bytes]], lcps: list[list[int]]) -> Iterator[tuple[int,
             node //= 2
 
 
-_NEIGHBOURS = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("hat", pa.int16()), ("a1", pa.int16()), ("b1", pa.int16()), ("a2", pa.int16()), ("b2", pa.int16())])
+_SIDES = ("a1", "b1", "a2", "b2", "a3", "b3", "a4", "b4")
+_NEIGHBOURS = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("hat", pa.int16()), ("split", pa.bool_()), *((n, pa.int16()) for n in _SIDES)])
+
+
+def _nearest_earlier(rank: list[int], a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Of each row, the offsets shared with the nearest row before it of lower rank: those that all links between share.
+
+    ``a`` and ``b`` bound the offsets that a row shares with the row before. Rows that share an offset stand together, so the nearest of
+    lower rank shares it wherever any does; a stack of rows of rising rank finds it in one pass."""
+    left, right = [1] * len(rank), [0] * len(rank)
+    stack: list[tuple[int, int, int]] = []
+    for i, r in enumerate(rank):
+        x, y = a[i], b[i]
+        while stack and stack[-1][0] > r:
+            _, p, q = stack.pop()
+            x, y = max(x, p), min(y, q)
+        if stack:
+            left[i], right[i] = x, y
+        stack.append((r, x, y))
+    return left, right
 
 
-def _merged(reach: int, right_first: bool):
-    """Of each suffix: how far either neighbour agrees with it, and the offsets of windows that it shares with each."""
+def _merged(reach: int, right_first: bool, keep_first: bool):
+    """Of each suffix: how far either neighbour agrees with it, the offsets of windows that it shares with each, and with the nearest
+    suffixes on both sides that stand earlier in the corpus; ``split``: its gram goes on in another destination."""
     width = GRAM_BYTES + 2 * reach
 
     def run(table: pa.Table) -> pa.Table:
@@ -259,24 +296,56 @@ def _merged(reach: int, right_first: bool):
         cut = lambda name, x: np.minimum(x, np.minimum(head[name], np.concatenate([head[name][:1], head[name][:-1]])))
         one, two = cut("first", hat), cut("second", other)
         right, left = (one, two) if right_first else (two, one)
-        a, b = np.where(same, reach - right, 1), np.where(same, left, 0)
+        a, b = np.where(same, reach - right, reach + 1), np.where(same, left, -1)
         ahead = lambda x, none: np.append(x[1:], none)
         most = np.minimum(np.maximum(hat, ahead(hat, -1)), head["first"])
         real = ~head["ghost"]
-        columns = (head["c1"], head["c2"], most, a, b, ahead(a, 1), ahead(b, 0))
+        next_a, next_b = ahead(a, reach + 1), ahead(b, -1)
+        earlier = [np.full(len(head), x) for x in (reach + 1, -1, reach + 1, -1)]
+        if keep_first:
+            rank = np.empty(len(head), np.int64)
+            rank[np.lexsort((head["pos"], head["tag"], head["did"]))] = np.arange(len(head))
+            earlier[:2] = map(np.array, _nearest_earlier(rank.tolist(), a.tolist(), b.tolist()))
+            earlier[2:] = (np.array(x[::-1]) for x in _nearest_earlier(rank[::-1].tolist(), next_a[::-1].tolist(), next_b[::-1].tolist()))
+        group = np.cumsum(~same)
+        split = np.isin(group, group[~real])
+        columns = (head["c1"], head["c2"], most, split, a, b, next_a, next_b, *earlier)
         return pa.Table.from_arrays([pa.array(x[real].astype(f.type.to_pandas_dtype())) for x, f in zip(columns, _NEIGHBOURS, strict=True)], schema=_NEIGHBOURS)
 
     return run
 
 
-def _neighbours(classes: DataFrame, reach: int, dests: int, right_first: bool) -> DataFrame:
+def _hot_grams(classes: DataFrame, rows_of_all: int, dests: int) -> dict[str, dict[bytes, tuple[int, list[bytes]]]]:
+    """Splitters for either order of the grams with very many contexts, so that no destination has over about ``most`` rows of one.
+
+    Of those grams alone, 4 keys of 80 bytes are sampled for each ``most`` rows: 4 * HOT_SHARE keys at the very most, whatever the corpus."""
+    most = max(HOT_ROWS, rows_of_all // HOT_SHARE)
+    hot = classes.groupBy("g1", "g2").agg(F.count("*").alias("m")).filter(F.col("m") > most)
+    sizes = hot.orderBy("g1", "g2").collect()
+    out: dict[str, dict[bytes, tuple[int, list[bytes]]]] = {"right": {}, "side": {}}
+    if not sizes:
+        return out
+    gram = F.concat(F.unhex(F.lpad(F.hex("g1"), 16, "0")), F.unhex(F.lpad(F.hex("g2"), 16, "0")))
+    # c2 is a hash, so this share of its range is a sample; any splitters give the same rows
+    rows = classes.join(hot, ["g1", "g2"]).filter(F.pmod("c2", F.lit(1 << 20)) < (4 << 20) / most)
+    for name in out:
+        keys: dict[bytes, list[bytes]] = {}
+        for r in rows.select(gram.alias("gram"), F.substring(F.col(name), 1, 64).alias("key")).collect():
+            keys.setdefault(bytes(r.gram), []).append(bytes(r.gram) + bytes(r.key))
+        base = dests
+        for g1, g2, m in sizes:
+            key = int(g1).to_bytes(8, "big", signed=True) + int(g2).to_bytes(8, "big", signed=True)
+            found, parts = sorted(keys.get(key, [])), m // most + 1
+            out[name][key] = (base, sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else [])
+            base += parts
+    return out
+
+
+def _neighbours(classes: DataFrame, reach: int, dests: int, right_first: bool, hot: dict[str, dict[bytes, tuple[int, list[bytes]]]], keep_first: bool) -> DataFrame:
     first, second = ("right", "side") if right_first else ("side", "right")
-    key = F.concat(F.unhex(F.lpad(F.hex("g1"), 16, "0")), F.unhex(F.lpad(F.hex("g2"), 16, "0")), F.substring(F.col(first), 1, 64))
-    # a bounded sample, 16 keys a destination, only balances the destinations; any splitters give the same rows
-    sample = sorted(bytes(r.key) for r in classes.select(key.alias("key"), "c2").orderBy("c2").limit(16 * dests).select("key").collect())
-    splitters = sorted({sample[i * len(sample) // dests] for i in range(1, dests)}) if sample else []
-    runs = classes.mapInArrow(_sorted_runs(first, second, reach, splitters), "dest int, run binary")
-    return runs.groupBy("dest").applyInArrow(_merged(reach, right_first), "c1 long, c2 long, hat short, a1 short, b1 short, a2 short, b2 short")
+    rows = classes.select("c1", "c2", "g1", "g2", "side", "right", F.col("one.did").alias("did"), F.col("one.tag").alias("tag"), F.col("one.pos").alias("pos"))
+    runs = rows.mapInArrow(_sorted_runs(first, second, reach, dests, hot[first]), "dest long, run binary")
+    return runs.groupBy("dest").applyInArrow(_merged(reach, right_first, keep_first), "c1 long, c2 long, hat short, split boolean, " + ", ".join(f"{n} short" for n in _SIDES))
 
 
 def _windows(reach: int):
@@ -302,8 +371,9 @@ def _windows(reach: int):
     return run
 
 
-def removable_spans(scratch: Scratch, docs: DataFrame, window: int) -> DataFrame:
-    """(did, tag, a, b): spans of bytes that windows standing elsewhere too cover; of copies only one need be given."""
+def removable_spans(scratch: Scratch, docs: DataFrame, window: int, keep_first: bool = False) -> DataFrame:
+    """(did, tag, a, b): spans of bytes that windows standing elsewhere too cover (``keep_first``: standing earlier too, by did, tag and
+    place); of copies only one need be given."""
     spark, gram = docs.sparkSession, window // 2
     reach = window - gram
     anchors = scratch.save("anchors", docs.mapInArrow(_anchors(window), "h long, did long, tag long, pos int, lo short, hi short"))
@@ -313,37 +383,52 @@ def removable_spans(scratch: Scratch, docs: DataFrame, window: int) -> DataFrame
     places = docs.join(held, ["did", "tag"]).mapInArrow(_contexts(window), "did long, tag long, c1 long, c2 long, g1 long, g2 long, pos int, lo short, hi short, side binary, right binary")
     places = scratch.save("places", places)
     scratch.drop("anchors", "twice", "held")
-    classes = places.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("g1", "g2", "side", "right")))
+    classes = places.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("g1", "g2", "side", "right")), F.min(F.struct("did", "tag", "pos")).alias("one"))
     classes = scratch.save("classes", classes.withColumn("n", F.least("n", F.lit(2)).cast("int")))
-    dests = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // 100_000)
-    sides = scratch.save("sides", _neighbours(classes, reach, dests, True).withColumn("s", F.lit("r")).unionByName(_neighbours(classes, reach, dests, False).withColumn("s", F.lit("l"))))
-    pairs = F.array(*(F.struct(F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b")) for i in (1, 2)))
+    size = classes.count()
+    dests = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 20_000)
+    hot = _hot_grams(classes, size, dests)
+    order = lambda right, s: _neighbours(classes, reach, dests, right, hot, keep_first).withColumn("s", F.lit(s))
+    sides = scratch.save("sides", order(True, "r").unionByName(order(False, "l")))
+    pair = lambda i: F.struct(F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b"))
+    listed = lambda *i: F.flatten(F.collect_list(F.array(*map(pair, i))))
     hat = lambda s: F.max(F.when(F.col("s") == s, F.col("hat")))
-    found = sides.groupBy("c1", "c2").agg(hat("r").alias("r"), hat("l").alias("l"), F.flatten(F.collect_list(pairs)).alias("known"))
-    found = found.join(classes.select("c1", "c2", "n"), ["c1", "c2"])
-    # all offsets that can repeat lie from lo to hi; those in ``known`` do
-    found = found.select(
-        "c1", "c2", (F.lit(reach) - F.col("r")).cast("int").alias("lo"), F.col("l").cast("int").alias("hi"),
-        F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(reach).alias("b"))))
-        .otherwise(F.array_sort(F.filter("known", lambda x: x.a <= x.b)).cast("array<struct<a:int,b:int>>")).alias("known"),
-        (F.col("n") > 1).alias("whole"),
-    )
-    # offsets from lo on that the known ranges, in order, cover without a gap
-    upto = F.aggregate("known", F.col("lo") - 1, lambda acc, x: F.when(x.a <= acc + 1, F.greatest(acc, x.b)).otherwise(acc))
-    found = scratch.save("found", found.filter("whole or lo <= hi").withColumn("open", ~F.col("whole") & (upto < F.col("hi"))))
+    found = sides.groupBy("c1", "c2").agg(hat("r").alias("r"), hat("l").alias("l"), listed(1, 2).alias("next"), listed(3, 4).alias("earlier"), F.bool_or("split").alias("split"))
+    found = found.join(classes.select("c1", "c2", "n", "one"), ["c1", "c2"])
+    # all offsets that can repeat lie from lo to hi; those in ``known`` do (or stand earlier too)
+    known = F.array_sort(F.filter("earlier" if keep_first else "next", lambda x: x.a <= x.b)).cast("array<struct<a:int,b:int>>")
+    found = found.select("c1", "c2", "one", (F.lit(reach) - F.col("r")).cast("int").alias("lo"), F.col("l").cast("int").alias("hi"), known.alias("known"), (F.col("n") > 1).alias("whole"), "next", "split")
+    if keep_first:
+        # where all neighbours share the same offsets, all that share one stand together, and the nearest earlier ones decide
+        apart = F.col("split") | F.exists("next", lambda x: (x.a <= reach) & ((x.a > F.col("lo")) | (x.b < F.col("hi"))))
+        is_open = (F.col("lo") <= F.col("hi")) & apart
+    else:
+        # offsets from lo on that the known ranges, in order, cover without a gap
+        upto = F.aggregate("known", F.col("lo") - 1, lambda acc, x: F.when(x.a <= acc + 1, F.greatest(acc, x.b)).otherwise(acc))
+        is_open = ~F.col("whole") & (upto < F.col("hi"))
+    found = scratch.save("found", found.filter("whole or lo <= hi").withColumn("open", is_open).drop("next", "split"))
     scratch.drop("sides")
-    ranges = found.select("c1", "c2", F.explode("known").alias("k")).select("c1", "c2", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+    nothing = F.lit(None).cast(found.schema["one"].dataType).alias("but")
+    ranges = found.filter("true" if keep_first else "not whole").select("c1", "c2", F.explode("known").alias("k")).select("c1", "c2", F.col("k.a").alias("a"), F.col("k.b").alias("b"), nothing)
+    # all places of a class with several repeat at every offset; where the first is kept, all but that
+    whole = found.filter("whole").select("c1", "c2", F.lit(0).alias("a"), F.lit(reach).alias("b"), F.col("one").alias("but") if keep_first else nothing)
+    ranges = ranges.unionByName(whole)
     open_grams = scratch.save("open", found.filter("open").join(classes.select("c1", "c2", "g1", "g2"), ["c1", "c2"]).select("g1", "g2").distinct())
     if open_grams.head(1):
-        asked = classes.join(open_grams, ["g1", "g2"]).join(found.select("c1", "c2", "lo", "hi"), ["c1", "c2"])
+        asked = classes.join(open_grams, ["g1", "g2"]).join(found.filter("lo <= hi" if keep_first else "true").select("c1", "c2", "lo", "hi"), ["c1", "c2"])
         rows = asked.select("c1", "c2", "g1", "g2", F.col("n").cast("long").alias("n"), "side", "right", "lo", "hi").mapInArrow(_windows(reach), "c1 long, c2 long, g1 long, g2 long, k1 long, k2 long, n long, p int")
-        rows = scratch.save("rows", rows)
         name = ["g1", "g2", "p", "k1", "k2"]
-        more = rows.join(scratch.save("met", rows.groupBy(*name).agg(F.sum("n").alias("m")).filter("m > 1").drop("m")), name)
-        ranges = ranges.unionByName(more.select("c1", "c2", F.col("p").alias("a"), F.col("p").alias("b")))
+        if keep_first:
+            rows = scratch.save("rows", rows.join(classes.select("c1", "c2", "one"), ["c1", "c2"]).drop("n"))
+            met = rows.groupBy(*name).agg(F.min("one").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+            more = rows.join(scratch.save("met", met), name).filter("one <> least")
+        else:
+            rows = scratch.save("rows", rows)
+            more = rows.join(scratch.save("met", rows.groupBy(*name).agg(F.sum("n").alias("m")).filter("m > 1").drop("m")), name)
+        ranges = ranges.unionByName(more.select("c1", "c2", F.col("p").alias("a"), F.col("p").alias("b"), nothing))
     ranges = scratch.save("ranges", ranges)
     spans = places.select("did", "tag", "pos", "lo", "hi", "c1", "c2").join(ranges, ["c1", "c2"])
-    spans = spans.withColumns({"p": F.greatest("a", "lo"), "q": F.least("b", "hi")}).filter("p <= q")
+    spans = spans.withColumns({"p": F.greatest("a", "lo"), "q": F.least("b", "hi")}).filter("p <= q").filter(F.col("but").isNull() | (F.struct("did", "tag", "pos") != F.col("but")))
     spans = scratch.save("spans", spans.select("did", "tag", (F.col("pos") - F.col("q")).alias("a"), (F.col("pos") - F.col("p") + window).alias("b")))
     scratch.drop("places", "classes", "found", "open", "rows", "met", "ranges")
     return spans
@@ -360,14 +445,16 @@ def union_of(spans: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), min(int(b), length)) for a, b in zip(spans[fresh, 0], ends, strict=True)]
 
 
-def with_spans(docs: DataFrame, window: int) -> DataFrame:
+def with_spans(docs: DataFrame, window: int, keep_first: bool = False) -> DataFrame:
     """``docs`` (did, tag, text and what else it has) with ``whole`` (every byte goes) and ``spans``, arrays of (a, b) to unite."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    sums = scratch.save("sums", docs.select("did", "tag", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("size")).filter(F.col("size") >= window))
+    sums = docs.select("did", "tag", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("size")).filter(F.col("size") >= window)
+    sums = scratch.save("sums", sums.distinct() if keep_first else sums)
     groups = scratch.save("groups", sums.groupBy("sum").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tag")).alias("one")).filter("copies > 1"))
     copies = sums.join(groups, "sum")
-    copies = scratch.save("copies", copies.select("did", "tag", (F.struct("did", "tag") == F.col("one")).alias("one")).distinct())
-    spans = removable_spans(scratch, docs.select("did", "tag", "text"), window)
+    copies = copies.filter(F.struct("did", "tag") != F.col("one")) if keep_first else copies
+    copies = scratch.save("copies", copies.select("did", "tag").distinct())
+    spans = removable_spans(scratch, docs.select("did", "tag", "text"), window, keep_first)
     spans = spans.join(copies, ["did", "tag"], "left_anti").groupBy("did", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     info = spans.withColumn("whole", F.lit(False)).unionByName(copies.select("did", "tag", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole")))
     return docs.join(scratch.save("info", info), ["did", "tag"], "left")
@@ -408,27 +495,37 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     return out.select(id_back(F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts_out = []
-        for data, whole, spans in zip(texts(batch["text"]), batch["whole"].to_pylist(), batch["spans"], strict=True):
-            keep, at = [], 0
-            for a, b in [(0, len(data))] if whole else kept_spans(spans, len(data)):
-                while a < b and data[a] & 0xC0 == 0x80:  # a character that is removed in part stays
-                    a += 1
-                while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
-                    b -= 1
-                keep.append(data[at:a].tobytes())
-                at = b
-            keep.append(data[at:].tobytes())
-            texts_out.append(b"".join(keep).decode("utf-8", "replace"))
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(texts_out, batch.schema.field(i).type)).drop_columns(["did", "tag", "whole", "spans"])
+def _cut(names: list[str]):
+    """The columns ``names`` from (rest, text, whole, spans), the text without what goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_out = []
+            for data, whole, spans in zip(texts(batch["text"]), batch["whole"].to_pylist(), batch["spans"], strict=True):
+                keep, at = [], 0
+                for a, b in [(0, len(data))] if whole else kept_spans(spans, len(data)):
+                    while a < b and data[a] & 0xC0 == 0x80:  # a character that is removed in part stays
+                        a += 1
+                    while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+                        b -= 1
+                    keep.append(data[at:a].tobytes())
+                    at = b
+                keep.append(data[at:].tobytes())
+                texts_out.append(b"".join(keep).decode("utf-8", "replace"))
+            columns = [pa.array(texts_out, batch["text"].type) if n == "text" else batch["rest"].field(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
 
+def cut_repeats(docs: DataFrame, window: int = 400, keep_first: bool = False) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text`` by whole characters; columns and rows stay, and n_chars follows.
 
-def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text`` by whole characters; columns and rows stay, and n_chars follows."""
+    ``keep_first``: of each ``window``-byte string, what stands first stays, by doc_id (null is least), then by a hash of the text, then by place;
+    else every occurrence goes, as in remove_repeats. Null and empty texts become empty; texts shorter than the window stay; rows that repeat an id and text
+    are cut alike (they count as copies unless the first is kept); an empty table stays empty; other columns may have any names."""
+    rest = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tag": F.xxhash64(text), "text": text})
-    out = with_spans(marked, window).select(*docs.columns, "did", "tag", "whole", "spans").mapInArrow(_cut, docs.schema)
+    marked = docs.select(F.struct(*rest).alias("rest"), text.alias("text"), id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"))
+    out = with_spans(marked, window, keep_first).select("rest", "text", "whole", "spans").mapInArrow(_cut(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
