@@ -96,3 +96,14 @@ def hit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rows.select(F.col("o_custkey").alias("query_id"), F.col("id").alias("point_id"), F.row_number().over(w).alias("rank"))
     found = D.extract_metrics(rows, "id", "text").select(F.col("id").alias("point_id"), F.lit("c").alias("company"), F.lit("y").alias("year"), "metric", "value")
     return D.hit_metrics(hits, found).select("query_id", "metric", F.round("value", 0).cast("long").alias("amount"))
+
+
+@query(f"""
+WITH {METRICS} SELECT id, '利润表' AS statement_type, metric AS keywords, '[公司=c' || o_custkey || '][章节=s][年份=' || year(o_orderdate) || '][报表=利润表]' AS prefix FROM lines""")
+def statement_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of statement of each line of figures, and the prefix that it is encoded behind."""
+    rows = metric_lines(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text", F.lit("s").alias("section"), F.concat(F.lit("c"), "o_custkey").alias("company"), F.year("o_orderdate").cast("string").alias("year"))
+    children = rows.withColumn("parent_id", F.col("id"))
+    out = D.with_encoding(rows, children)[1]
+    prefix = F.substring("encoding_text", F.lit(1), F.length("encoding_text") - F.length("text"))
+    return out.select(F.col("id").cast("long").alias("id"), "statement_type", F.array_join("financial_keywords", ",").alias("keywords"), prefix.alias("prefix"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.operators import index as X
 from docquarry.operators import metadata as M
 from docquarry.operators.retrieve import containing
 from docquarry.plans.corpus import CHUNKS, chunks, documents
@@ -171,3 +172,34 @@ def catalog_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
     return M.catalog_missing(files, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source || '_' || (2015 + doc_id % 12) || '_' || lang || '.md' AS name, source, lang, list_filter(string_split(substr(coalesce(text, ''), 1, 2000), chr(10)), lambda x: trim(x) <> '')[1] AS line FROM documents)
+SELECT doc_id, CASE WHEN source IN ('src1', 'src10', 'src12') THEN 'Acme ' || source ELSE 'Source House' END AS company, CAST(2015 + doc_id % 12 AS VARCHAR) AS year,
+  CASE lang WHEN 'en' THEN 'annual' WHEN 'fr' THEN 'half_year' WHEN 'de' THEN 'research' ELSE '未知' END AS doc_type, CASE lang WHEN 'en' THEN 0.7 WHEN 'fr' THEN 0.8 WHEN 'de' THEN 1.2 ELSE 1.0 END::DOUBLE AS importance,
+  source AS broker, md5(substr(trim(regexp_replace(coalesce(line, ''), '^\\s*#{1,6}\\s*', '')), 1, 80)) AS title FROM d""")
+def metadata_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made of source, a year and language; three sources have a report code, the others a short name for an alias."""
+    docs = documents(spark, sf_dir).withColumn("name", F.concat("source", F.lit("_"), F.lit(2015) + F.pmod("doc_id", F.lit(12)), F.lit("_"), "lang", F.lit(".md")))
+    sources = docs.select("source").distinct()
+    codes = sources.filter(F.col("source").isin("src1", "src10", "src12")).select(F.concat("source", F.lit("_")).alias("info_code"), F.concat(F.lit("Acme "), "source").alias("stock"))
+    words = _pairs(spark, [("annual", 1, "_en.md"), ("half_year", 2, "_fr.md"), ("research", 3, "_de.md")], "doc_type string, prio int, keyword string")
+    rows = M.extract_metadata(docs, "name", "text", codes, words, sources.select(F.col("source").alias("broker")), _pairs(spark, [("src", "Source House")], "alias string, canonical string"))
+    return rows.select("doc_id", "company", "year", "doc_type", "importance", "broker", F.md5("title").alias("title"))
+
+
+OUTLINED = f"{CHUNKS}, outlines AS (SELECT doc_id, child, doc_type FROM chunks WHERE child % 3 = 0)"
+
+
+@query(f"""
+WITH {OUTLINED} SELECT doc_id, count(*) AS points, count(*) FILTER (kind = 'outline') AS outlines, count(*) FILTER (kind = 'outline' AND state = 'new') AS fresh FROM (
+  SELECT doc_id, 'child' AS kind, 'old' AS state FROM chunks UNION ALL SELECT doc_id, 'outline', CASE WHEN doc_type = 'fr' THEN 'old' ELSE 'new' END FROM outlines) GROUP BY doc_id""")
+def outline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third chunk stands for an outline; those of one language are there already and stay as they are."""
+    rows = chunks(spark, sf_dir)
+    outlines = rows.filter("child % 3 = 0").select("doc_id", F.col("child").alias("section_order"), F.col("company").alias("section"), F.substring("text", 1, 60).alias("outline_text"), F.concat(F.lit("new "), "text").alias("text"), "doc_type")
+    held = X.outline_points(rows.select("point_id", "doc_id", "text").withColumn("chunk_type", F.lit("child")), outlines.filter("doc_type = 'fr'").withColumn("text", F.lit("old")).drop("doc_type"))
+    out = X.outline_points(held, outlines.drop("doc_type"))
+    kind = F.col("chunk_type") == "outline"
+    return out.groupBy("doc_id").agg(F.count("*").alias("points"), F.count_if(kind).alias("outlines"), F.count_if(kind & F.startswith("text", F.lit("new "))).alias("fresh"))

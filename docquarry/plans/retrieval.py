@@ -146,6 +146,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(lexical(spark, sf_dir))
 
 
+@query(f"WITH {BM} SELECT query_id, point_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 7")
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that was saved and loaded again, without cutting texts into terms."""
+    path = f"{Scratch(spark, 'saved-index').path}/index"
+    index_of(spark, sf_dir).save(path)
+    return _hits(S.lexical(SearchIndex.load(spark, path, DIM), queries_of(spark, sf_dir), 7))
+
+
 @query(f"""WITH {BM}, f AS (SELECT bs.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM bs JOIN chunks USING (point_id)
   WHERE round(score, 6) > 0 AND (query_id % 3 = 0 OR company = 'src' || (query_id % 20)) QUALIFY rank <= 20)
 SELECT query_id, point_id, rank, round(score, 6) AS score FROM f""")

@@ -12,7 +12,8 @@ from docquarry.operators.retrieve import containing
 from docquarry.plans.corpus import documents
 from docquarry.plans.registry import query
 from docquarry.plans.retrieval import HYBRID, hybrid, queries_of
-from docquarry.session import table
+from docquarry.session import Scratch, table
+from docquarry.sources import tables as T
 
 CALLS = """
 calls AS (SELECT event_id AS call_id, user_id AS session_id, event_type AS model, ts, CAST(floor(abs(value) * 100) AS BIGINT) AS prompt_tokens, CAST(length(props) * 10 AS BIGINT) AS completion_tokens FROM events),
@@ -76,6 +77,16 @@ def ttl_repeat_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.repeat_rate(rows, 86_400, "user_id", "layer")
 
 
+@query("SELECT user_id AS session_id, event_type AS status, event_id AS version FROM events WHERE event_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three batches as versions of a session's record, appended and read back."""
+    rows = table(spark, sf_dir, "events").filter("event_id % 11 <> 0").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("status"), F.col("event_id").alias("version"))
+    path = f"{Scratch(spark, 'state').path}/records"
+    for part in range(3):
+        T.append_state(rows.filter(F.pmod("version", F.lit(3)) == part), path)
+    return T.current_state(spark, path, "session_id", "version")
+
+
 TTL = """
 e AS (SELECT user_id, event_type AS layer, epoch_us(ts) AS t FROM events),
 st AS (SELECT user_id, layer, min(t) AS t FROM e GROUP BY ALL UNION ALL SELECT user_id, layer, t FROM (SELECT s.user_id, s.layer, min(e.t) AS t FROM st s JOIN e ON e.user_id = s.user_id AND e.layer = s.layer AND e.t > s.t + 86400000000 GROUP BY s.user_id, s.layer) n),
