@@ -216,7 +216,14 @@ def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outline_sections(docs, "t", "doc_id").select("doc_id", "section_order", "title", F.length("body").alias("n_chars"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+t AS (SELECT *, trim(regexp_replace(line, '^\s*#{1,6}\s*', '')) AS title FROM l),
+h AS (SELECT *, regexp_matches(line, '^\s*(#{1,6}\s+.+|[一二三四五六七八九十]+、.+|\d{1,2}(\.|、)\s*\S.*)$') AND length(title) BETWEEN 3 AND 80 AND NOT regexp_matches(title, '[。；，：,;:.!?！？]$') AND NOT regexp_matches(title, '\d+(\.\d+)?%|\d+\.\d+|增长|下降|同比|环比')
+  AND NOT (length(title) > 15 AND regexp_matches(title, '[，,]')) AND NOT (length(title) > 20 AND regexp_matches(title, '因此|但是|由于|以及|其中|并且')) AND NOT regexp_matches(line, '[、.]\s*(合并资产负债表|母公司资产负债表|合并利润表|母公司利润表|合并现金流量表|母公司现金流量表|合并所有者权益变动表)\s*$') AS opens FROM t),
+s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section_order FROM h)
+SELECT doc_id, CAST(section_order AS BIGINT) AS section_order, coalesce(max(title) FILTER (opens), '前言/概述') AS title, length(string_agg(line, chr(10) ORDER BY i) FILTER (NOT opens)) AS n_chars
+FROM s GROUP BY doc_id, section_order HAVING length(string_agg(line, chr(10) ORDER BY i) FILTER (NOT opens)) >= 500""")
 def outline_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as they are, cut at headings of their own."""
     return C.outline_sections(documents(spark, sf_dir), "text", "doc_id").select("doc_id", "section_order", "title", F.length("body").alias("n_chars"))
