@@ -31,7 +31,8 @@ def examples(turns: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, then role and text; null roles and texts are empty; repeated rows are turns of their own; a
     null conv_id is a conversation of its own; an empty table gives no examples; other columns are ignored. An example holds its whole
-    conversation so far, which is why a conversation's turns may stand in one row."""
+    conversation so far, which is why a conversation's turns stand in one row, and why examples grow with the square of a conversation's
+    replies: one of n replies of m characters gives about n * n * m / 2 characters. A row holds 2 GB at most, an example that is larger fails."""
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     held = held.withColumn("ts", F.transform("ts", lambda t: F.struct(F.concat(F.lit(START), _role(t.role), F.lit("\n")).alias("head"), escape(t.text).alias("body"), (t.role == "assistant").alias("reply"))))

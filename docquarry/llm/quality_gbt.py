@@ -151,4 +151,8 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
+    """Fit on the labelled share of ``docs`` and score all of it: (doc_id, held_out, score, predicted), a row for each row.
+
+    At most ``max_rows`` labelled documents are learnt from; labels without an id or value are left out, of several for an id the greatest counts.
+    Null and empty texts are scored like any other; without usable labels every score is a half; an empty table gives no rows; other columns are ignored."""
     return score(docs, train(docs, labels, max_rows), threshold)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.decontaminate import _few
 from docquarry.session import Scratch
 
 
@@ -39,7 +38,7 @@ def shards(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
     rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
     within = scratch.save("within", global_rank(scratch, "by_source", rows, "stratum", "draw", "doc_id", "text_crc32"))
     strata = scratch.save("strata", within.groupBy("stratum").agg(F.min("rank").alias("first"), F.count("*").alias("n")))
-    share = within.join(_few(strata, strata.count()), "stratum").withColumn("share", (F.col("rank") - F.col("first") + 0.5) / F.col("n")).drop("rank", "first", "n")
+    share = within.join(strata, "stratum").withColumn("share", (F.col("rank") - F.col("first") + 0.5) / F.col("n")).drop("rank", "first", "n")
     placed = global_rank(scratch, "by_share", share, "share", "draw", "doc_id", "text_crc32")
     total = within.count()
     shard = F.expr(f"rank * {n_shards}L div {max(total, 1)}L")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -107,6 +108,20 @@ def repeats(docs, size):
     return out
 
 
+def later_bytes(docs, size):
+    """(doc_id, bytes left) without the bytes that a string of ``size`` bytes standing earlier covers; ``docs`` in their order, without repeated rows."""
+    seen, out = set(), []
+    for d in docs:
+        t = (d[1] or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if t[i : i + size] in seen:
+                gone[i : i + size] = b"\1" * size
+            seen.add(t[i : i + size])
+        out.append((d[0], bytes(c for c, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
 def later_windows(docs, size=20):
     """``docs`` without repeated rows."""
     seen, out = set(), []
@@ -138,5 +153,38 @@ def base_quality(docs):
     return out
 
 
+def features(text):
+    """The classifier's statistics of a text, one after another."""
+    data = (text or "").encode()
+    w = data.split()
+    if not w:
+        return [0.0] * 22
+    n, size = len(w), len(data)
+    _, n_words, _, n_symbols, n_dup, n_repeat, _ = base_quality([(0, text)])[0]
+    assert n_words == n
+    count = lambda keep: sum(map(keep, data))
+    mean = sum(map(len, w)) / n
+    times = Counter(w)
+    lines = data.split(b"\n")
+    share = [c / size for c in Counter(data).values()]
+    marks = set(range(33, 127)) - set(b"0123456789.,") - set(range(65, 91)) - set(range(97, 123))
+    return [
+        math.log1p(size), math.log1p(n), mean, math.sqrt(sum((len(x) - mean) ** 2 for x in w) / n), max(map(len, w)), n_symbols / size, sum(any(c in b"#*$%&|<>" for c in x) for x in w) / n,
+        count(lambda c: 48 <= c < 58) / size, count(lambda c: 65 <= c < 91) / size, data.count(b".") / n, data.count(b",") / n, count(lambda c: c in marks) / size, count(lambda c: c > 127) / size, len(lines) / n, n_dup / len(lines),
+        n_repeat / n, len(times) / n, max(times.values()) / n, len(set(zip(w, w[1:], strict=False))) / (n - 1) if n > 1 else 1.0, sum(len(x) <= 3 for x in w) / n, -sum(p * math.log2(p) for p in share), max(len(x) + 1 for x in lines) / size,
+    ]
+
+
+def tree_score(forest, x):
+    """One row's score, by walking down each tree."""
+    total = forest.base
+    for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+        total += leaf[node - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import bpe_chunks, chat, decontaminate, hashing, line_quality, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
 from docquarry.llm.queries import CONTROL, tokenizer_path
@@ -44,10 +45,18 @@ def test_decontamination(spark, docs, none):
     assert sorted(C.key(r.doc_id) for r in decontaminate.drop_contaminated(docs, bench).collect()) == sorted(C.key(d[0]) for d in DOCS if C.key(d[0]) not in bad)
 
 
-def test_decontamination_without_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
-    bench = spark.createDataFrame([(1, DOCS[11][1])], "item_id long, text string")
-    same(decontaminate.contamination(docs, bench), C.contamination(DOCS, [(1, DOCS[11][1])]))
+def test_decontamination_by_shuffle(spark, docs, monkeypatch):
+    """Many hashes: positions are shuffled, long texts are not, and the result is the same."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", -1)
+    long = next(t for _, t, *_ in DOCS if t and len(t.split()) > 10_000).split()
+    items = [(1, DOCS[11][1]), (2, " ".join(long[-30:])), (3, " ".join(long[5000:5020])), (4, " ".join(long[:13])), (5, "Two words"), (6, " ".join(long[-30:]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(decontaminate.contamination(docs, bench), C.contamination(DOCS, items))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
 def test_simhash(docs, none):
@@ -112,8 +121,21 @@ def test_quality_classifier(spark, docs, none):
     assert quality_gbt.classify(none, labels).collect() == []
 
 
+def test_statistics_and_scores(spark, docs):
+    """Each statistic and each tree against a plain restatement."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    forest = quality_gbt.train(docs, labels)
+    for _, text, *_ in DOCS:
+        want = C.features(text)
+        got = quality_gbt.features(np.frombuffer((text or "").encode(), np.uint8))
+        assert got.tolist() == pytest.approx(want, rel=1e-9, abs=1e-12)
+        assert forest.score(got[None, :])[0] == pytest.approx(C.tree_score(forest, got), rel=1e-9)
+    rows = {(r.doc_id, round(r.score, 9)) for r in quality_gbt.score(docs, forest).collect()}
+    assert rows == {(d[0], round(C.tree_score(forest, quality_gbt.features(np.frombuffer((d[1] or "").encode(), np.uint8))), 9)) for d in DOCS}
+
+
 def test_held_out_accuracy(spark, sf_dir):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/{name}.parquet") for name in ("documents", "labels"))
     rows = quality_gbt.classify(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "quality").toPandas()
     good, bad = rows.score[rows.quality == 1].to_numpy(), rows.score[rows.quality == 0].to_numpy()
     auc = ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
@@ -134,6 +156,31 @@ def test_suffix_dedup(docs, none, window):
     assert suffix_dedup.remove_repeats(none, window).collect() == []
 
 
+@pytest.mark.parametrize(("window", "hot"), [(24, 2000), (60, 2000), (60, 8), (240, 2000)])
+def test_suffix_dedup_keeps_what_stands_first(spark, docs, window, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    rows = [r for r in C.rows() if r[0] is not None]
+    r = random.Random(5)
+    parts = ["".join(r.choice("abcd ") for _ in range(n)) for n in (30, 45, 60, 70, 90, 130, 250, 300)]
+    # shared parts in many orders and cut at many places, so that equal windows meet with differing ones between them
+    texts = ["".join(p[r.randrange(20) :] for p in r.sample(parts, r.randint(1, 5))) for _ in range(150)]
+    rows += [(100 + i, t, None, None, len(t), None, None, None) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, C.COLUMNS).repartition(7)
+    named = frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).distinct().collect()
+    expected = C.later_bytes([(x.doc_id, x.text) for x in sorted(named, key=lambda x: (x.doc_id, x.t))], window)
+    got = suffix_dedup.cut_repeats(frame, window, keep_first=True)
+    assert got.columns == frame.columns
+    # ASCII texts are cut to the byte; in others, characters that are cut in part stay
+    plain = {(x.doc_id, x.t) for x in named if (x.text or "").isascii()}
+    ids = {d for d, _ in plain} - {x.doc_id for x in named if not (x.text or "").isascii()}
+    assert sorted({(x.doc_id, x.text.encode()) for x in got.collect() if x.doc_id in ids}) == sorted({x for x in expected if x[0] in ids})
+
+
+def test_hot_grams_are_split(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
+    same(suffix_dedup.remove_repeats(docs, 60), C.repeats(C.rows(), 60))
+
+
 def test_suffix_dedup_with_many_partial_neighbours(spark):
     """Few letters, so that anchors have neighbours agreeing on either side alone."""
     rng = np.random.RandomState(5)
@@ -285,20 +332,20 @@ def test_texts_under_one_id_are_judged_apart(spark):
     rows = lambda out: Counter(map(tuple, out.collect()))
     good = docs[:16]
     cut = Counter((k, t.replace(f"\n{menu}\n", "\n"), s) for k, t, s in good)
-    assert rows(line_quality.keep_good(frame, most=5, least_words=10)) == cut
+    assert rows(line_quality.keep_good(frame, least=5, least_words=10)) == cut
     assert rows(simhash.one_of_each(spark.createDataFrame(good, "doc_id long, text string, source string"))) == Counter(good)
     items = spark.createDataFrame([(1, good[3][1]), (2, good[12][1])], "item_id long, text string")
     assert rows(decontaminate.drop_contaminated(frame, items)) == Counter(d for i, d in enumerate(docs) if i not in (3, 12))
 
 
 def test_common_lines_deplete(spark):
-    """A line in many different places of a host goes; copies of a document keep theirs; what is left decides."""
+    """A line in many different documents of a host goes, exact copies count once, and what is left decides."""
     menu = "menu of the site with several links to follow"
     docs = [(i, f"own words number {i} and nothing else\n{menu}\nlast line {i} of this page here", "s") for i in range(30)]
     docs += [(100 + i, "a copied text of some length\nthat many pages hold alike in here\nand it never changes at all", "s") for i in range(30)]
     docs += [(200, "x\n" + "\n".join([menu] * 4) + "\ny", "s"), (201, menu, "other")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    how = {"most": 5, "share": 0.05, "least_words": 1, "repeat_percent": 100}
+    how = {"least": 5, "share": 0.05, "least_words": 1, "repeat_percent": 100}
     rows = {r.doc_id: r.kept for r in line_quality.quality(frame, **how).collect()}
     assert [k for k, v in rows.items() if not v] == [200]
     kept = {r.doc_id: r.text for r in line_quality.keep_good(frame, **how).collect()}
@@ -306,3 +353,32 @@ def test_common_lines_deplete(spark):
     assert kept[101] == docs[31][1] and kept[201] == menu and 200 not in kept and len(kept) == 61
 
 
+def test_a_block_of_common_lines_goes_whole(spark):
+    """A footer of four lines that never change their neighbours, on 200 pages of a host, and a limit that large hosts don't raise."""
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(12))
+    footer = ["all rights are reserved by us", "read our cookie policy for more", "About | Help | Terms", "follow us"]
+    own = [f"{prose()}\n{prose()}" for _ in range(200)]
+    docs = [(i, t + "\n" + "\n".join(footer), "s") for i, t in enumerate(own)] + [(1000 + i, f"{prose()}\n{prose()}", "s") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    kept = {r.doc_id: r.text for r in line_quality.keep_good(frame).collect()}
+    assert kept == dict(enumerate(own)) | {i: t for i, t, _ in docs[200:]}
+    kept = {r.doc_id: r.text for r in line_quality.keep_good(frame, share=0.9, most=150).collect()}
+    assert kept == dict(enumerate(own)) | {i: t for i, t, _ in docs[200:]}
+    assert {r.text for r in line_quality.keep_good(frame, share=0.9).collect()} == {t for _, t, _ in docs}
+
+
+def test_operators_with_clashing_columns(spark):
+    """Other columns may be named as what the operators use inside."""
+    names = "whole spans rest row cuts gone_lines did tag host at line words text_tag kept_id kept_tag marked bad_id bad_tag a b h w n_hit sum one copies".split()
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", None, "", "x y"]
+    docs = [(i, t, "s", 3, *range(len(names))) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    for out, left in ((line_quality.keep_good(frame), [0]), (simhash.one_of_each(frame), [0, 1, 3]), (suffix_dedup.cut_repeats(frame, 24, True), [0, 1, 2, 3]), (decontaminate.drop_contaminated(frame, items), [0, 1, 2, 3])):
+        assert out.columns == frame.columns
+        assert sorted((r.doc_id, *r[4:]) for r in out.collect()) == [(i, *range(len(names))) for i in left]
+        assert out.limit(0).columns == frame.columns
+    none = frame.limit(0)
+    for out in (line_quality.keep_good(none), simhash.one_of_each(none), suffix_dedup.cut_repeats(none, 24, True), decontaminate.drop_contaminated(none, items)):
+        assert out.columns == frame.columns and out.collect() == []
