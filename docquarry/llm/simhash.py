@@ -23,6 +23,7 @@ from docquarry.llm.graph import components
 from docquarry.session import Scratch
 
 SEED = 42
+FINGERPRINTS_A_TASK = 50_000
 _PRINTS = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
 
@@ -84,10 +85,12 @@ def _linked(docs: DataFrame, shingle: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save("prints", fingerprints(docs, shingle))
     nodes = scratch.save("nodes", prints.groupBy("fp").agg(F.min("did").alias("least")))
-    cells = nodes.select("fp", F.explode(grid_cells(segment_counts(F.col("fp")))).alias("cell"))
+    # each makes 49 or 65 rows below, so they are spread by what comes out, not by the few bytes that go in
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // FINGERPRINTS_A_TASK)
+    cells = nodes.select("fp").repartition(tasks).select("fp", F.explode(grid_cells(segment_counts(F.col("fp")))).alias("cell"))
     shared = scratch.save("shared", cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"))
     near = scratch.save("near", cells.join(shared, "cell").select("fp").distinct())
-    within = near.select("fp", F.explode(bit_cells(F.col("fp"))).alias("cell")).groupBy("cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    within = near.repartition(tasks).select("fp", F.explode(bit_cells(F.col("fp"))).alias("cell")).groupBy("cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     edges = within.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
     roots = scratch.save("roots", components(scratch, edges))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -111,9 +114,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id; repeated rows of it go too.
 
-    Different texts under one doc_id, null or not, are documents of their own."""
-    one = _linked(docs, shingle).groupBy("root").agg(F.min(F.struct("did", "tag")).alias("one"))
-    chosen = one.select(F.col("one.did").alias("kept_id"), F.col("one.tag").alias("kept_tag"))
+    Different texts under one doc_id, null or not, are documents of their own. Null and empty texts are alike, so one of them stays (with what
+    else links to fingerprint zero); an empty table stays empty; other columns may have any names."""
+    one = _linked(docs, shingle).groupBy("root").agg(F.min(F.struct("did", "tag")).alias("one")).select("one.did", "one.tag")
     # one (did, tag) is one text and has one fingerprint, so no two components choose the same
-    kept = docs.join(chosen, (id_of(docs["doc_id"]) == chosen["kept_id"]) & (text_tag(docs["text"]) == chosen["kept_tag"]))
-    return kept.dropDuplicates(["kept_id", "kept_tag"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_of(F.col("doc_id")).alias("did"), text_tag(F.col("text")).alias("tag"))
+    return rows.join(one, ["did", "tag"]).dropDuplicates(["did", "tag"]).select("row.*")
