@@ -4,7 +4,7 @@ Every byte is judged, but not every suffix is sorted. A window of ``window`` byt
 *anchor*, half a window long), so equal windows have equal anchors at equal offsets. Anchors whose gram stands
 once in the corpus can't lie in a repeated window and go. What stands to the right of each remaining anchor (a
 suffix) and, read backwards, to its left (a suffix of the reversed text) is sorted twice over: tasks sort runs, code
-them by front (length of the common prefix, then the rest), deal them out by ranges of the gram's hash, and merge what they
+them by front (length of the common prefix, then the rest), deal them out by ranges of a hash of the gram, and merge what they
 receive with a loser tree that carries common prefixes along and never compares a known prefix again. Its lengths of common prefixes tell how
 far each anchor's neighbours agree with it on both sides, hence which windows repeat. Offsets that no
 single neighbour settles are decided by comparing hashes of those windows themselves.
@@ -129,7 +129,7 @@ _HEAD = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("did", "<i8"), ("tag", "<i8"),
 def _sorted_runs(first: str, second: str, reach: int, dests: int, hot: dict[bytes, tuple[int, list[bytes]]]):
     """Sorted runs, front-coded, one piece for each destination.
 
-    Destinations are equal ranges of the grams' hashes, which need no sample. Only a gram with very many contexts (``hot``) is cut further, by
+    Destinations are equal ranges of the grams' second hash, which need no sample (the first is the least of its window, so it is small). Only a gram with very many contexts (``hot``) is cut further, by
     splitters of its own; its pieces also take along their neighbours beyond the splitters (ghosts), so every suffix meets its true neighbours."""
 
     def piece(rows: np.ndarray, head: np.ndarray) -> bytes:
@@ -146,7 +146,7 @@ def _sorted_runs(first: str, second: str, reach: int, dests: int, hot: dict[byte
             head[name] = longs(batch[name])[order]
         for name, column in (("first", first), ("second", second)):
             head[name] = np.array([len(x) for x in batch[column].to_pylist()], np.int64)[order]
-        upper = np.ascontiguousarray(rows[:, :4]).view(">u4").ravel().astype(np.uint64)
+        upper = np.ascontiguousarray(rows[:, 8:12]).view(">u4").ravel().astype(np.uint64)
         dest = ((upper * np.uint64(dests)) >> np.uint64(32)).astype(np.int64)
         ghosts: dict[int, tuple[int, int]] = {}
         if hot:
