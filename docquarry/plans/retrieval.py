@@ -85,15 +85,16 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+_INDEXES: dict[tuple[str, str], tuple[Scratch, SearchIndex]] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The index of all chunks, written once in a session and read by each query."""
+    """The index of all chunks, written once in a session and read by each query while its folder is there."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = SearchIndex.build(chunks(spark, sf_dir), Scratch(spark, "index"), dim=DIM)
-    return _INDEXES[key]
+    if key not in _INDEXES or not _INDEXES[key][0].holds(*SearchIndex.NAMES):
+        scratch = Scratch(spark, "index")
+        _INDEXES[key] = scratch, SearchIndex.build(chunks(spark, sf_dir), scratch, dim=DIM)
+    return _INDEXES[key][1]
 
 
 def lexical(spark: SparkSession, sf_dir: str, points: str | None = None, asked: DataFrame | None = None, k: int = R.BM25_K) -> DataFrame:
@@ -391,7 +392,6 @@ s AS (SELECT query_id, entity, text, trim(regexp_replace(replace(list_reduce(lis
 stripped AS (SELECT query_id, entity, CASE WHEN length(t) < 4 THEN entity || ' ' || substr(text, 1, 30) ELSE t END AS text FROM s),
 subs AS (SELECT r.query_id * 1000 + row_number() OVER (PARTITION BY r.query_id ORDER BY entity) AS sub_id, r.query_id, entity, text, company, greatest(8, 12 // count(*) OVER (PARTITION BY r.query_id)) AS n FROM stripped r JOIN names ON entity = name)"""
 #: Hybrid search of each entity's own question among the chunks of its company.
-_OWN = "JOIN (SELECT point_id AS pid, company AS of FROM chunks) c ON c.pid = point_id JOIN subs ON sub_id = query_id AND subs.company = c.of"
 SUB_BM = BM.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT sub_id AS query_id, text FROM subs").replace(CHUNKS, f"{ENTITIES}, {_STRIPPED}, {CHUNKS}")
 SUB = (
     SUB_BM.replace("bm AS (SELECT *, row_number() OVER (PARTITION BY query_id", f"bo AS (SELECT bs.* FROM (SELECT query_id AS qid, * EXCLUDE (query_id) FROM bs) x JOIN (SELECT point_id AS pid, company AS of FROM chunks) c ON c.pid = x.point_id JOIN subs ON sub_id = qid AND subs.company = c.of JOIN bs ON bs.query_id = qid AND bs.point_id = x.point_id),\nbm AS (SELECT *, row_number() OVER (PARTITION BY query_id").replace("FROM bs WHERE", "FROM bo WHERE")

@@ -56,8 +56,15 @@ class Scratch:
                 self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
+    def _at(self, name: str) -> tuple:
+        """A table's file system and path, in any store that Spark writes."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def holds(self, *names: str) -> bool:
+        """Whether all of these tables are still there."""
+        return all(files.exists(path) for files, path in map(self._at, names))
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for files, path in map(self._at, names):
+            files.delete(path, True)

@@ -106,6 +106,15 @@ def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, seed):
             assert [h.point_id for h in sorted((h for h in hits if h.query_id == q), key=lambda h: h.rank)] == best
 
 
+def test_lexical_search_of_a_tiny_corpus(spark):
+    """Where all words are common, weights are negative and nothing is found."""
+    docs = [(i, "a b c" + " d" * (i == 0), "c0") for i in range(5)]
+    index = S.SearchIndex.build(spark.createDataFrame(docs, "point_id long, text string, company string"), Scratch(spark, "test"), dim=8)
+    hits = S.lexical(index, spark.createDataFrame([(1, "a d"), (2, "a b")], "query_id long, text string"), 3).collect()
+    want = {(q, p) for q, t in ((1, "a d"), (2, "a b")) for p, s in scores(docs, t).items() if s > 0}
+    assert {(h.query_id, h.point_id) for h in hits} == want
+
+
 def test_hybrid_search(spark, corpus):
     index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string").withColumn("doc_id", F.col("point_id") % 100), Scratch(spark, "test"), dim=64)
     queries = spark.createDataFrame([(1, corpus[7][1]), (2, corpus[20][1])], "query_id long, text string")
