@@ -88,10 +88,11 @@ def scores(corpus, query, dim=None):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 60, 100_000])
-def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, seed):
-    """However few postings bound the k-th score; also from a saved index, and within a group."""
+@pytest.mark.parametrize(("seed", "worth"), [(3, 1.0), (60, 1.0), (60, 0.2), (100_000, 1.0)])
+def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, seed, worth):
+    """However few postings bound the k-th score, and whatever is looked up; also from a saved index, and within a group."""
     monkeypatch.setattr(S, "SEED_POSTINGS", seed)
+    monkeypatch.setattr(S, "WORTH", worth)
     index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
     index.save(str(tmp_path / "index"))
     index = S.SearchIndex.load(spark, str(tmp_path / "index"), 64)
