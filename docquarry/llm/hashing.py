@@ -6,10 +6,14 @@ powers stay small however long a text is.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 BLOCK = 1 << 19
+#: Longer words are hashed by BLAKE2: a polynomial modulo 2**64 gives some words of 512 bytes and more one value for every base.
+POLYNOMIAL_BYTES = 32
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables = [np.random.RandomState(seed).randint(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1) for seed in (11, 12)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -72,7 +76,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit code of every word; blocks keep the tables of powers small."""
+    """A 64-bit code of every word, by BLAKE2 where it is long; blocks keep the tables of powers small."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
@@ -80,6 +84,8 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
         low, high = int(starts[at]), int(ends[stop - 1])
         out[at:stop] = Rolling(byte_codes(data[low:high], which), which).ranges(starts[at:stop] - low, ends[at:stop] - low)
         at = stop
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
     return out
 
 

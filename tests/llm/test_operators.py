@@ -59,6 +59,25 @@ def test_decontamination_by_shuffle(spark, docs, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_long_words_stay_apart(spark):
+    """Words that every polynomial hash modulo 2**64 gives one value: nothing repeats, so nothing goes."""
+    one, other = [], []
+    for size in (512, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(size)]
+        one.append("".join("ab"[b] for b in bits))
+        other.append("".join("ba"[b] for b in bits))
+        assert all(hashing.word_codes(np.frombuffer(x.encode(), np.uint8), np.zeros(1, int), np.full(1, size), k)[0] != hashing.word_codes(np.frombuffer(y.encode(), np.uint8), np.zeros(1, int), np.full(1, size), k)[0] for x, y in [(one[-1], other[-1])] for k in (0, 1))
+    equal = " ".join(f"w{i}" for i in range(19))
+    rows = [(2 * k + j, f"{equal} {w[k]}") for k in range(3) for j, w in enumerate((one, other))]
+    rows += [(10 + k, f"{equal[:30]} {one[k]} a b c d and {other[k]} a b c d {k}") for k in range(3)]
+    docs = [(i, t, "en", "s", 1, 0, "t", "h") for i, t in rows]
+    frame = spark.createDataFrame(docs, C.COLUMNS)
+    same(window_dedup.remove_later_windows(frame), C.later_windows(docs))
+    assert [r.n_removed for r in window_dedup.remove_later_windows(frame).collect()] == [0] * 9
+    same(line_quality.quality(frame).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), C.base_quality(docs))
+    assert {r.n_repeat_words for r in line_quality.quality(frame).collect()} == {0}
+
+
 def test_simhash(docs, none):
     same(simhash.near_duplicates(docs), C.near_duplicates(DOCS))
     assert simhash.near_duplicates(none).collect() == []
