@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe_chunks, chat, decontaminate, line_quality, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
+from docquarry.llm import bpe_chunks, chat, decontaminate, line_quality, masks, periodic, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
 from docquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,10 +63,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def with_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth document, by a hash of its id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_runs(table(spark, sf_dir, "documents")))
+    longest = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when((r.length > best.length), r).otherwise(best))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), "runs", "collapsed")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", "n_runs", "r.start", "r.length", "r.period", F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
+def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_simhash, op3_sharding, op4_quality_classifier, op5_suffix_dedup, op6_bpe, op7_token_files, op8_chat, op9_window_dedup, op10_quality_rules)
+    own = (op1_decontamination, op2_simhash, op3_sharding, op4_quality_classifier, op5_suffix_dedup, op6_bpe, op7_token_files, op8_chat, op9_window_dedup, op10_quality_rules, op12_periodic_runs, op13_mask_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -149,6 +173,38 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - lost >= 0.2 * n_words AS kept
 FROM x"""
 
+#: The decimal id's CRC-32, bit by bit: each byte is followed by eight shifts, marked -1.
+OP12 = f"""
+WITH s AS (SELECT doc_id, [4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS s,
+                  regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(s, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h FROM s),
+a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM c),
+p AS (SELECT doc_id, n, h, w, a, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+o AS (SELECT doc_id, n, unnest(range(n)) AS i, h, w, a, p FROM p),
+t AS (SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS x FROM o),
+e AS (SELECT t.doc_id, t.i, u.i - t.i AS q FROM t JOIN t AS u ON t.doc_id = u.doc_id AND t.x = u.x AND u.i > t.i AND 4 * (u.i - t.i) <= t.n),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY doc_id, start, length),
+f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+z AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND i >= r.start + r.period AND i < r.start + r.length) GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM c LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN z USING (doc_id)"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
+s AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS t FROM benchmark),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM u WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+x AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n * big_n) // big_l AS BIGINT))))) AS BIGINT) AS score
+      FROM p JOIN w USING (t) JOIN q USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_suffix_dedup": OP5, "op8_chat": OP8, "op9_window_dedup": OP9, "op10_quality_rules": OP10}
+    return {"op1_decontamination": OP1, "op5_suffix_dedup": OP5, "op8_chat": OP8, "op9_window_dedup": OP9, "op10_quality_rules": OP10, "op12_periodic_runs": OP12, "op13_mask_search": OP13}
