@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe_chunks, chat, decontaminate, line_quality, masks, periodic, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
+from docquarry.llm import bpe_chunks, chat, decontaminate, line_quality, masks, ngram_join, periodic, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
 from docquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def with_runs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(with_runs(table(spark, sf_dir, "documents")))
     longest = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when((r.length > best.length), r).otherwise(best))
@@ -90,7 +94,7 @@ def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_simhash, op3_sharding, op4_quality_classifier, op5_suffix_dedup, op6_bpe, op7_token_files, op8_chat, op9_window_dedup, op10_quality_rules, op12_periodic_runs, op13_mask_search)
+    own = (op1_decontamination, op2_simhash, op3_sharding, op4_quality_classifier, op5_suffix_dedup, op6_bpe, op7_token_files, op8_chat, op9_window_dedup, op10_quality_rules, op11_ngram_join, op12_periodic_runs, op13_mask_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
