@@ -188,3 +188,69 @@ def tree_score(forest, x):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def ngram_join(docs, size=4, percent=85):
+    """(doc_id, size of the set, least id reachable), every pair compared; also the number of linked pairs."""
+    sets = []
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(d[1] or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    group = list(range(len(docs)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, one in enumerate(sets):
+        for j, other in enumerate(sets[:i]):
+            n, m = len(one), len(other)
+            if n and 100 * min(n, m) >= percent * max(n, m) and find(i) != find(j):
+                shared = len(one & other)
+                if 100 * shared >= percent * (n + m - shared):
+                    a, b = find(i), find(j)
+                    group[max(a, b)] = min(a, b)
+    least = {}
+    for i, d in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), 1 << 62), key(d[0]))
+    return [(d[0], len(s), None if least[find(i)] == key(None) else least[find(i)]) for i, (d, s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def runs(w, least=6, times=4):
+    """(start, length, period) of every run, period by period."""
+    n, out = len(w), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, times * q):
+                out.setdefault((i, j + q - i), q)  # the least period of a stretch comes first
+            i = j + 1
+    return sorted(((a, m, q) for (a, m), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {i for a, m, q in found for i in range(a + q, a + m)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def ranked(docs, items, k=10):
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(t or ""))
+    held = [(d[0], Counter(terms(d[1]))) for d in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    big_n, big_l = len(held), sum(n for *_, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c, n in held:
+            m = 10 + 90 * n * big_n // big_l
+            s = sum(math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in set(terms(text)) if t in c)
+            if s > 0:
+                found.append((-s, key(i)))
+        out += [(item, r + 1, None if i == key(None) else i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
+    return out

@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe_chunks, chat, decontaminate, hashing, line_quality, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
-from docquarry.llm.queries import CONTROL, tokenizer_path
+from docquarry.llm import bpe_chunks, chat, decontaminate, hashing, line_quality, masks, ngram_join, periodic, quality_gbt, shard, simhash, suffix_dedup, token_files, window_dedup
+from docquarry.llm.queries import CONTROL, tokenizer_path, with_runs
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus as C  # noqa: E402
@@ -401,3 +401,119 @@ def test_operators_with_clashing_columns(spark):
     none = frame.limit(0)
     for out in (line_quality.keep_good(none), simhash.one_of_each(none), suffix_dedup.cut_repeats(none, 24, True), decontaminate.drop_contaminated(none, items)):
         assert out.columns == frame.columns and out.collect() == []
+
+
+def near_copies(seed=5):
+    """Copies of one text with nothing to many words changed, in front, in the middle or at the end; some with words of another text; short ones."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base, other = [word() for _ in range(120)], [word() for _ in range(100)]
+    texts = [" ".join(base), " ".join(base).upper(), " ".join(base + other), " ".join(other)]
+    for changes in range(9):
+        for _ in range(9):
+            w = list(base)
+            for at in r.sample(range(len(w)), changes):
+                w[at] = word()
+            texts.append(" ".join(w[r.randint(0, 3) : len(w) - r.randint(0, 3)]))
+    texts += [" ".join(base[:k]) for k in range(1, 120, 3)] + [" ".join(other[k:]) for k in range(0, 100, 7)]
+    texts += ["\n".join(base[i : i + 3]) for i in range(0, 9, 3)] * 2
+    return [(1000 + i, t, "en", "s", 1, 0, "t", "h") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("rare", "share", "percent"), [(32, 0.3, 85), (2, 0.3, 85), (4, 1.0, 85), (3, 0.1, 60)])
+def test_ngram_join(spark, docs, none, rare, share, percent):
+    """Rare and hot elements, elements beyond those counted, and lists with several components."""
+    rows = DOCS + near_copies()
+    frame = docs.unionByName(spark.createDataFrame(near_copies(), C.COLUMNS))
+    same(ngram_join.similar(frame, percent=percent, rare=rare, share=share), C.ngram_join(rows, percent=percent))
+    if rare == 32:
+        assert ngram_join.similar(none).collect() == []
+
+
+def test_ngram_join_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ELEMENTS", 0)
+    rows = near_copies(8)
+    same(ngram_join.similar(spark.createDataFrame(rows, C.COLUMNS), rare=2), C.ngram_join(rows))
+
+
+def test_runs_of_codes():
+    """Small alphabets, several documents in a batch, every threshold."""
+    r = random.Random(2)
+    for _ in range(400):
+        texts, codes = [], []
+        for d in range(r.randint(1, 3)):
+            w = [r.randrange(r.choice((1, 2, 3, 5))) for _ in range(r.randint(0, 40))]
+            if r.random() < 0.5 and w:
+                w = w[: r.randint(0, len(w))] + w[: r.randint(1, len(w))] * r.randint(1, 6)
+            texts.append((len(codes), w))
+            codes += [*w, -1 - d]
+        least, times = r.choice([(6, 4), (2, 2), (4, 3)])
+        want = sorted(((a + s, a + s + m, q) for a, w in texts for s, m, q in C.runs(w, least, times)), key=lambda x: (x[0], x[2]))
+        assert [tuple(map(int, x)) for x in zip(*periodic.runs(np.array(codes, np.int64), least, times), strict=True)] == want
+
+
+def test_smaller_before_beyond_the_hops():
+    r = random.Random(4)
+    for values in (list(range(50)) + [0, 3, 0, 0], [5] * 70, [r.randrange(4) for _ in range(200)], list(range(40, 0, -1)) + list(range(40)) + [-1]):
+        a = np.array(values)
+        for strict in (True, False):
+            want = [max((j for j in range(i) if values[j] < values[i] or (not strict and values[j] == values[i])), default=-1) for i in range(len(values))]
+            assert periodic.smaller_before(a, strict).tolist() == want
+
+
+def test_periodic_runs(spark, docs, none, monkeypatch):
+    more = ["a a a a a a", "a a a a a", "x y x y x y x y x y z", "a b a b a b a b c a b c a b c a b c", "ha " * 400 + "ho " * 7, "q " + "one two three " * 5 + "one"]
+    rows = DOCS + [(2000 + i, t, "en", "s", 1, 0, "t", "h") for i, t in enumerate(more)]
+    frame = docs.unionByName(spark.createDataFrame(rows[len(DOCS) :], C.COLUMNS))
+    want = []
+    for d in rows:
+        w = [x.decode() for x in (d[1] or "").encode().split()]
+        found = C.runs(w)
+        want.append((d[0], len(w), tuple(found), C.collapsed(w, found)))
+    plain = lambda frame: Counter((r.doc_id, r.n_words, tuple(map(tuple, r.runs)), r.collapsed) for r in frame.collect())
+    assert plain(periodic.periodic_runs(frame)) == Counter(want)
+    assert periodic.periodic_runs(none).collect() == []
+    monkeypatch.setattr(periodic, "TESTS_AT_ONCE", 3)
+    codes = np.array([0, 1] * 20 + [2] * 9 + [-1])
+    assert [x.tolist() for x in periodic.runs(codes, 6, 4)] == [[0, 40], [40, 49], [2, 1]]
+
+
+def test_with_runs(docs):
+    """Every tenth document repeats a stretch of its words to its end; the others and those without words stay."""
+    got = Counter((r.doc_id, " ".join((r.text or "").encode().decode().split())) for r in with_runs(docs).collect())
+    want: Counter = Counter()
+    for i, t, *_ in DOCS:
+        w = [x.decode() for x in (t or "").encode().split()]
+        h = zlib.crc32(str(i).encode())
+        if i is not None and h % 10 == 0 and w:
+            a, g = h // 10 % len(w), h // 10
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [x if k < a else w[a + (k - a) % p] for k, x in enumerate(w)]
+        want[(i, " ".join(w))] += 1
+    assert got == want
+
+
+def test_mask_search(spark, docs, none, monkeypatch):
+    """Ties by doc_id, repeated rows, items without terms, items of over 64 terms, several groups of items, and only what can still come in is evaluated."""
+    texts = [t for _, t, *_ in DOCS if t and len(t.split()) > 20]
+    items = [(1, texts[1]), (2, "Two words, two!"), (3, None), (4, ""), (5, "nowhereatall"), (6, " ".join(texts[2].split()[:5])), (7, "ha 日本語"), (8, texts[0][:3000]), (8, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = C.ranked(DOCS, items)
+    same(masks.search(docs, bench), want)
+    monkeypatch.setattr(masks, "GROUP_BYTES", 200)
+    same(masks.search(docs, bench), want)
+    same(masks.search(docs, bench, 3), C.ranked(DOCS, items, 3))
+    assert masks.search(none, bench).collect() == [] and masks.search(docs, bench.limit(0)).collect() == []
+
+
+def test_masks_stop_early():
+    """Documents that hold the rare term come first; the others are never evaluated."""
+    n = 2000
+    has = [[0, 1] if i % 100 == 0 else [1] for i in range(n)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"did": list(range(n)), "n": [10] * n, "at": [np.array(x, np.int32).tobytes() for x in has], "tf": [np.array([1] * len(x), np.int32).tobytes() for x in has]}, schema=pa.schema([("did", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("tf", pa.binary())]))
+    evaluated = [0]
+    weights = np.array([masks.weight(n, 20), masks.weight(n, n)], np.int64)
+    out = list(masks._searched([np.array([0, 1])], weights, n, 10 * n, 10, evaluated)(iter([batch])))
+    assert evaluated == [20] and out[0]["did"].to_pylist() == list(range(0, 1000, 100))
