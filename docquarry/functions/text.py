@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HAN = "[\\u4e00-\\u9fff]"
+#: A run with a letter that isn't Han; a number with groups of three digits and decimals; other numerals; a run of Han.
+_WORD = r"\p{N}*+[\p{L}&&[^一-鿿]][\p{L}\p{N}&&[^一-鿿]]*"
+_NUMBER = r"[0-9]+(?:,[0-9]{3}(?![0-9A-Za-z_]))*(?:\.[0-9]+)?"
+_REST = r"\p{N}+|[一-鿿]+"
+#: Units of amounts that are terms of their own behind a number.
+UNITS = ("百万元", "亿元", "万元", "百分点", "亿", "万", "元", "%")
+_FIGURE = f"{_NUMBER}(?:{'|'.join(UNITS)})?"
+_YEAR = "(?:19|20)[0-9]{2}年"
 
 
 def lit_text(text: Column) -> Column:
@@ -13,16 +21,36 @@ def lit_text(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
-    return F.array_remove(F.split(F.lower(lit_text(text)), r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits, lower-cased, and runs of Han; numbers whole, with their decimals and without commas."""
+    return _plain(F.regexp_extract_all(F.lower(lit_text(text)), F.lit(f"{_WORD}|{_NUMBER}|{_REST}"), F.lit(0)))
+
+
+def _plain(found: Column) -> Column:
+    return F.transform(found, lambda w: F.replace(w, F.lit(","), F.lit("")))
+
+
+def pieces(text: Column) -> Column:
+    """What tokens are made of: words, years with their sign, numbers with their unit, and whole runs of Han, in order."""
+    return F.regexp_extract_all(F.lower(lit_text(text)), F.lit(f"{_YEAR}|{_WORD}|{_FIGURE}|{_REST}"), F.lit(0))
+
+
+def piece_tokens(piece: Column) -> Column | None:
+    """The terms of a piece, null for a run of Han: a year's sign makes a term with it besides the number, a unit is a term of its own."""
+    number = F.regexp_extract(piece, f"^{_NUMBER}", 0)
+    figure = F.array(F.replace(number, F.lit(","), F.lit("")), F.substr(piece, F.length(number) + 1, F.length(piece)))
+    is_figure = piece.rlike(f"^{_FIGURE}$")
+    return (
+        F.when(piece.rlike(f"^{_YEAR}$"), F.array(piece, F.substring(piece, 1, 4)))
+        .when(is_figure & (F.length(number) < F.length(piece)), figure)
+        .when(~piece.rlike(f"^{HAN}"), F.array(F.replace(piece, F.lit(","), F.lit(""))))
+    )
 
 
 def tokens(text: Column) -> Column:
-    """Words and whole numbers; words with Han characters are cut into overlapping pairs instead."""
-    pairs = lambda w: F.when(
-        w.rlike(HAN) & (F.length(w) > 1), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    ).otherwise(F.array(w))
-    return F.when(text.rlike(HAN), F.flatten(F.transform(words(text), pairs))).otherwise(words(text))
+    """Terms for search: words; whole numbers without commas; units behind them; years, with and without their sign; overlapping pairs of what Han is left."""
+    pairs = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
+    cut = F.flatten(F.transform(pieces(text), lambda w: F.coalesce(piece_tokens(w), pairs(w))))
+    return F.when(lit_text(text).rlike(f"{HAN}|[0-9][%,]"), cut).otherwise(words(text))
 
 
 def half_width(text: Column) -> Column:

@@ -59,7 +59,11 @@ def doc_stats(posted: DataFrame, key: str) -> DataFrame:
 
 def term_stats(posted: DataFrame, n_docs: Column | int, idf: str = "okapi_floor") -> DataFrame:
     """(term, df, idf). ``okapi_floor``: negative values become a quarter of the mean; ``plus_one``: never negative."""
-    counts = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return weighted_terms(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs, idf)
+
+
+def weighted_terms(counts: DataFrame, n_docs: Column | int, idf: str = "okapi_floor") -> DataFrame:
+    """The same from (term, df)."""
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
     ratio = (n - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if idf == "plus_one":

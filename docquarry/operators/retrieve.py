@@ -14,31 +14,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.session import Scratch
+
 #: Fixed defaults of the ranking.
 VECTOR_K, BM25_K, FINAL_K = 10, 20, 5
 FUSION_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 1.5, 0.7
 TABLE_BOOST, MIN_SCORE = 1.5, 0.005
-#: Vocabularies up to so many rows are broadcast to the texts; larger ones meet them by a gram of each key.
-VOCABULARY_ROWS, GRAM = 2_000, 4
+#: So many different keys are looked for one by one; more meet the texts by a gram of LONG or SHORT characters each, broadcast if they have so many characters at most.
+VOCABULARY_ROWS, LONG, SHORT, BROADCAST_CHARS = 256, 6, 3, 8 << 20
 #: Bytes of a block of vectors that is multiplied as one matrix.
 BLOCK_BYTES = 1 << 20
+#: Bytes of the queries that tasks hold at a time.
+QUERY_BYTES = 64 << 20
 
 
 def containing(texts: DataFrame, text: str, vocabulary: DataFrame, key: str, *ids: str, rows: int | None = None) -> DataFrame:
     """``texts`` joined with each row of ``vocabulary`` whose ``key`` its ``text`` contains; ``ids`` name a text (repeated ids do no harm).
 
-    A vocabulary of at most ``rows`` rows is broadcast. Of a larger one each key is found by its first characters (GRAM at most): a text's
-    different grams join them by equality, without the text, and what meets is then verified. Null texts and keys meet nothing."""
+    Up to ``rows`` different keys are looked for one by one. More are each found by one of their grams (LONG characters, SHORT of keys under LONG, all of keys under SHORT), the one that the
+    fewest keys have, so keys with a common opening don't meet; a text's different grams join them by equality, without the text, and what meets is then verified. Null texts
+    and keys meet nothing; the empty key meets every other text."""
     rows = VOCABULARY_ROWS if rows is None else rows
-    if vocabulary.limit(rows + 1).count() <= rows:
-        return texts.join(F.broadcast(vocabulary), F.contains(texts[text], vocabulary[key]))
-    keys = vocabulary.select(F.col(key).alias("_key")).filter("_key is not null").distinct().withColumn("_gram", F.substring("_key", 1, GRAM))
-    sizes = sorted(r[0] for r in keys.select(F.length("_gram")).distinct().collect())  # GRAM + 1 numbers at most
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    of_size = lambda n: F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
-    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
-    slim = texts.filter(F.col(text).isNotNull()).select(*ids, F.explode(grams).alias("_gram")).distinct()
-    met = slim.join(keys, "_gram").select(*ids, "_key").distinct()
+    keys = vocabulary.select(F.col(key).alias("_key")).filter("_key is not null").distinct()
+    few = [r[0] for r in keys.limit(rows + 1).collect()]
+    if len(few) <= rows:
+        mine = F.filter(F.array(*map(F.lit, few)), lambda k: F.contains(F.col(text), k)) if few else F.array().cast("array<string>")
+        found = texts.withColumn("_key", F.explode(mine))
+        return found.join(vocabulary, found["_key"] == vocabulary[key]).drop("_key")
+    n = F.length("_key")
+    keys = keys.withColumn("_size", F.when(n >= LONG, LONG).when(n >= SHORT, SHORT).otherwise(n))
+    all_grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("_size") + 1), lambda i: F.substring("_key", i, F.col("_size"))))
+    grams = keys.select("_key", "_size", F.explode(all_grams).alias("_gram"))
+    shared = grams.groupBy("_gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(shared, "_gram").groupBy("_key").agg(F.min(F.struct("n", "_gram", "_size")).alias("m")).select("_key", "m._gram", "m._size")
+    rarest = Scratch(texts.sparkSession, "grams").save("rarest", rarest)
+    size = rarest.agg(F.sum(F.length("_key") + F.length("_gram") + 32), F.collect_set("_size")).first()  # LONG + 1 sizes at most
+    rarest = F.broadcast(rarest) if size[0] <= BROADCAST_CHARS else rarest
+    # texts are cut into characters once: finding the i-th character of a string anew would take time with the square of its length
+    chars = texts.filter(F.col(text).isNotNull()).select(*ids, F.split(text, "").alias("_chars")).withColumn("_n", F.size("_chars"))
+    of_size = lambda n: F.when(F.col("_n") >= n, F.transform(F.sequence(F.lit(0), F.col("_n") - n), lambda i: F.concat(*(F.get("_chars", i + j) for j in range(n))) if n else F.lit(""))).otherwise(F.array().cast("array<string>"))
+    slim = chars.select(*ids, F.explode(F.array_distinct(F.flatten(F.array(*map(of_size, sorted(size[1])))))).alias("_gram"))
+    met = slim.join(rarest.drop("_size"), "_gram").select(*ids, "_key").distinct()
     found = texts.join(met, list(ids)).filter(F.contains(F.col(text), F.col("_key")))
     return found.join(vocabulary, found["_key"] == vocabulary[key]).drop("_key")
 
@@ -64,18 +80,21 @@ def bm25(query_terms: DataFrame, posted: DataFrame, terms: DataFrame, lengths: D
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_K, same: str | None = None) -> DataFrame:
     """Top k by inner product of (query_id, embedding[, same]) and (point_id, embedding[, same]); ``same``: a column that must be equal.
 
-    Both sides are packed into blocks of BLOCK_BYTES. Each task multiplies the query blocks with its own vector blocks and passes on the best k of
-    each query, so no vector passes through the driver. A query never meets its own row if the two ids are equal."""
+    Each task multiplies its own vectors, in blocks of BLOCK_BYTES, with the queries and passes on the best k of each; queries are taken in groups of QUERY_BYTES, whatever their
+    number is, and of them alone does a group pass through the driver. A query never meets its own row if the two ids are equal."""
     pick = lambda frame, key: frame.select(F.col(key).cast("long").alias("id"), F.array().cast("array<int>").alias("at"), F.col("embedding").cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).cast("long").alias("grp"))
     return _block_topk(pick(queries, "query_id"), pick(vectors, "point_id"), k, 0)
 
 
 def sparse_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int = VECTOR_K, same: str | None = None) -> DataFrame:
-    """Top k by inner product above 0 of sparse vectors (query_id, bucket, weight) and (point_id, bucket, weight), in blocks as in dense_topk.
+    """Top k by inner product above 0 of sparse vectors (query_id, bucket, weight) and (point_id, bucket, weight), in blocks as in dense_topk; either may be gathered already as (id, at, v).
 
     ``same``: a column that must be equal; a query's null binds nothing."""
 
     def pick(frame: DataFrame, key: str) -> DataFrame:
+        if "v" in frame.columns:
+            group = F.coalesce(F.when(F.col(same).isNotNull(), F.xxhash64(same)), F.lit(0)) if same else F.lit(0)
+            return frame.select(F.col(key).cast("long").alias("id"), "at", "v", group.cast("long").alias("grp"))
         group = F.coalesce(F.when(F.first(same).isNotNull(), F.xxhash64(F.first(same))), F.lit(0)) if same else F.lit(0)
         rows = frame.groupBy(F.col(key).cast("long").alias("id")).agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), F.col("weight").cast("double").alias("w"))).alias("x"), group.cast("long").alias("grp"))
         return rows.select("id", F.col("x.b").alias("at"), F.col("x.w").alias("v"), "grp")
@@ -119,41 +138,58 @@ def _best(q: np.ndarray, p: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[keep], p[keep], s[keep]
 
 
+def query_groups(packed: DataFrame, scratch: Scratch, width: int) -> Iterator[list[dict]]:
+    """Packed queries (see _packed) in groups of about QUERY_BYTES as matrices of ``width`` numbers a row, one after another."""
+    packed = scratch.save("queries", packed)
+    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8 * max(width, 1)
+    n = max(1, -(-total // QUERY_BYTES))
+    for g in range(n):
+        yield [r.asDict() for r in packed.filter(F.pmod(F.xxhash64("ids"), F.lit(n)) == g).collect()]
+
+
 def _block_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
-    lanes = 4 * queries.sparkSession.sparkContext.defaultParallelism
-    # every lane gets each query block and its share of the vector blocks
-    q = queries.mapInArrow(_packed(dim), _BLOCK).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    v = vectors.mapInArrow(_packed(dim), _BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    q = q.select("lane", F.struct("n", "ids", "groups", "starts", "at", "v").alias("q"))
-    pairs = q.join(v.select("lane", F.struct("n", "ids", "groups", "starts", "at", "v").alias("p")), "lane").select("q", "p")
+    """Queries are held by the tasks in groups of bounded size; each vector block is multiplied where it is read, so neither side is shuffled or multiplied out."""
+    scratch = Scratch(queries.sparkSession, "vectors")
+    width = dim or queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    rows = None
+    for g, blocks in enumerate(query_groups(queries.mapInArrow(_packed(dim), _BLOCK), scratch, width)):
+        if blocks:
+            found = scratch.save(f"found-{g}", vectors.mapInArrow(_multiplied(blocks, k, dim), "query_id long, point_id long, score double"))
+            rows = found if rows is None else rows.unionByName(found)
+    if rows is None:
+        rows = queries.select(F.col("id").alias("query_id"), F.col("id").alias("point_id"), F.lit(0.0).alias("score")).limit(0)
+    return top(rows, k)
+
+
+def _multiplied(blocks: list[dict], k: int, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best k of a task's vectors for each query of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, matrix, held = b"", np.zeros((0, 0)), None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q, p = batch["q"][i].as_py(), batch["p"][i].as_py()
-                if q["ids"] != last:  # the pairs of a query block mostly come one after another
-                    if held is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "point_id", "score"])
-                    last, matrix, held = q["ids"], _matrix(q, dim), None
-                ids, points = np.frombuffer(q["ids"], np.int64), np.frombuffer(p["ids"], np.int64)
-                scores = matrix @ _matrix(p, dim).T
-                mine, theirs = np.frombuffer(q["groups"], np.int64)[:, None], np.frombuffer(p["groups"], np.int64)[None, :]
+        matrices = [_matrix(q, dim) for q in blocks]
+        ids, groups = ([np.frombuffer(q[x], np.int64) for q in blocks] for x in ("ids", "groups"))
+        held: list[tuple | None] = [None] * len(blocks)
+        for p in (row for part in _packed(dim)(batches) for row in part.to_pylist()):
+            points, theirs, matrix = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["groups"], np.int64)[None, :], _matrix(p, dim)
+            for i, queries in enumerate(matrices):
+                scores = queries @ matrix.T
+                mine = groups[i][:, None]
                 scores[(mine != theirs) & ~(bool(dim) & (mine == 0))] = -np.inf
                 if dim:
                     scores[scores <= 0] = -np.inf
                 else:
-                    scores[ids[:, None] == points[None, :]] = -np.inf
+                    scores[ids[i][:, None] == points[None, :]] = -np.inf
                 n = min(k, len(points))
                 # every score that rounds to at least the n-th best stays, so ties are settled by id
-                floor = np.round(np.partition(scores, -n, axis=1)[:, -n], 6)[:, None] if n < len(points) else np.full((len(ids), 1), -np.inf)
+                floor = np.round(np.partition(scores, -n, axis=1)[:, -n], 6)[:, None] if n < len(points) else np.full((len(ids[i]), 1), -np.inf)
                 x, y = np.nonzero((np.round(scores, 6) >= floor) & (scores > -np.inf))
-                new = (ids[x], points[y], scores[x, y])
-                held = _best(*(new if held is None else [np.concatenate(z) for z in zip(held, new, strict=True)]), k)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "point_id", "score"])
+                new = (ids[i][x], points[y], scores[x, y])
+                before = held[i]
+                held[i] = _best(*(new if before is None else [np.concatenate(z) for z in zip(before, new, strict=True)]), k)
+        for found in held:
+            if found is not None and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "point_id", "score"])
 
-    return top(pairs.mapInArrow(run, "query_id long, point_id long, score double"), k)
+    return run
 
 
 def merge_max(*hits: DataFrame, k: int) -> DataFrame:

@@ -13,7 +13,19 @@ from docquarry.session import table
 from docquarry.sources import tables as S
 
 DOUBLED = "replace(coalesce(text, ''), chr(10), chr(10) || chr(10))"
-TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
+#: Words and numbers in texts without Han, as functions.text has them.
+_PIECES = r"\pN*\pL[\pL\pN]*|[0-9]+(?:,[0-9]{3}\b)*(?:\.[0-9]+)?%?|\pN+"
+
+
+def words_sql(text: str = "text") -> str:
+    return rf"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{_PIECES}'), lambda x: rtrim(replace(x, ',', ''), '%'))"
+
+
+def tokens_sql(text: str = "text") -> str:
+    return rf"flatten(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{_PIECES}'), lambda x: CASE WHEN suffix(x, '%') THEN [rtrim(replace(x, ',', ''), '%'), '%'] ELSE [replace(x, ',', '')] END))"
+
+
+TOKENS = tokens_sql()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +39,11 @@ def doubled(text: str = "text") -> Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(point_id, doc_id, company, doc_type, child, text): plain child windows of all documents; the retrieval corpus."""
-    rows = C.child_windows(documents(spark, sf_dir), "text", "doc_id", "source", "lang")
+    return chunks_of(documents(spark, sf_dir))
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    rows = C.child_windows(docs, "text", "doc_id", "source", "lang")
     return rows.select((F.shiftleft("doc_id", 24) + F.col("child")).alias("point_id"), "doc_id", F.col("source").alias("company"), F.col("lang").alias("doc_type"), "child", F.col("chunk").alias("text"))
 
 
@@ -240,6 +256,24 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.postings(chunks(spark, sf_dir), "point_id", "text")
 
 
+_LINE = "'营业收入' || CAST(o_totalprice AS DECIMAL(15,2)) || '亿元，' || CAST(year(o_orderdate) AS VARCHAR) || '年同比增长' || (o_custkey % 100) || '.5%，共1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '万元'"
+
+
+@query(f"""
+WITH l AS (SELECT o_orderkey, {_LINE} AS text FROM orders),
+p AS (SELECT o_orderkey, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{{2}}年|[0-9]+(?:,[0-9]{{3}}\\b)*(?:\\.[0-9]+)?(?:亿元|万元|%)?|[一-鿿]+')) AS p FROM l),
+n AS (SELECT o_orderkey, p, regexp_extract(p, '^[0-9]+(?:,[0-9]{{3}}\\b)*(?:\\.[0-9]+)?') AS num FROM p),
+t AS (SELECT o_orderkey, unnest(CASE WHEN regexp_full_match(p, '(19|20)[0-9]{{2}}年') THEN [p, p[1:4]] WHEN num <> '' THEN list_filter([replace(num, ',', ''), substr(p, length(num) + 1)], lambda x: x <> '')
+  WHEN length(p) = 1 THEN [p] ELSE list_transform(range(1, CAST(length(p) AS BIGINT)), lambda i: substr(p, i, 2)) END) AS term FROM n)
+SELECT o_orderkey, term, count(*) AS tf FROM t GROUP BY ALL""")
+def figure_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with amounts, units, a year and a share for each order: figures stay whole."""
+    orders = table(spark, sf_dir, "orders")
+    price, share, count = F.col("o_totalprice").cast("decimal(15,2)").cast("string"), (F.col("o_custkey") % 100).cast("string"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0")
+    line = F.concat(F.lit("营业收入"), price, F.lit("亿元，"), F.year("o_orderdate").cast("string"), F.lit("年同比增长"), share, F.lit(".5%，共1,"), count, F.lit("万元"))
+    return X.postings(orders.select("o_orderkey", line.alias("text")), "o_orderkey", "text")
+
+
 @query(f"""
 WITH {CHUNKS}, t AS (SELECT DISTINCT point_id, unnest({TOKENS}) AS term FROM chunks), n AS (SELECT count(*) AS n FROM chunks),
 d AS (SELECT term, count(*) AS df FROM t GROUP BY term), r AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM d, n)

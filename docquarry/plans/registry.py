@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docquarry.plans import corpus, finance, metadata, retrieval, streams, usage, verification  # noqa: F401
+    from docquarry.plans import corpus, finance, living, metadata, retrieval, streams, usage, verification  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import words
+from docquarry.operators import cells
 from docquarry.operators import retrieve as R
 from docquarry.operators import search as S
 from docquarry.operators import understand as U
-from docquarry.plans.corpus import CHUNKS, chunks, documents
+from docquarry.plans.corpus import CHUNKS, chunks, documents, tokens_sql, words_sql
 from docquarry.operators.search import SearchIndex
 from docquarry.plans.registry import query
 from docquarry.session import Scratch, table
 
-TERMS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
+TERMS = tokens_sql()
 DIM = 1024
 
 BM = f"""{CHUNKS},
@@ -47,7 +48,7 @@ two AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY roun
 deduped AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM two QUALIFY rank <= 40)"""
 
 OVERLAP = f"""
-terms AS (SELECT d.*, list_distinct(string_split_regex(lower(q.text), '[^\\pL\\pN]+')) AS qw, string_split_regex(lower(d.text), '[^\\pL\\pN]+') AS tw FROM deduped d JOIN queries q USING (query_id)),
+terms AS (SELECT d.*, list_distinct({words_sql('q.text')}) AS qw, {words_sql('d.text')} AS tw FROM deduped d JOIN queries q USING (query_id)),
 reranked AS (SELECT query_id, point_id, doc_id, company, doc_type, text, score, list_unique(list_filter(qw, lambda x: x <> '' AND list_contains(tw, x))) / len(list_filter(qw, lambda x: x <> '')) AS rerank FROM terms),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank, 6) DESC, point_id) AS rank FROM reranked)"""
 
@@ -91,7 +92,7 @@ _INDEXES: dict[tuple[str, str], tuple[Scratch, SearchIndex]] = {}
 def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The index of all chunks, written once in a session and read by each query while its folder is there."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or not _INDEXES[key][0].holds(*SearchIndex.NAMES):
+    if key not in _INDEXES or not _INDEXES[key][0].holds("chunks", "index", "terms"):
         scratch = Scratch(spark, "index")
         _INDEXES[key] = scratch, SearchIndex.build(chunks(spark, sf_dir), scratch, dim=DIM)
     return _INDEXES[key][1]
@@ -138,13 +139,13 @@ def hybrid(spark: SparkSession, sf_dir: str, k: int = R.FINAL_K) -> DataFrame:
     )
 
 
-def _hits(rows: DataFrame, *more: str) -> DataFrame:
+def hits_of(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("query_id", "point_id", "rank", F.round("score", 6).alias("score"), *more)
 
 
 @query(f"WITH {BM} SELECT query_id, point_id, rank, round(score, 6) AS score FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(lexical(spark, sf_dir))
+    return hits_of(lexical(spark, sf_dir))
 
 
 @query(f"WITH {BM} SELECT query_id, point_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 7")
@@ -152,7 +153,7 @@ def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over an index that was saved and loaded again, without cutting texts into terms."""
     path = f"{Scratch(spark, 'saved-index').path}/index"
     index_of(spark, sf_dir).save(path)
-    return _hits(S.lexical(SearchIndex.load(spark, path, DIM), queries_of(spark, sf_dir), 7))
+    return hits_of(S.lexical(SearchIndex.load(spark, path), queries_of(spark, sf_dir), 7))
 
 
 @query(f"""WITH {BM}, f AS (SELECT bs.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM bs JOIN chunks USING (point_id)
@@ -161,7 +162,7 @@ SELECT query_id, point_id, rank, round(score, 6) AS score FROM f""")
 def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query names a company, or none; the filter is applied before the ranking, so no query loses recall to it."""
     wanted = F.when(F.pmod("query_id", F.lit(3)) != 0, F.concat(F.lit("src"), F.pmod("query_id", F.lit(20))))
-    return _hits(S.lexical(index_of(spark, sf_dir), queries_of(spark, sf_dir).withColumn("same", wanted), same="company"))
+    return hits_of(S.lexical(index_of(spark, sf_dir), queries_of(spark, sf_dir).withColumn("same", wanted), same="company"))
 
 
 @query("""
@@ -171,7 +172,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact search of every row whose id is divisible by 100 against all rows."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return _hits(R.dense_topk(asked, rows.select(F.col("vec_id").alias("point_id"), "embedding")))
+    return hits_of(R.dense_topk(asked, rows.select(F.col("vec_id").alias("point_id"), "embedding")))
 
 
 @query("""
@@ -180,7 +181,18 @@ SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY rou
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    return _hits(R.dense_topk(asked, rows.select(F.col("vec_id").alias("point_id"), "embedding", "label"), same="label"))
+    return hits_of(R.dense_topk(asked, rows.select(F.col("vec_id").alias("point_id"), "embedding", "label"), same="label"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, list_dot_product(q.v, p.v) AS score FROM e q JOIN e p ON q.vec_id <> p.vec_id AND q.label = p.label WHERE q.vec_id % 100 = 0)
+SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cells: only the folders of the labels asked for, and in them only blocks that the triangle inequality leaves open."""
+    rows, path = table(spark, sf_dir, "embeddings"), f"{Scratch(spark, 'vector-cells').path}/cells"
+    cells.build(rows.select(F.col("vec_id").alias("point_id"), "embedding", "label"), path, "label")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return hits_of(cells.search(spark, path, asked, same="label"))
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +211,13 @@ SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY rou
 def merge_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query and its first variant, merged by the best score of each point."""
     found = lexical(spark, sf_dir, asked=S.variants(queries_of(spark, sf_dir), synonyms(spark)))
-    return _hits(R.merge_max(found.withColumn("query_id", S.base_id(F.col("query_id"))), k=20))
+    return hits_of(R.merge_max(found.withColumn("query_id", S.base_id(F.col("query_id"))), k=20))
 
 
 @query(f"WITH {BM} SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, point_id) AS rank, round(s, 6) AS score FROM (SELECT query_id, point_id, CASE WHEN contains(text, '#') THEN score * 1.5 ELSE score END AS s FROM bm JOIN chunks USING (point_id))")
 def table_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a mark stand for chunks with a table."""
-    return _hits(R.boost_tables(lexical(spark, sf_dir), chunks(spark, sf_dir).filter(F.contains("text", F.lit("#")))))
+    return hits_of(R.boost_tables(lexical(spark, sf_dir), chunks(spark, sf_dir).filter(F.contains("text", F.lit("#")))))
 
 
 @query(f"WITH {BM}, {VEC}, {FUSED} SELECT query_id, point_id, vector_rank, lexical_rank, round(rrf, 6) AS score FROM fused")
@@ -221,18 +233,18 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM}, {VEC}, {FUSED}, {DEDUPED} SELECT query_id, point_id, rank, round(score, 6) AS score FROM deduped")
 def dedup_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(deduped(spark, sf_dir))
+    return hits_of(deduped(spark, sf_dir))
 
 
 @query(f"WITH {BM}, {VEC}, {FUSED}, one AS (SELECT * FROM weighted QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 6) DESC, point_id) = 1) SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score FROM one QUALIFY rank <= 40")
 def dedup_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.at_most_per(weighted(spark, sf_dir), "doc_id", each=1))
+    return hits_of(R.at_most_per(weighted(spark, sf_dir), "doc_id", each=1))
 
 
 @query(f"WITH {BM}, {VEC}, {FUSED}, {DEDUPED}, f AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) = 1) SELECT query_id, point_id, rank, round(score, 6) AS score, doc_id, length(d.text) AS parent_chars FROM f JOIN documents d USING (doc_id)")
 def attach_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.first_of_each(deduped(spark, sf_dir), "doc_id").drop("text")
-    return _hits(rows.join(documents(spark, sf_dir).select("doc_id", F.length("text").alias("parent_chars")), "doc_id", "left"), "doc_id", "parent_chars")
+    return hits_of(rows.join(documents(spark, sf_dir).select("doc_id", F.length("text").alias("parent_chars")), "doc_id", "left"), "doc_id", "parent_chars")
 
 
 @query(f"WITH {BM}, {VEC}, {FUSED}, {DEDUPED} SELECT query_id, count(*) AS n, round(min(score), 6) AS least FROM deduped WHERE score >= 0.03 GROUP BY query_id")
@@ -249,12 +261,12 @@ def rerank_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM}, {VEC}, {FUSED}, {DEDUPED}, {OVERLAP} SELECT query_id, point_id, rank, round(score, 6) AS score, round(rerank, 6) AS rerank FROM best")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(reranked(spark, sf_dir), F.round("rerank", 6).alias("rerank"))
+    return hits_of(reranked(spark, sf_dir), F.round("rerank", 6).alias("rerank"))
 
 
 @query(f"WITH {HYBRID} SELECT query_id, point_id, rank, round(score, 6) AS score, doc_id, round(rerank, 6) AS rerank, length(d.text) AS parent_chars FROM final JOIN documents d USING (doc_id)")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(hybrid(spark, sf_dir), "doc_id", F.round("rerank", 6).alias("rerank"), "parent_chars")
+    return hits_of(hybrid(spark, sf_dir), "doc_id", F.round("rerank", 6).alias("rerank"), "parent_chars")
 
 
 _STRICT = "strict AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM bs SEMI JOIN (SELECT point_id FROM chunks WHERE doc_type = 'fr') USING (point_id) WHERE round(score, 6) > 0 QUALIFY rank <= 15)"
@@ -268,7 +280,7 @@ r AS (SELECT query_id, point_id, CASE WHEN query_id IN (SELECT query_id FROM poo
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score, stage FROM r""")
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = lexical(spark, sf_dir, "doc_type = 'fr'", k=15)
-    return _hits(R.two_stage(strict, lexical(spark, sf_dir), threshold=20.0, least=16), "stage")
+    return hits_of(R.two_stage(strict, lexical(spark, sf_dir), threshold=20.0, least=16), "stage")
 
 
 @query(f"""
@@ -276,12 +288,12 @@ WITH {BM}, {_STRICT}, e AS (SELECT query_id FROM strict GROUP BY query_id HAVING
 SELECT query_id, point_id, rank, round(score, 6) AS score FROM strict SEMI JOIN e USING (query_id) UNION ALL SELECT query_id, point_id, rank, round(score, 6) FROM bm ANTI JOIN e USING (query_id)""")
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = lexical(spark, sf_dir, "doc_type = 'fr'", k=15)
-    return _hits(R.or_unfiltered(strict, lexical(spark, sf_dir), least=15))
+    return hits_of(R.or_unfiltered(strict, lexical(spark, sf_dir), least=15))
 
 
 #: The vocabulary: the 100 most frequent words of 6 letters or more of all documents, each with the source that holds it most often.
-VOCAB = r"""
-voc AS (SELECT term, source, count(*) AS n FROM (SELECT source, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: length(x) >= 6)) AS term FROM documents) GROUP BY ALL),
+VOCAB = f"""
+voc AS (SELECT term, source, count(*) AS n FROM (SELECT source, unnest(list_filter({words_sql()}, lambda x: length(x) >= 6)) AS term FROM documents) GROUP BY ALL),
 names AS (SELECT term AS name, arg_min(source, (-n, source)) AS company, row_number() OVER (ORDER BY sum(n) DESC, term) AS place FROM voc GROUP BY term QUALIFY place <= 100)"""
 
 
@@ -334,7 +346,7 @@ def intent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary questions only read one kind of document; the filter stands below the ranking."""
     rows = with_intent(spark, sf_dir).select("query_id", "text", "intent")
     only = lexical(spark, sf_dir, "doc_type = 'fr'", rows.filter("intent = 'summary'"))
-    return _hits(only.unionByName(lexical(spark, sf_dir, asked=rows.filter("intent <> 'summary'"))))
+    return hits_of(only.unionByName(lexical(spark, sf_dir, asked=rows.filter("intent <> 'summary'"))))
 
 
 @query("SELECT item_id AS query_id, (contains(text, 'the') OR contains(text, 'les') OR contains(text, 'los')) AND regexp_matches(text, '(and|et|y) ') AS is_metric FROM benchmark")
@@ -412,7 +424,7 @@ def subquestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entity of a query is a query of its own, among the chunks of its company."""
     rows = sub_questions(spark, sf_dir).withColumn("sub_id", F.xxhash64("query_id", "entity"))
     hits = S.hybrid(index_of(spark, sf_dir), rows.select(F.col("sub_id").alias("query_id"), "text", "same"), same="company").withColumnRenamed("query_id", "sub_id")
-    return _hits(hits.join(rows.select("sub_id", "query_id", "entity"), "sub_id"), "entity")
+    return hits_of(hits.join(rows.select("sub_id", "query_id", "entity"), "sub_id"), "entity")
 
 
 @query(f"""
@@ -421,7 +433,7 @@ o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, doc_id O
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score FROM o QUALIFY rank <= 12""")
 def multi_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sub-queries' hits as one list: the best of each document, cut at 12."""
-    return _hits(S.fan_out(index_of(spark, sf_dir), sub_questions(spark, sf_dir), total=12))
+    return hits_of(S.fan_out(index_of(spark, sf_dir), sub_questions(spark, sf_dir), total=12))
 
 
 @query(f"""
@@ -432,7 +444,7 @@ def wide_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries and analyses take 20 hits, others 8; the lexical list fills up."""
     of = index_of(spark, sf_dir).chunks.select("point_id", "doc_id")
     rows = S.wide_recall(vectors(spark, sf_dir, k=8).join(of, "point_id"), with_intent(spark, sf_dir), lexical(spark, sf_dir).join(of, "point_id"), "doc_id", 8)
-    return _hits(rows, "list")
+    return hits_of(rows, "list")
 
 
 @query(f"""
@@ -457,7 +469,7 @@ WITH {BM}, {VEC}, {FUSED}, {DEDUPED}, once AS (SELECT * EXCLUDE (rank) FROM dedu
 pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, company ORDER BY round(score, 6) DESC, point_id) AS place FROM once)
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY place > 2, round(score, 6) DESC, point_id) AS rank, round(score, 6) AS score FROM pl QUALIFY rank <= 8""")
 def diversity_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.diverse(deduped(spark, sf_dir), "company", "text"))
+    return hits_of(R.diverse(deduped(spark, sf_dir), "company", "text"))
 
 
 @query(f"""
@@ -467,7 +479,7 @@ SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY lis
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = index_of(spark, sf_dir).chunks.select("point_id", "doc_id")
     rows = R.backfill(vectors(spark, sf_dir, k=3).join(of, "point_id"), lexical(spark, sf_dir).join(of, "point_id"), "doc_id", 10)
-    return _hits(rows, "list")
+    return hits_of(rows, "list")
 
 
 STATED = f"""{VOCAB}, statements AS (SELECT a.name AS term, b.name || ' ' || c.name AS statement FROM names a JOIN names b ON b.place = a.place % 100 + 1 JOIN names c ON c.place = (a.place + 6) % 100 + 1)"""
@@ -487,7 +499,7 @@ def augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = vocabulary(spark, sf_dir)
     at = lambda step, name: names.select((F.pmod(F.col("place") - 1 - step, F.lit(100)) + 1).alias("place"), F.col("name").alias(name))
     statements = names.join(at(1, "b"), "place").join(at(7, "c"), "place").select(F.col("name").alias("term"), F.concat_ws(" ", "b", "c").alias("statement"))
-    return _hits(S.augment(index_of(spark, sf_dir), queries_of(spark, sf_dir), vectors(spark, sf_dir).filter("score >= 0.35"), statements), "list")
+    return hits_of(S.augment(index_of(spark, sf_dir), queries_of(spark, sf_dir), vectors(spark, sf_dir).filter("score >= 0.35"), statements), "list")
 
 
 @query(f"""

@@ -11,6 +11,7 @@ from docquarry.operators import usage as U
 from docquarry.operators.retrieve import containing
 from docquarry.plans.corpus import documents
 from docquarry.plans.registry import query
+from docquarry.plans.corpus import words_sql
 from docquarry.plans.retrieval import HYBRID, hybrid, queries_of
 from docquarry.session import Scratch, table
 from docquarry.sources import tables as T
@@ -227,7 +228,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {HYBRID}, p AS (SELECT query_id, q.text AS gold, f.text AS answer FROM final f JOIN base q USING (query_id) WHERE rank = 1),
-t AS (SELECT query_id, gold, answer, list_filter(string_split_regex(lower(gold), '[^\\pL\\pN]+'), lambda x: x <> '') AS g, list_filter(string_split_regex(lower(answer), '[^\\pL\\pN]+'), lambda x: x <> '') AS a FROM p),
+t AS (SELECT query_id, gold, answer, {words_sql('gold')} AS g, {words_sql('answer')} AS a FROM p),
 gc AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(g) AS w FROM t) GROUP BY ALL), ac AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(a) AS w FROM t) GROUP BY ALL),
 b AS (SELECT query_id, sum(least(gc.n, ac.n)) AS n FROM gc JOIN ac USING (query_id, w) GROUP BY query_id)
 SELECT query_id, round(2 * coalesce(b.n, 0) / (len(a) + len(g)), 6) AS f1, trim(answer) = trim(gold) AS exact FROM t LEFT JOIN b USING (query_id)""")

@@ -9,36 +9,36 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from docquarry.operators.search import SearchIndex
+from docquarry.operators.segments import SegmentedIndex
 from docquarry.operators.usage import CACHE_ONLY, SESSION_BUDGET, WARN
+from docquarry.sources.manifest import Manifest
 
 
-def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, doc: str = "doc_id", buckets: int = 64) -> StreamingQuery:
-    """Chunk documents as they arrive and keep their points under ``path``: those of a document that comes again are replaced.
+def ingest(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], index: SegmentedIndex, checkpoint: str, order: Column | None = None, deleted: str | None = None, compact_every: int = 8) -> StreamingQuery:
+    """Chunk documents as they arrive and index them: each batch is one segment, which replaces what was held of its documents.
 
-    Points lie in ``buckets`` partitions by a hash of their document. A batch reads and writes only the partitions that its documents fall into, so a
-    large table isn't read for a small batch; one that runs again leaves the same points. Of a document that comes twice in a batch, one of the rows counts."""
-    bucket = F.pmod(F.xxhash64(F.col(doc)), F.lit(buckets)).cast("int")
+    ``chunker`` makes chunks (point_id, the index's document column, text, ...) of a batch. A batch writes what it brings and no more (each ``compact_every`` segments the newest are merged);
+    one that breaks off changes nothing, and one that runs again after it was committed is left out, so other documents' chunks can't be lost. Of a document that comes twice in
+    a batch the row that is greatest by ``order`` counts (by all its columns where none is given). Rows whose column ``deleted`` is true delete their document."""
+    doc = index.doc
 
-    def batch(rows: DataFrame, _epoch: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.dropDuplicates([doc]).persist()
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rest = [c for c in rows.columns if c != doc]
+        place = F.struct(order, F.struct(*rest)) if order is not None else F.struct(*rest)
+        rows = rows.filter(F.col(doc).isNotNull()).groupBy(doc).agg(F.max_by(F.struct(*rest), place).alias("_row")).select(doc, "_row.*").persist()
         try:
-            points = chunker(rows).withColumn("bucket", bucket)
-            touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # ``buckets`` numbers at most
-            try:
-                held = spark.read.schema(points.schema).parquet(path).filter(F.col("bucket").isin(touched))
-                points = points.unionByName(held.join(rows.select(doc), doc, "left_anti"))
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            points.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            kept = rows if deleted is None else rows.filter(~F.coalesce(F.col(deleted), F.lit(False)))
+            number = index.commit(chunker(kept), rows.select(doc), checkpoint, epoch)
         finally:
             rows.unpersist()
+        if len(index.manifest.at(number)["segments"]) >= compact_every:
+            index.compact()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -129,11 +129,18 @@ def live_history(messages: DataFrame, n: int = 8, chars: int = 2000) -> DataFram
     return messages.groupBy("session_id").transformWithStateInPandas(History(n, chars), "session_id long, seq long, history string", "append", "none")
 
 
-def answer_stream(questions: DataFrame, search: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Search each batch of questions against static index tables; a batch that runs again replaces its own files."""
+def answer_stream(questions: DataFrame, index: SegmentedIndex, search: Callable[[SearchIndex, DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Search each batch of questions over the index as it stands when the batch begins, into ``path``/batch=...
+
+    The version is written down before the batch is searched, so one that runs again answers over the same version and replaces its own files, whatever was ingested in
+    between."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        search(rows).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        pins = Manifest(rows.sparkSession, f"{path}-versions")
+        number, _ = pins.latest()
+        if number <= epoch:
+            pins.commit(epoch + 1, {"version": index.manifest.latest()[0]})
+        search(index.open(pins.at(epoch + 1)["version"]), rows).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return questions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,7 +2,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import half_width, point_id, safe_id, tokens
+from docquarry.functions.text import half_width, point_id, safe_id, tokens, words
+from docquarry.operators.search import SearchIndex, lexical
+from docquarry.operators.segment import segmenter
+from docquarry.session import Scratch
 from docquarry.operators import chunking as C
 from docquarry.plans import registry
 
@@ -114,7 +117,7 @@ def test_outlines_have_valid_headings(spark):
 
 
 def test_text_functions(spark):
-    assert one(spark, "营业收入 Total 405.29", tokens) == ["营业", "业收", "收入", "total", "405", "29"]
+    assert one(spark, "营业收入 Total 405.29", tokens) == ["营业", "业收", "收入", "total", "405.29"]
     assert one(spark, "１２３，ＡＢ ｃ", half_width) == "123,ABc"
     assert one(spark, "年报 2023(修订).pdf", safe_id) == "年报_2023_修订_"
     ids = spark.range(1000).select(point_id(F.lit("pro"), "id").alias("p")).agg(F.count_distinct("p"), F.min("p")).first()
@@ -143,3 +146,32 @@ def test_sections_of_all_documents(spark, sf_dir, tmp_path):
     rows = sorted(map(tuple, registry.queries()["outline_sections_all"](spark, str(tmp_path)).collect()))
     assert rows == sorted((d, *s) for d, t, _ in docs + own for s in sections(t or ""))
     assert [r[2] for r in rows if r[0] < 0] == ["1. Only part", "前言/概述", "First part", "Third part"]
+
+
+def test_figures_stay_whole(spark):
+    """Numbers with commas, decimals, units and years; words with digits; numerals of other kinds; nothing of it where there is nothing."""
+    cases = {
+        "revenue 405.29 up 1,234.5%": ["revenue", "405.29", "up", "1234.5", "%"],
+        "营业收入405.29亿元，2024年": ["营业", "业收", "收入", "405.29", "亿元", "2024年", "2024"],
+        "1,2,3 and 1,2345, 12,345,678 a1b2 3D 2nd": ["1", "2", "3", "and", "1", "2345", "12345678", "a1b2", "3d", "2nd"],
+        "于2023年末达3.5百分点": ["于", "2023年", "2023", "末达", "3.5", "百分点"],
+        "12024年 元旦 v1.2.3 5² Ⅳ": ["12024", "年", "元旦", "v1", "2.3", "5", "²", "ⅳ"],
+        "end of 2024. Next": ["end", "of", "2024", "next"],
+        "": [], None: [],
+    }
+    for text, want in cases.items():
+        assert one(spark, text, tokens) == want
+    assert one(spark, "Sales 1,234.5%，增长3.2亿", words) == ["sales", "1234.5", "增长", "3.2", "亿"]
+
+
+def test_segmenter(spark):
+    """The likeliest words win over longer and shorter ones; what the dictionary lacks is cut into characters; figures stay whole."""
+    rows = [("营业", 50), ("收入", 60), ("营业收入", 40), ("入", 5), ("研究", 30), ("研究生", 20), ("生命", 40), ("命", 5), ("起源", 30), ("", 9), (None, 1), ("收入", 1)]
+    cut = segmenter(spark.createDataFrame(rows, "word string, weight int"), "word", "weight")
+    assert one(spark, "营业收入405.29亿元，2024年", cut) == ["营业收入", "405.29", "亿元", "2024年", "2024"]
+    assert one(spark, "研究生命起源 GPU x", cut) == ["研究", "生命", "起源", "gpu", "x"]
+    assert one(spark, "他研究", cut) == ["他", "研究"]
+    assert one(spark, "", cut) == [] and one(spark, None, cut) == []
+    index = SearchIndex.build(spark.createDataFrame([(1, "公司营业收入405.29亿元"), (2, "公司营业405.3亿元"), (3, "其他")], "point_id long, text string"), Scratch(spark, "cut"), dim=8, cut=cut)
+    hits = lexical(index, spark.createDataFrame([(1, "营业收入"), (2, "405.29")], "query_id long, text string"), 5).collect()
+    assert {(h.query_id, h.point_id) for h in hits} == {(1, 1), (2, 1)}

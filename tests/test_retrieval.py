@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -10,6 +11,8 @@ from docquarry.operators import chunking as C
 from docquarry.operators import evaluate as E
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
+from docquarry.operators import blocks as B
+from docquarry.operators import cells as cells_of
 from docquarry.operators import search as S
 from docquarry.operators import understand as Q
 from docquarry.operators import usage as U
@@ -66,6 +69,56 @@ def test_large_vocabularies_find_the_same(spark):
     assert found[0] == found[1] == sorted((i, t, w, n) for i, t in texts for w, n in keys if t is not None and w is not None and w in t)
 
 
+def test_many_keys_with_one_opening(spark):
+    """Keys meet texts by their rarest gram, so a common opening makes no candidates, and no pair of text and key is tried."""
+    keys = spark.range(20_000).selectExpr("concat('company ', lpad(cast(id * 7919 % 1000003 as string), 7, '0')) as name", "id as n")
+    texts = spark.range(50).selectExpr("id", "concat('of company ', lpad(cast(id * 7919 % 1000003 as string), 7, '0'), ' and company x') as text")
+    found = R.containing(texts, "text", keys, "name", "id")
+    assert sorted((r.id, r.n) for r in found.collect()) == [(i, i) for i in range(50)]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    few = R.containing(texts, "text", keys.filter("n < 5"), "name", "id")
+    assert sorted(r.id for r in few.collect()) == list(range(5)) and "NestedLoop" not in few._jdf.queryExecution().toString()
+
+
+def near(vectors, queries, k, same=False):
+    out = {}
+    for i, v, g in queries:
+        if same and g is None:
+            continue
+        s = sorted((-round(float(np.dot(v, x)), 6), j) for j, x, h in vectors if j != i and (not same or h == g))[:k]
+        out[i] = [(j, -t) for t, j in s]
+    return out
+
+
+@pytest.mark.parametrize("cells", [1, 12])
+def test_search_by_cells(spark, tmp_path, monkeypatch, cells):
+    """Equal to brute force with and without a filter, whatever the cells; clustered vectors let most blocks be left out; filters reach the folders."""
+    monkeypatch.setattr(cells_of, "SIZE", 16)
+    r = np.random.RandomState(3)
+    centres = r.randn(12, 8) * 4
+    rows = [(i, (centres[i % 12] + r.randn(8) * 0.2).tolist(), f"g{i % 3}" if i % 17 else None) for i in range(900)] + [(900, [0.0] * 8, "g0"), (901, None, "g0"), (902, (centres[3]).tolist(), "g'1"), (903, (centres[3]).tolist(), "g'1")]
+    frame = spark.createDataFrame(rows, "point_id long, embedding array<double>, kind string")
+    asked = [(i, v, g) for i, v, g in rows[:40] + rows[900:] if v is not None]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, kind string")
+    held = [x for x in rows if x[1] is not None]
+    read = lambda hits: {i: [(h.point_id, round(h.score, 6)) for h in sorted(g, key=lambda h: h.rank)] for i, g in itertools.groupby(sorted(hits.collect(), key=lambda h: h.query_id), key=lambda h: h.query_id)}
+    for same in (None, "kind"):
+        path = str(tmp_path / f"cells-{same}")
+        cells_of.build(frame, path, same, cells)
+        counts: dict[str, int] = {}
+        hits = cells_of.search(spark, path, queries, 5, same, counts)
+        want = {i: x for i, x in near(held, asked, 5, same is not None).items() if x}
+        assert read(hits) == want
+        assert counts["read"] <= counts["blocks"]
+        few: dict[str, int] = {}
+        cells_of.search(spark, path, queries.limit(2), 5, same, few)
+        assert few["read"] < few["blocks"] / 2 or cells == 1
+    monkeypatch.setattr(R, "QUERY_BYTES", 300)
+    assert read(cells_of.search(spark, path, queries, 5, "kind")) == want
+    plan = spark.read.parquet(path).filter(F.col("same").isin(["of g0"]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "same" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 @pytest.fixture(scope="module")
 def corpus():
     r = random.Random(4)
@@ -88,23 +141,55 @@ def scores(corpus, query, dim=None):
     return out
 
 
-@pytest.mark.parametrize(("seed", "worth"), [(3, 1.0), (60, 1.0), (60, 0.2), (100_000, 1.0)])
-def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, seed, worth):
-    """However few postings bound the k-th score, and whatever is looked up; also from a saved index, and within a group."""
-    monkeypatch.setattr(S, "SEED_POSTINGS", seed)
-    monkeypatch.setattr(S, "WORTH", worth)
+@pytest.mark.parametrize(("size", "first", "group"), [(512, 8, 1 << 20), (16, 1, 1 << 20), (7, 0, 1 << 20), (1, 2, 60)])
+def test_lexical_search_is_exact(spark, corpus, tmp_path, monkeypatch, size, first, group):
+    """However large blocks are, and however many give the first bounds; also from a saved index, within a group, and with queries taken in turns."""
+    monkeypatch.setattr(B, "SIZE", size)
+    monkeypatch.setattr(B, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(S, "GROUP_BYTES", group)
     index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
     index.save(str(tmp_path / "index"))
-    index = S.SearchIndex.load(spark, str(tmp_path / "index"), 64)
-    asked = [(1, "w0 w1 w2 w50 w51", None), (2, "w0", "c1"), (3, "w59 w58 w3 w3", "c2"), (4, "nothing", None), (5, "w1 w0 w2", "c9")]
+    index = S.SearchIndex.load(spark, str(tmp_path / "index"))
+    asked = [(1, "w0 w1 w2 w50 w51", None), (2, "w0", "c1"), (3, "w59 w58 w3 w3", "c2"), (4, "nothing", None), (5, "w1 w0 w2", "c9"), (6, None, None)]
     frame = spark.createDataFrame(asked, "query_id long, text string, same string")
     for same in (None, "company"):
         hits = S.lexical(index, frame, 7, same).collect()
         for q, text, want in asked:
-            of = scores(corpus, text)
+            of = scores(corpus, text or "")
             ok = [i for i, _, c in corpus if of[i] > 0 and (same is None or want is None or c == want)]
             best = sorted(ok, key=lambda i: (-of[i], i))[:7]
             assert [h.point_id for h in sorted((h for h in hits if h.query_id == q), key=lambda h: h.rank)] == best
+    even = index.only(index.chunks.filter("point_id % 2 = 0"))
+    hits = S.lexical(even, frame.filter("query_id = 1"), 7).orderBy("rank").collect()
+    of = scores(corpus, asked[0][1])
+    assert [h.point_id for h in hits] == sorted((i for i, _, _ in corpus if i % 2 == 0 and of[i] > 0), key=lambda i: (-of[i], i))[:7]
+
+
+def test_blocks_leave_postings_out(spark, monkeypatch):
+    """Once k points have a rare term, the postings of common terms are only looked up."""
+    monkeypatch.setattr(B, "SIZE", 64)
+    r = random.Random(1)
+    rows = [(i, " ".join(["rare"] * (i % 100 == 0) + r.choices([f"c{j}" for j in range(30)], k=20)), "c") for i in range(3000)]
+    index = S.SearchIndex.build(spark.createDataFrame(rows, "point_id long, text string, company string"), Scratch(spark, "test"), dim=8)
+    counts: dict[str, int] = {}
+    hits = S.lexical(index, spark.createDataFrame([(1, "rare c1 c2 c3")], "query_id long, text string"), 5, counts=counts)
+    of = scores(rows, "rare c1 c2 c3")
+    assert [h.point_id for h in hits.orderBy("rank").collect()] == sorted(of, key=lambda i: (-of[i], i))[:5]
+    assert 0 < counts["read"] < counts["all"] / 3
+
+
+def test_a_save_that_breaks_off_changes_nothing(spark, corpus, tmp_path, monkeypatch):
+    frame = spark.createDataFrame(corpus, "point_id long, text string, company string")
+    one, two = (S.SearchIndex.build(f, Scratch(spark, "test"), dim=8) for f in (frame, frame.filter("point_id < 50")))
+    one.save(str(tmp_path / "index"))
+    before = S.SearchIndex.load(spark, str(tmp_path / "index"))
+    monkeypatch.setattr(two, "vectors", None)
+    with pytest.raises(AttributeError):
+        two.save(str(tmp_path / "index"))
+    assert S.SearchIndex.load(spark, str(tmp_path / "index")).chunks.count() == 300
+    S.SearchIndex.build(frame.filter("point_id < 50"), Scratch(spark, "test"), dim=8).save(str(tmp_path / "index"))
+    assert S.SearchIndex.load(spark, str(tmp_path / "index")).chunks.count() == 50 and S.SearchIndex.load(spark, str(tmp_path / "index"), 1).totals == before.totals
+    assert before.chunks.count() == 300
 
 
 def test_lexical_search_of_a_tiny_corpus(spark):

@@ -1,8 +1,13 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import usage as U
 from docquarry.operators.chunking import child_windows
 from docquarry.plans.usage import calls, messages
+from docquarry.operators import blocks
+from docquarry.operators.search import SearchIndex, lexical, vector
+from docquarry.operators.segments import SegmentedIndex
+from docquarry.session import Scratch
 from docquarry.streaming import jobs
 
 
@@ -16,26 +21,97 @@ def stream(spark, frame, tmp_path, name):
     return spark.readStream.schema(frame.schema).parquet(str(tmp_path / name))
 
 
-def test_ingest_twice_adds_nothing(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "word " * (100 * i)) for i in range(5)], "doc_id long, text string")
-    source = stream(spark, docs, tmp_path, "docs")
-    chunk = lambda rows: child_windows(rows, "text", "doc_id").withColumn("point_id", F.col("doc_id") * 1000 + F.col("child"))
-    for run in ("one", "two"):
-        jobs.ingest(source, chunk, str(tmp_path / "points"), str(tmp_path / run)).awaitTermination()
-    same(spark.read.parquet(str(tmp_path / "points")), chunk(docs), "point_id", "chunk")
-
-
-def test_a_changed_document_is_replaced(spark, tmp_path):
-    chunk = lambda rows: child_windows(rows, "text", "doc_id").withColumn("point_id", F.col("doc_id") * 1000 + F.col("child"))
-    first = [(i, f"text of {i} " * (50 * i + 1)) for i in range(6)]
-    path, source = str(tmp_path / "points"), str(tmp_path / "docs")
-    frame = spark.createDataFrame(first, "doc_id long, text string")
-    frame.write.parquet(source)
-    jobs.ingest(spark.readStream.schema(frame.schema).parquet(source), chunk, path, str(tmp_path / "state"), buckets=4).awaitTermination()
-    changed = spark.createDataFrame([(5, "now short"), (9, "a new one")], "doc_id long, text string")
-    changed.write.mode("append").parquet(source)
-    jobs.ingest(spark.readStream.schema(frame.schema).parquet(source), chunk, path, str(tmp_path / "state"), buckets=4).awaitTermination()
-    same(spark.read.parquet(path), chunk(frame.filter("doc_id <> 5").unionByName(changed)), "point_id", "chunk")
+def chunk(rows):
+    return child_windows(rows, "text", "doc_id").select((F.col("doc_id") * 1000 + F.col("child")).alias("point_id"), "doc_id", F.col("chunk").alias("text"))
+
+
+def same_index(spark, index, chunks):
+    """Chunks, statistics and hits are those of an index built anew."""
+    held, anew = index.open(), SearchIndex.build(chunks, Scratch(spark, "anew"), dim=32)
+    same(held.chunks, anew.chunks, "point_id", "doc_id", "text")
+    assert held.totals == anew.totals
+    same(held.terms.withColumn("idf", F.round("idf", 9)), anew.terms.withColumn("idf", F.round("idf", 9)), "term", "df", "idf")
+    queries = spark.createDataFrame([(1, "text of 3 w1 w5"), (2, "now short w2"), (3, "a new one w9 w1 w1")], "query_id long, text string")
+    for search in (lexical, vector):
+        hits = [search(i, queries, 6).select("query_id", "point_id", "rank", F.round("score", 6).alias("score")) for i in (held, anew)]
+        same(*hits, "query_id", "point_id", "rank", "score")
+
+
+def words(i, n=60):
+    return f"text of {i} " + " ".join(f"w{(i * k) % 17}" for k in range(n * (i + 1)))
+
+
+def test_ingest_in_batches(spark, tmp_path):
+    """Replaced, deleted and repeated documents; a batch that is run again; compaction; readers of older versions."""
+    index = SegmentedIndex(spark, str(tmp_path / "index"), dim=32)
+    first = [(i, words(i), 0, False) for i in range(8)]
+    columns = "doc_id long, text string, at int, gone boolean"
+    source = str(tmp_path / "docs")
+
+    def run(rows, every=99):
+        frame = spark.createDataFrame(rows, columns)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        jobs.ingest(spark.readStream.schema(frame.schema).parquet(source), lambda d: chunk(d.select("doc_id", "text")), index, str(tmp_path / "state"), F.col("at"), "gone", every).awaitTermination()
+
+    frame = lambda rows: chunk(spark.createDataFrame(rows, "doc_id long, text string"))
+    run(first)
+    run([(5, "now short", 2, False), (5, "stale", 1, False), (9, "a new one", 0, False), (3, None, 0, True), (None, "no id", 0, False)])
+    now = {i: t for i, t, *_ in first} | {5: "now short", 9: "a new one"}
+    del now[3]
+    same_index(spark, index, frame(list(now.items())))
+    old = index.open(1)
+    run([(0, words(20), 0, False), (3, "back again", 0, False), (9, None, 0, True)])
+    now |= {0: words(20), 3: "back again"}
+    del now[9]
+    same_index(spark, index, frame(list(now.items())))
+    number, held = index.manifest.latest()
+    assert [s["seq"] for s in held["segments"]] == [0, 1, 2]
+    assert index.commit(frame([(77, "late")]), frame([(77, "late")]), str(tmp_path / "state"), 2) == number  # committed before
+    assert index.compact() == number + 1 and len(index.manifest.latest()[1]["segments"]) < 3
+    same_index(spark, index, frame(list(now.items())))
+    run([(4, "after compaction", 0, False)], every=1)
+    now[4] = "after compaction"
+    same_index(spark, index, frame(list(now.items())))
+    assert old.chunks.select("doc_id").distinct().count() == 8
+    index.clean(index.manifest.latest()[0])
+    same_index(spark, index, frame(list(now.items())))
+
+
+def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    """Whatever was written of a segment, the manifest decides; the batch then runs again as if nothing had been. Of two writers one has to begin again."""
+    frame = lambda rows: chunk(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = SegmentedIndex(spark, str(tmp_path / "index"), dim=32)
+    docs = {i: words(i) for i in range(6)}
+    index.commit(frame(list(docs.items())), frame(list(docs.items())), "w", 0)
+    new = frame([(2, "changed"), (8, "added")])
+    for place in ("term_frequencies", "build"):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(blocks, place, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost")))
+            index.commit(new, new, "w", 1)
+        same_index(spark, index, frame(list(docs.items())))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(index.manifest, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        index.commit(new, new, "w", 1)
+    same_index(spark, index, frame(list(docs.items())))
+    index.commit(new, new, "w", 1)
+    docs |= {2: "changed", 8: "added"}
+    same_index(spark, index, frame(list(docs.items())))
+    with pytest.raises(RuntimeError):
+        index.manifest.commit(2, {})
+
+
+def test_bytes_written_follow_the_batch(spark, tmp_path):
+    """A batch of one document leaves every file of the segments before as it is and writes few bytes."""
+    index = SegmentedIndex(spark, str(tmp_path / "index"), dim=32)
+    frame = lambda rows: chunk(spark.createDataFrame(rows, "doc_id long, text string"))
+    many = frame([(i, words(i % 50)) for i in range(400)])
+    index.commit(many, many)
+    files = lambda: {p: p.stat().st_size for p in (tmp_path / "index").rglob("*.parquet")}
+    before = files()
+    one = frame([(7, "one word more")])
+    index.commit(one, one)
+    after = files()
+    assert all(after[p] == n for p, n in before.items()) and sum(after.values()) - sum(before.values()) < sum(before.values()) / 4
 
 
 def test_usage_by_day(spark, sf_dir, tmp_path):
@@ -61,7 +137,24 @@ def test_live_history(spark, sf_dir, tmp_path):
 
 
 def test_answers_for_a_stream(spark, tmp_path):
-    questions = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, text string")
-    search = lambda rows: rows.withColumn("hit", F.upper("text"))
-    jobs.answer_stream(stream(spark, questions, tmp_path, "questions"), search, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert sorted(r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B"]
+    """A batch of questions that runs again answers over the version it began with."""
+    index = SegmentedIndex(spark, str(tmp_path / "index"), dim=32)
+    frame = lambda rows: chunk(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = frame([(1, "red house"), (2, "green tree")])
+    index.commit(docs, docs)
+    questions = spark.createDataFrame([(1, "red"), (2, "tree house")], "query_id long, text string")
+    source = stream(spark, questions, tmp_path, "questions")
+    search = lambda held, asked: lexical(held, asked, 3)
+    out = str(tmp_path / "out")
+    jobs.answer_stream(source, index, search, out, str(tmp_path / "state")).awaitTermination()
+    read = lambda: sorted((r.query_id, r.point_id) for r in spark.read.parquet(out).collect())
+    first = read()
+    assert first == [(1, 1000), (2, 1000), (2, 2000)]
+    index.commit(docs.limit(0), docs.select("doc_id"))
+    jobs.answer_stream(source, index, search, out, str(tmp_path / "other-state")).awaitTermination()
+    assert read() == first
+    more = frame([(3, "a red tree")])
+    index.commit(more, more)
+    spark.createDataFrame([(4, "red")], questions.schema).write.mode("append").parquet(str(tmp_path / "questions"))
+    jobs.answer_stream(spark.readStream.schema(questions.schema).parquet(str(tmp_path / "questions")), index, search, out, str(tmp_path / "state")).awaitTermination()
+    assert read() == [*first, (4, 3000)]
