@@ -1,8 +1,8 @@
 """A lexical index in blocks: postings with the bounds of each block, and exact BM25 search that leaves out what can't reach a query's result.
 
-Points with alike terms stand next to each other (by the least hashes of their terms, which texts of one language or topic share). Each SIZE of
-them are a block. A posting row is (term, block): places within the block and counts, besides the greatest count and the least length,
-which bound what the term can add to a score there, whatever the mean length is by then. A block is searched in one task for all queries of a group:
+Points with alike terms stand next to each other (by the least hash of their terms, which texts of one language or topic share, and by length). Each SIZE of
+them are a block. A posting row is (term, block): places within the block and counts, besides the least length of the points that have the term once,
+twice and more often, and its greatest count, which bound what the term can add to a score there, whatever the mean length is by then. A block is searched in one task for all queries of a group:
 terms whose bounds together stay under the query's k-th score so far are not read, only looked up for points that can
 still reach it. The first k-th scores come from a few blocks; each task goes on with its own. No row of (query, point) is shuffled but the k best of each task."""
 
@@ -17,30 +17,36 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.session import Scratch
+
 #: Points of a block. Its places fit 16 bits.
 SIZE = 512
+#: A length that no text has.
+NEVER = (1 << 31) - 1
 #: A block's number: its segment, then 20 bits each for the partition that made it and its place there.
 SEGMENT_BITS = 40
 #: Blocks that are searched first, for the first bounds; any number gives the same rows.
 FIRST_BLOCKS = 8
+#: Blocks that a task holds at a time.
+AT_ONCE = 64
 #: Scores are ranked by 6 decimals: what is within this of a bound is scored.
 SLACK = 2e-6
 
 KINDS = {
-    "postings": "term string, block long, n int, tf_max int, dl_min int, at binary, tf binary",
+    "postings": "term string, block long, n int, tf_max int, dl_min array<int>, at binary, tf binary",
     "places": "block long, points array<long>, dl array<int>",
     "vectors": "point_id long, at array<int>, v array<double>",
 }
 _ROWS = pa.schema(
-    [("kind", pa.string()), ("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("tf_max", pa.int32()), ("dl_min", pa.int32()), ("at", pa.binary()), ("tf", pa.binary())]
+    [("kind", pa.string()), ("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("tf_max", pa.int32()), ("dl_min", pa.list_(pa.int32())), ("at", pa.binary()), ("tf", pa.binary())]
     + [("points", pa.list_(pa.int64())), ("dl", pa.list_(pa.int32())), ("point_id", pa.int64()), ("buckets", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))]
 )
-ROWS = "kind string, term string, block long, n int, tf_max int, dl_min int, at binary, tf binary, points array<long>, dl array<int>, point_id long, buckets array<int>, v array<double>"
+ROWS = "kind string, term string, block long, n int, tf_max int, dl_min array<int>, at binary, tf binary, points array<long>, dl array<int>, point_id long, buckets array<int>, v array<double>"
 
 
 def alike(terms: Column) -> list[Column]:
-    """Sort keys that bring texts with common terms together: the least hashes of their terms under two seeds."""
-    return [F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t))) for seed in (1, 2)]
+    """Sort keys that bring texts with common terms together (the least hash of their terms), and among these texts of one length, as length decides what a term adds."""
+    return [F.array_min(F.transform(terms, lambda t: F.xxhash64(t))), F.size(terms)]
 
 
 def _bucket(term: str, dim: int) -> int:
@@ -75,9 +81,10 @@ def _rows(segment: int, size: int, dim: int):
                 term, at = pair // size, pair % size
                 cuts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
                 ends = np.append(cuts[1:], len(term))
+                level = np.minimum(tf, 3)
                 at16, tf32 = at.astype(np.uint16), tf.astype(np.int32)
                 yield _batch(
-                    "postings", term=[names[t] for t in term[cuts].tolist()], block=[block] * len(cuts), n=(ends - cuts).astype(np.int32), tf_max=np.maximum.reduceat(tf32, cuts), dl_min=np.minimum.reduceat(dl[at].astype(np.int32), cuts),
+                    "postings", term=[names[t] for t in term[cuts].tolist()], block=[block] * len(cuts), n=(ends - cuts).astype(np.int32), tf_max=np.maximum.reduceat(tf32, cuts), dl_min=list(np.stack([np.minimum.reduceat(np.where(level == j, dl[at], NEVER), cuts) for j in (1, 2, 3)], axis=1).astype(np.int32)),
                     at=[at16[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], tf=[tf32[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)],
                 )
                 if dim:
@@ -93,16 +100,18 @@ def _rows(segment: int, size: int, dim: int):
     return run
 
 
-def build(points: DataFrame, terms: Column, path: str, segment: int = 0, dim: int = 0, size: int = SIZE) -> None:
+def build(scratch: Scratch, points: DataFrame, terms: Column, path: str, segment: int = 0, dim: int = 0, size: int = SIZE) -> None:
     """Write the index rows of ``points`` (point_id, ...) under ``path``, a folder for each kind; ``dim``: also hashed vectors of so many buckets.
 
     Texts are cut into terms once and cross one shuffle. A null text has no terms; ids that repeat are points of their own."""
     rows = points.select("point_id", F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
     keys = alike(F.col("terms"))
-    # parts of some thousand points each, whatever the shuffle's setting is
-    rows = rows.withColumns({"k1": keys[0], "k2": keys[1]}).repartitionByRange("k1", "k2", "point_id").sortWithinPartitions("k1", "k2", "point_id")
+    # dealing out by ranges looks at the keys twice, so terms are cut and written before
+    rows = scratch.save(f"cut-{segment}", rows.withColumns({"k1": keys[0], "k2": keys[1]}))
+    rows = rows.repartitionByRange("k1", "k2", "point_id").sortWithinPartitions("k1", "k2", "point_id")
     out = rows.select("point_id", "terms").mapInArrow(_rows(segment, size, dim), ROWS)
     out.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    scratch.drop(f"cut-{segment}")
 
 
 def read(spark, path: str, kind: str) -> DataFrame:  # noqa: ANN001
@@ -138,17 +147,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def search_block(
-    q: dict[int, float], held: dict[int, Postings], n: int, least: float, read: list[int]
-) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) in a block of n points of all that score ``least`` at least; read[0] counts the postings read or looked up.
-
-    ``q`` gives weights by term, ``held`` what the block has of them."""
+def bounded(q: dict[int, float], held: dict[int, Postings]) -> tuple[float, list[tuple[float, int, float]]]:
+    """The most that a point of a block can score, and the query's terms there (bound, term, weight), the greatest bounds first."""
     asked = sorted(((max(w * held[t].top, 0.0), t, w) for t, w in q.items() if t in held), reverse=True)
+    return sum(x[0] for x in asked), asked
+
+
+def search_block(asked: list[tuple[float, int, float]], held: dict[int, Postings], n: int, least: float, read: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) in a block of n points of all that score ``least`` at least; read[0] counts the postings read or looked up."""
     tops = np.array([x[0] for x in asked])
     rest = np.append(np.cumsum(tops[::-1])[::-1], 0.0)  # what terms from here on can add
-    if not len(asked) or rest[0] < least:
-        return np.zeros(0, np.int64), np.zeros(0)
     essential = int((rest[:-1] >= least).sum()) if least > 0 else len(asked)
     score, seen = np.zeros(n), np.zeros(n, bool)
     for _, t, w in asked[:essential]:
@@ -172,7 +180,8 @@ class Postings:
 
     def __init__(self, row: dict, dl: np.ndarray, queries: Queries) -> None:
         self.row, self.dl, self.queries, self.n = row, dl, queries, len(row["tf"]) // 4
-        self.top = float(queries.part(np.float64(row["tf_max"]), np.float64(row["dl_min"])))
+        tops = [queries.part(np.float64(tf), np.float64(dl)) for tf, dl in zip((1, 2, row["tf_max"]), row["dl_min"], strict=True) if dl < NEVER]
+        self.top = float(max(tops))
         self.held: tuple[np.ndarray, np.ndarray] | None = None
 
     def _lists(self) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +203,18 @@ class Postings:
         return hit, self.queries.part(tf[where[hit]], self.dl[places[hit]])
 
 
+def _opened(row: dict, queries: Queries) -> tuple[np.ndarray, dict[int, Postings], np.ndarray | None, np.ndarray | None]:
+    """A block's points, its postings by term, which points may be found, and the groups they are in."""
+    points, dl, open_, group = np.array(row["points"], np.int64), np.array(row["dl"], np.float64), None, None
+    if row["allowed"] is not None:
+        open_ = np.zeros(len(points), bool)
+        open_[row["allowed"]] = True
+    if row["groups"] is not None:
+        group = np.zeros(len(points), np.int64)
+        group[[g["at"] for g in row["groups"]]] = [g["of"] for g in row["groups"]]
+    return points, {x["t"]: Postings(x, dl, queries) for x in row["posted"]}, open_, group
+
+
 def _searched(queries: Queries, use: bool):
     """The k best points of each query in a task's blocks, as (q, point_id, score); at last a row (-1, postings read, postings that the queries have)."""
 
@@ -201,23 +222,20 @@ def _searched(queries: Queries, use: bool):
         none = (np.zeros(0, np.int64), np.zeros(0))
         top = [none] * len(queries.ids)
         read, all_ = [0], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                points, dl = np.array(row["points"], np.int64), np.array(row["dl"], np.float64)
-                open_ = None
-                if row["allowed"] is not None:
-                    open_ = np.zeros(len(points), bool)
-                    open_[row["allowed"]] = True
-                group = None
-                if row["groups"] is not None:
-                    group = np.zeros(len(points), np.int64)
-                    group[[g["at"] for g in row["groups"]]] = [g["of"] for g in row["groups"]]
-                held = {x["t"]: Postings(x, dl, queries) for x in row["posted"]}
-                for i, terms in enumerate(queries.terms):
+        for part in (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE)):
+            rows = part.to_pylist()
+            blocks = [_opened(row, queries) for row in rows]
+            for i, terms in enumerate(queries.terms):
+                # the blocks that may hold most come first; after one that can't reach the k-th score none can
+                order = sorted(((*bounded(terms, held), j) for j, (_, held, _, _) in enumerate(blocks)), key=lambda x: -x[0])
+                all_ += sum(blocks[j][1][t].n for _, asked, j in order for _, t, _ in asked)
+                for most, asked, j in order:
+                    points, held, open_, group = blocks[j]
                     ids, scores = top[i]
                     least = max(queries.bounds[i] if use else -np.inf, scores[-1] if len(scores) >= queries.k else -np.inf) - SLACK
-                    found, s = search_block(terms, held, len(points), least, read)
-                    all_ += sum(held[t].n for t in terms if t in held)
+                    if not asked or most < least:
+                        break
+                    found, s = search_block(asked, held, len(points), least, read)
                     good = np.round(s, 6) > 0
                     if open_ is not None:
                         good &= open_[found]
