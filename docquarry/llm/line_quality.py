@@ -56,13 +56,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(lines: DataFrame, sizes: DataFrame, least: int, share: float, most: int) -> DataFrame:
-    """(host, line) of the lines in more different documents of a host than its limit.
+    """(host, line, documents, limit) of the lines in more different documents of a host than its limit.
 
     The limit is ``share`` of the host's documents, but ``least`` at least and ``most`` at most, so it doesn't rise with a host beyond measure.
     Documents are told apart by their whole text: exact copies count once."""
     counts = lines.select("host", "line", "tag").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > least)
     limit = F.least(F.greatest(F.lit(float(least)), F.col("size") * share), F.lit(float(most)))
-    return counts.join(sizes, "host").filter(F.col("documents") > limit).select("host", "line")
+    return counts.join(sizes, "host").withColumn("limit", limit).filter("documents > limit").select("host", "line", "documents", "limit")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -75,11 +75,11 @@ def _host(source: Column) -> Column:
 
 
 def _gone(scratch: Scratch, named: DataFrame, least: int, share: float, most: int) -> DataFrame:
-    """(did, tag, host, at, words): each line that goes; texts are cut into lines once."""
+    """(did, tag, host, at, line, words, documents, limit): each line that goes; texts are cut into lines once."""
     sizes = scratch.save("sizes", named.groupBy("host").agg(F.count("*").alias("size")))
     lines = scratch.save("lines", lines_of(named))
     common = scratch.save("common", common_lines(lines, sizes, least, share, most))
-    gone = scratch.save("gone", lines.join(common, ["host", "line"]).select("did", "tag", "host", "at", "words").distinct())
+    gone = scratch.save("gone", lines.join(common, ["host", "line"]).select("did", "tag", "host", "at", "line", "words", "documents", "limit").distinct())
     scratch.drop("sizes", "lines", "common")
     return gone
 
@@ -90,22 +90,33 @@ def quality(
     """Per row of ``docs``: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     base_failed: fewer than ``least_words`` words, or more than ``repeat_percent`` % of them in repeated 5-word windows. Else a document
-    is rejected when the lines that are common on its host (see common_lines) leave less than ``left`` of its words.
+    is rejected when the lines that are common on its host (see common_lines) leave less than ``left`` of its words. Rejected documents of a host that lose the very same
+    lines are a group: if enough would be left of its first one (by doc_id) with the group counted as one document, that one stays, so no group of near copies goes whole.
     Null and empty texts have no words and fail; a null source is a host of its own; repeated rows each get their row; an empty table gives
     no rows; other columns are ignored."""
     scratch, named = Scratch(docs.sparkSession, "quality"), _keyed(docs)
-    out = _judged(named, _gone(scratch, named, least, share, most), left, least_words, repeat_percent)
+    out = _judged(scratch, named, _gone(scratch, named, least, share, most), left, least_words, repeat_percent)[0]
     return out.select(id_back(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _judged(named: DataFrame, gone: DataFrame, left: float, least_words: int, repeat_percent: int) -> DataFrame:
-    """The statistics and verdict of each row of ``named``, by (did, tag); of a text's hosts the one where most goes counts."""
-    lost = gone.groupBy("did", "tag", "host").agg(F.sum("words").alias("gone")).groupBy("did", "tag").agg(F.max("gone").alias("gone"))
+def _judged(scratch: Scratch, named: DataFrame, gone: DataFrame, left: float, least_words: int, repeat_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The statistics and verdict of each row of ``named``, by (did, tag), and the lines that go; of a text's hosts the one where most goes counts."""
+    of_host = gone.groupBy("did", "tag", "host").agg(F.sum("words").alias("gone"), F.xxhash64(F.array_sort(F.collect_set("line"))).alias("lines"))
+    lost = scratch.save("lost", of_host.groupBy("did", "tag").agg(F.max(F.struct("gone", "host", "lines")).alias("m")).select("did", "tag", "m.*"))
     stats = named.select("did", "tag", "text").mapInArrow(_statistics, ", ".join(f"{n} long" for n in _STATS.names))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    out = stats.join(lost, ["did", "tag"], "left").withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.coalesce("gone", F.lit(0)) >= F.col("n_words") * left)
-    return out.withColumn("kept", kept)
+    enough = lambda gone: F.col("n_words") - F.coalesce(gone, F.lit(0)) >= F.col("n_words") * left
+    out = stats.join(lost, ["did", "tag"], "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough(F.col("gone")))
+    out = scratch.save("judged", out)
+    depleted = out.filter("not base_failed and not kept").groupBy("host", "lines").agg(F.count_distinct("tag").alias("m"), F.min(F.struct("did", "tag", "n_words")).alias("one")).filter("m > 1")
+    first = scratch.save("first", depleted.select("one.*", "host", "m"))
+    # the lines of a group's first document that are common without the rest of the group too
+    still = gone.join(first, ["did", "tag", "host"]).filter("documents - m + 1 > limit")
+    still = scratch.save("still", still.select(*gone.columns))
+    spared = first.join(still.groupBy("did", "tag").agg(F.sum("words").alias("gone")), ["did", "tag"], "left").filter(enough(F.col("gone")))
+    spared = scratch.save("spared", spared.select("did", "tag", F.lit(True).alias("spared")).distinct())
+    out = out.join(spared, ["did", "tag"], "left").withColumn("kept", F.col("kept") | F.coalesce("spared", F.lit(False))).drop("spared", "gone", "host", "lines")
+    return out, gone.join(spared, ["did", "tag"], "left_anti").unionByName(still.join(spared, ["did", "tag"], "left_semi"))
 
 
 def keep_good(
@@ -116,8 +127,8 @@ def keep_good(
     Each text under one doc_id, null or not, is judged and cut by itself, and cut by each of its hosts. Null and empty texts have no words and go; repeated rows
     are kept or go together; an empty table stays empty; other columns may have any names."""
     scratch, named = Scratch(docs.sparkSession, "quality"), _keyed(docs)
-    gone = _gone(scratch, named, least, share, most)
-    verdict = _judged(named, gone, left, least_words, repeat_percent).filter("kept").select("did", "tag").distinct()
+    judged, gone = _judged(scratch, named, _gone(scratch, named, least, share, most), left, least_words, repeat_percent)
+    verdict = judged.filter("kept").select("did", "tag").distinct()
     cuts = gone.groupBy("did", "tag", "host").agg(F.collect_set("at").alias("cuts"))
     marks = verdict.join(named.select("did", "tag", "host").distinct(), ["did", "tag"]).join(cuts, ["did", "tag", "host"], "left")
     marks = scratch.save("marks", marks)

@@ -166,15 +166,19 @@ m AS (SELECT doc_id, host, line, i, lower(trim(regexp_replace(line, '[\\x20\\x09
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM m GROUP BY doc_id),
 size AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 texts AS (SELECT doc_id, md5(text) AS t FROM d),
-common AS (SELECT host, k FROM m JOIN texts USING (doc_id) JOIN size USING (host) GROUP BY host, k, size.n
+common AS (SELECT host, k, count(DISTINCT t) AS df, least(greatest(20, 0.05 * size.n), 1000) AS most FROM m JOIN texts USING (doc_id) JOIN size USING (host) GROUP BY host, k, size.n
            HAVING count(DISTINCT t) > least(greatest(20, 0.05 * size.n), 1000)),
-gone AS (SELECT doc_id, sum(n) AS n FROM m SEMI JOIN common USING (host, k) GROUP BY doc_id),
-x AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS lost
-      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
+lost AS (SELECT doc_id, host, m.n, k, df, most FROM m JOIN common USING (host, k)),
+gone AS (SELECT doc_id, host, sum(n) AS n, md5(string_agg(DISTINCT k, chr(10) ORDER BY k)) AS lines FROM lost GROUP BY doc_id, host),
+y AS (SELECT d.doc_id, d.host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS lost, lines, len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed
+      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
+grouped AS (SELECT host, min(doc_id) AS doc_id, count(DISTINCT t) AS m FROM y JOIN texts USING (doc_id) WHERE NOT base_failed AND n_words - lost < 0.2 * n_words GROUP BY host, lines HAVING count(DISTINCT t) > 1),
+x AS (SELECT y.*, grouped.m IS NOT NULL AND n_words - coalesce((SELECT sum(n) FROM lost WHERE lost.doc_id = y.doc_id AND df - grouped.m + 1 > most), 0) >= 0.2 * n_words AS spared
+      FROM y LEFT JOIN grouped USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - lost >= 0.2 * n_words AS kept
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND (n_words - lost >= 0.2 * n_words OR spared) AS kept
 FROM x"""
 
 #: The decimal id's CRC-32, bit by bit: each byte is followed by eight shifts, marked -1.

@@ -387,6 +387,22 @@ def test_a_block_of_common_lines_goes_whole(spark):
     assert {r.text for r in line_quality.keep_good(frame, share=0.9).collect()} == {t for _, t, _ in docs}
 
 
+def test_no_group_of_near_copies_goes_whole(spark):
+    """Near copies make their own lines common: one of them stays, without the lines that are common without them too. Pages of furniture alone still go."""
+    r = random.Random(10)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    shared, footer = [prose(8) for _ in range(10)], "all rights are reserved by us"
+    docs = [(i, "\n".join([*shared, f"own {i} {prose(2)}", footer]), "s") for i in range(60)]
+    docs += [(100 + i, f"{prose(20)}\n{footer}\n{prose(20)}", "s") for i in range(60)]
+    docs += [(200 + i, "\n".join([footer] * 3 + ["x"] * (i + 1)), "s") for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    how = {"least": 20, "share": 0.05, "repeat_percent": 100}
+    kept = {x.doc_id: x.text for x in line_quality.keep_good(frame, **how).collect()}
+    assert set(kept) == {0, *range(100, 160)}
+    assert kept[0] == docs[0][1].removesuffix("\n" + footer) and footer not in kept[100]
+    assert {x.doc_id for x in line_quality.quality(frame, **how).collect() if x.kept} == set(kept)
+
+
 def test_operators_with_clashing_columns(spark):
     """Other columns may be named as what the operators use inside."""
     names = "whole spans rest row cuts gone_lines did tag host at line words text_tag kept_id kept_tag marked bad_id bad_tag a b h w n_hit sum one copies".split()
