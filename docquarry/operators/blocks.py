@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.session import Scratch
@@ -114,9 +114,10 @@ def build(scratch: Scratch, points: DataFrame, terms: Column, path: str, segment
     scratch.drop(f"cut-{segment}")
 
 
-def read(spark, path: str, kind: str) -> DataFrame:  # noqa: ANN001
+def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a kind that ``build`` wrote; of an index without points there are none."""
     spec = KINDS[kind].replace("at array<int>", "buckets array<int>")
-    rows = spark.read.schema(spec).parquet(f"{path}/kind={kind}")
+    rows = spark.read.schema(f"{spec}, kind string").parquet(path).filter(F.col("kind") == kind).drop("kind")
     return rows.withColumnRenamed("buckets", "at") if kind == "vectors" else rows
 
 

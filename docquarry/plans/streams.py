@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.usage import call_cost
 from docquarry.plans.registry import query
-from docquarry.plans.usage import CALLS
+from docquarry.plans.usage import CALLS, calls
 from docquarry.session import Scratch, table
 from docquarry.streaming import jobs
 
@@ -38,6 +38,47 @@ def stream_usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("day").cast("string").alias("day"), "calls", F.col("cost").cast("string").alias("cost"))
 
 
+#: Calls arrive in five batches by time; every tenth comes one or two batches too late.
+_ARRIVED = f"""{CALLS}, span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS width FROM costed),
+t AS (SELECT *, epoch_us(ts) AS us, (epoch_us(ts) - lo) * 4 // width AS q FROM costed, span),
+a AS (SELECT *, CASE WHEN call_id % 10 = 0 THEN least(q + 1 + call_id // 10 % 2, 4) ELSE q END AS batch FROM t),
+tops AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a GROUP BY batch)"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    rows = calls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    q = F.expr(f"(us - {low}) * 4 div {high - low + 1}")
+    batch = F.when(F.col("call_id") % 10 == 0, F.least(q + 1 + F.floor(F.col("call_id") / 10) % 2, F.lit(4))).otherwise(q)
+    rows = Scratch(spark, "arriving").save("calls", rows.withColumn("batch", batch).drop("us"))
+    return [rows.filter(F.col("batch") == b).drop("batch") for b in range(5)]
+
+
+@query(f"""
+WITH {_ARRIVED}, kept AS (SELECT *, date_trunc('day', ts) AS day FROM a JOIN tops USING (batch)
+  WHERE before IS NULL OR epoch_us(date_trunc('day', ts)) // 1000 + 86400000 > before // 1000 - 3600000)
+SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, count(*) AS calls, CAST(sum(cost) AS VARCHAR) AS cost FROM kept
+WHERE epoch_us(day) // 1000 + 86400000 <= (SELECT max(us) // 1000 FROM a) - 3600000 GROUP BY day""")
+def stream_usage_by_day_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode over batches out of order: a day comes out once the watermark has passed it, without the calls that came after that."""
+    path = Scratch(spark, "late-usage").path
+    run = lambda live: jobs.drained(spark, jobs.usage_by_day(live), f"{path}/out", f"{path}/state")
+    jobs.replayed(_arriving(spark, sf_dir), f"{path}/calls", run)
+    return spark.read.parquet(f"{path}/out").select(F.col("day").cast("string").alias("day"), "calls", F.col("cost").cast("string").alias("cost"))
+
+
+@query(f"""
+WITH {_ARRIVED}, k AS (SELECT *, before IS NOT NULL AND us < before - 2 * 86400000000 AS late FROM a JOIN tops USING (batch)),
+r AS (SELECT call_id, greatest(CAST(sum(cost) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY batch, ts, call_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 2.0, CAST(sum(cost) OVER (PARTITION BY session_id ORDER BY batch, ts, call_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 0.1) AS ratio FROM k WHERE NOT late)
+SELECT call_id, CASE WHEN ratio >= 1 THEN 'reject' WHEN ratio >= 0.95 THEN 'cache_only' WHEN ratio >= 0.8 THEN 'warn' ELSE 'ok' END AS action FROM r UNION ALL SELECT call_id, 'late' FROM k WHERE late""")
+def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both budgets over batches out of order; calls more than two days late aren't counted."""
+    path = Scratch(spark, "ledger").path
+    run = lambda live: jobs.budget_ledger(live, path, f"{path}/state", 2.0, 0.1, "2 days", "4000 days").awaitTermination()
+    jobs.replayed(_arriving(spark, sf_dir), f"{path}/calls", run)
+    return spark.read.parquet(f"{path}/actions").select("call_id", "action")
+
+
 @query("SELECT user_id AS task_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update mode: the last row written for each task is its state."""

@@ -5,6 +5,7 @@ after a failure changes nothing."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from docquarry.operators.search import SearchIndex
 from docquarry.operators.segments import SegmentedIndex
-from docquarry.operators.usage import CACHE_ONLY, SESSION_BUDGET, WARN
+from docquarry.operators.usage import CACHE_ONLY, DAY_BUDGET, SESSION_BUDGET, WARN, action, running_sum
 from docquarry.sources.manifest import Manifest
 
 
@@ -90,6 +91,50 @@ def live_budget(calls: DataFrame, budget: float = SESSION_BUDGET, day_budget: fl
     return daily.transformWithStateInPandas(BudgetGuard(day_budget), schema, "append", "none").select(F.col("key").cast("date").alias("day"), "call_id", "action")
 
 
+def budget_ledger(calls: DataFrame, path: str, checkpoint: str, day_budget: float = DAY_BUDGET, session_budget: float = SESSION_BUDGET, late: str = "1 day", idle: str = "30 days") -> StreamingQuery:
+    """(call_id, action) under ``path``/actions, by the budgets of a call's day and session together, as usage.budget_actions has it.
+
+    Calls count in order of their batch, then of time. One that comes more than ``late`` behind the greatest time of earlier batches isn't counted and its action is "late". Between batches only what each day
+    and session has spent is kept, as a table: a day until it can get no more calls, a session until ``idle`` after its last. Sums run over time slots, so no task holds a
+    day or a session. A batch that runs again writes the same files, and what it adds to the ledger is committed once."""
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        ledger = Manifest(spark, f"{path}/ledger")
+        number, held = ledger.latest()
+        if held.get("epoch", -1) >= epoch:
+            return
+        micros = lambda span: int(spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {span})").first()[0])
+        spec = "kind string, key string, spent decimal(38,6), last timestamp"
+        before = spark.read.schema(spec).parquet(f"{path}/ledger/{held['folder']}") if held else spark.createDataFrame([], spec)
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        floor = F.lit(held["upto"] - micros(late)) if held.get("upto") is not None else F.lit(None).cast("long")
+        rows = rows.withColumn("_late", F.coalesce(at < floor, F.lit(False))).withColumns({"_day": F.to_date("ts").cast("string"), "_session": F.col("session_id").cast("string")}).persist()
+        try:
+            good = rows.filter("not _late")
+            of = lambda kind: before.filter(F.col("kind") == kind).select(F.col("key").alias(f"_{kind}"), F.col("spent").alias(f"_had_{kind}"))
+            sums = running_sum(running_sum(good, "cost", "_d", "_day"), "cost", "_s", "_session")
+            sums = sums.join(of("day"), "_day", "left").join(of("session"), "_session", "left")
+            share = lambda had, now, budget: (F.coalesce(had, F.lit(0)) + now).cast("double") / budget if budget > 0 else F.lit(0.0)
+            ratio = F.greatest(share(F.col("_had_day"), F.col("_d"), day_budget), share(F.col("_had_session"), F.col("_s"), session_budget))
+            out = sums.select("call_id", action(ratio).alias("action")).unionByName(rows.filter("_late").select("call_id", F.lit("late").alias("action")))
+            out.write.mode("overwrite").parquet(f"{path}/actions/batch={epoch}")
+            upto = max((x for x in (held.get("upto"), rows.agg(F.max(at)).first()[0]) if x is not None), default=None)
+            added = [good.groupBy(F.lit(k).alias("kind"), F.col(f"_{k}").alias("key")).agg(F.sum("cost").cast("decimal(38,6)").alias("spent"), F.max(F.col("ts").cast("timestamp")).alias("last")) for k in ("day", "session")]
+            after = before.unionByName(added[0]).unionByName(added[1]).groupBy("kind", "key").agg(F.sum("spent").cast("decimal(38,6)").alias("spent"), F.max("last").alias("last"))
+            if upto is not None:
+                day_ends = F.unix_micros((F.to_date("key") + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
+                ends = F.when(F.col("kind") == "day", day_ends + micros(late)).otherwise(F.unix_micros("last") + micros(idle))
+                after = after.filter(ends > upto)
+            folder = f"s-{epoch:08d}-{uuid.uuid4().hex[:12]}"
+            after.write.parquet(f"{path}/ledger/{folder}")
+            ledger.commit(number + 1, {"epoch": epoch, "upto": upto, "folder": folder})
+        finally:
+            rows.unpersist()
+
+    return calls.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stricter(one: DataFrame, other: DataFrame) -> DataFrame:
     """(call_id, action): of two drained tables of actions the stricter of each call."""
     rank = F.array_position(F.array(*map(F.lit, ("ok", "warn", "cache_only", "reject"))), F.col("action"))
@@ -150,6 +195,13 @@ def latest_status(events: DataFrame, *columns: str) -> DataFrame:
     return events.groupBy("task_id").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("s")).select("task_id", "s.*")
 
 
+def replayed(parts: list[DataFrame], path: str, run: Callable[[DataFrame], None]) -> None:
+    """Feed ``parts`` to a stream one after another, as they would arrive: each is added to ``path`` and ``run`` drains the stream over it, going on from its checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run(part.sparkSession.readStream.schema(part.schema).parquet(path))
+
+
 def drained(spark: SparkSession, frame: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now and read back what it wrote."""
     schema: StructType = frame.schema
