@@ -83,6 +83,20 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.entity_search(asked, nations.select(F.col("n_name").alias("name"), F.substring("n_name", 1, 4).alias("alias")))
 
 
+@query("""
+WITH names AS (SELECT c_name AS name, substr(c_name, 9) AS alias FROM customer),
+asked AS (SELECT c_custkey AS query_id, c_name AS text FROM customer UNION ALL SELECT 1000000000 + s_suppkey, 'all of ' || s_name || ' today' FROM supplier UNION ALL SELECT 2000000000 + c_custkey, substr(c_name, 1, 16) FROM customer WHERE c_custkey % 10 = 0),
+h AS (SELECT query_id, name, min(CASE WHEN text = name THEN 1 WHEN contains(text, alias) THEN 2 ELSE 3 END) AS tier FROM asked JOIN names ON contains(text, name) OR contains(name, text) OR contains(text, alias) GROUP BY ALL)
+SELECT query_id, name, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, length(name) DESC, name) AS place FROM h QUALIFY place <= 5""")
+def entity_search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole names, sentences about suppliers and openings of names, asked of all customers: thousands of keys with one opening."""
+    customers = table(spark, sf_dir, "customer")
+    asked = customers.select(F.col("c_custkey").cast("long").alias("query_id"), F.col("c_name").alias("text"))
+    asked = asked.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000000).cast("long").alias("query_id"), F.concat(F.lit("all of "), "s_name", F.lit(" today")).alias("text")))
+    asked = asked.unionByName(customers.filter("c_custkey % 10 = 0").select((F.col("c_custkey") + 2000000000).cast("long").alias("query_id"), F.substring("c_name", 1, 16).alias("text")))
+    return M.entity_search(asked, customers.select(F.col("c_name").alias("name"), F.expr("substr(c_name, 9)").alias("alias")))
+
+
 @query("""
 WITH v(alias, name, tier) AS (VALUES ('thonre', 'Thonre Group', 1), ('tion', 'Tion Holding', 2), ('ment', 'Ment Works', 2), ('heit', 'Heit', 3), ('los', 'Los', 3))
 SELECT doc_id, (SELECT name FROM v WHERE contains(d.text, alias) ORDER BY tier, length(alias) DESC, alias, name LIMIT 1) AS name FROM documents d WHERE EXISTS (SELECT 1 FROM v WHERE contains(d.text, alias))""")

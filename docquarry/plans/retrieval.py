@@ -291,6 +291,21 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits_of(R.or_unfiltered(strict, lexical(spark, sf_dir), least=15))
 
 
+#: Questions about parts, of every class of the router, with none to two entities.
+_ASKS = ["compare {} with the others", "营业收入同比增长率 {}", "the growth of {}", "our views on {}", "please summarize {}", "how much is {}", "名称是什么 {}", "{} and so on", "研报观点 {}", "calculated by {}", "reviews of {}"]
+_ASKED = "CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN replace('{x}', '{{}}', p_name)" for i, x in enumerate(_ASKS)) + " END"
+_ROUTED = " ".join(f"WHEN p_partkey % 3 >= 2 THEN '{name}'" if pattern is None else f"WHEN regexp_matches(lower({_ASKED}), '{pattern}') THEN '{name}'" for name, pattern in U.ROUTES)
+
+
+@query(f"SELECT p_partkey AS query_id, CASE {_ROUTED} ELSE 'none' END AS intent FROM part")
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The router's own rules on questions in both languages."""
+    ask = F.element_at(F.array(*map(F.lit, _ASKS)), (F.col("p_partkey") % 11 + 1).cast("int"))
+    names = F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("p_partkey") % 3).cast("int"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.replace(ask, F.lit("{}"), F.col("p_name")).alias("text"), names.alias("entities"))
+    return U.routes(asked).select("query_id", "intent")
+
+
 #: The vocabulary: the 100 most frequent words of 6 letters or more of all documents, each with the source that holds it most often.
 VOCAB = f"""
 voc AS (SELECT term, source, count(*) AS n FROM (SELECT source, unnest(list_filter({words_sql()}, lambda x: length(x) >= 6)) AS term FROM documents) GROUP BY ALL),
