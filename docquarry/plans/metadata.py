@@ -217,3 +217,10 @@ def outline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.outline_points(held, outlines.drop("doc_type"))
     kind = F.col("chunk_type") == "outline"
     return out.groupBy("doc_id").agg(F.count("*").alias("points"), F.count_if(kind).alias("outlines"), F.count_if(kind & F.startswith("text", F.lit("new "))).alias("fresh"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN contains(p_name, 'gadget') THEN NULL WHEN regexp_matches(p_name, '^(red|blue)') THEN 'colour' WHEN regexp_matches(p_type, 'ECONOMY|PROMO') THEN 'cheap' ELSE 'general' END AS route FROM part""")
+def summary_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit(" "), "p_type"))
+    return rows.select("p_partkey", M.summary_route(F.col("name"), ["gadget"], [("^(red|blue)", "colour"), ("ECONOMY|PROMO", "cheap")]).alias("route"))

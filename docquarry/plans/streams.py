@@ -101,3 +101,11 @@ def stream_once_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within a horizon longer than the table each (user, type) comes through once."""
     events = _stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return _drained(spark, jobs.once_within(events, "4000 days", "user_id", "event_type"), "once_within").select("user_id", "event_type")
+
+
+@query("SELECT conv_id AS session_id, turn AS seq, md5(coalesce(string_agg(role || ': ' || substr(text, 1, 2000), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '')) AS digest FROM conversations")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each message has before it, kept as state of its session; such state needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    live = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("seq"), "role", F.col("text").alias("content"))
+    return _drained(spark, jobs.live_history(live), "history").select("session_id", "seq", F.md5("history").alias("digest"))

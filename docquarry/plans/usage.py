@@ -106,6 +106,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), mode.alias("mode"))
 
 
+@query("SELECT s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS value FROM supplier")
+def overridden_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A setting for each supplier, some of which were set anew at run time."""
+    rows = table(spark, sf_dir, "supplier")
+    again = rows.filter("s_suppkey % 4 = 0").select(F.col("s_name").alias("name"), (F.col("s_acctbal") + 1).alias("value"))
+    return U.with_overrides(rows.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("value")), again)
+
+
 @query("SELECT conv_id AS session_id, count(*) AS messages, min(turn) AS created, max(turn) AS updated FROM conversations GROUP BY conv_id")
 def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.conversation_list(messages(spark, sf_dir))

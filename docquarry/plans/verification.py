@@ -111,3 +111,12 @@ def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers(spark, sf_dir)
     context = rows.select("query_id", F.concat(F.lit("全年收入 "), "price", F.lit(" 元；同比增长 "), F.col("m") + 1, F.lit("%")).alias("context"))
     return V.unsupported(rows, context).select("query_id", F.col("value").cast("long").alias("value"), "unit")
+
+
+@query("""
+WITH i AS (SELECT conv_id AS query_id, turn, role || ' ' || length(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT query_id, string_agg(t, '；' ORDER BY k) FILTER (k <= 3) || CASE WHEN max(n) > 3 THEN '…另有' || (max(n) - 3) || '项' ELSE '' END AS footer FROM i GROUP BY query_id""")
+def issue_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation stand for the issues of an answer."""
+    issues = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.concat("role", F.lit(" "), F.length("text").cast("string")).alias("t"))
+    return V.footer(issues, "t")
