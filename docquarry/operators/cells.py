@@ -20,8 +20,8 @@ from docquarry.session import Scratch
 
 #: Vectors of a block.
 SIZE = 256
-#: Vectors that centroids are fitted on at most, and cells at most. Any centroids give the same rows.
-SAMPLE, MOST_CELLS = 50_000, 2_048
+#: Vectors and their bytes that centroids are fitted on at most, and cells at most. Any centroids give the same rows.
+SAMPLE, SAMPLE_BYTES, MOST_CELLS = 50_000, 32 << 20, 2_048
 #: Blocks of each query that are searched for its first k-th score.
 FIRST = 2
 SLACK = 2e-6
@@ -98,13 +98,14 @@ def _folder(same: str | None) -> Column:
 def build(vectors: DataFrame, path: str, same: str | None = None, cells: int | None = None) -> None:
     """Write the blocks of ``vectors`` (point_id, embedding[, ``same``]) under ``path``, partitioned by ``same``.
 
-    Null vectors and null ids are left out, as a search never finds them; vectors must have one length. Centroids are fitted on SAMPLE vectors at most, every vector is dealt out."""
+    Null vectors and null ids are left out, as a search never finds them; vectors must have one length. Centroids are fitted on SAMPLE vectors (SAMPLE_BYTES) at most, every vector is dealt out."""
     scratch = Scratch(vectors.sparkSession, "cells")
     group = _folder(same)
     rows = vectors.filter("embedding is not null and point_id is not null").select(F.col("point_id").cast("long").alias("point_id"), group.alias("same"), F.col("embedding").cast("array<double>").alias("embedding"))
-    total = rows.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = np.array([r[0] for r in rows.select("embedding").sample(share, 7).limit(SAMPLE).collect()], float)
+    total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    most = min(SAMPLE, SAMPLE_BYTES // (8 * max(1, width)))
+    share = min(1.0, 1.2 * most / max(1, total))
+    sample = np.array([r[0] for r in rows.select("embedding").sample(share, 7).limit(most).collect()], float)
     centres = centroids(sample, cells or max(1, min(MOST_CELLS, total // SIZE)))
     dealt = rows.mapInArrow(_dealt(centres), "point_id long, same string, embedding array<double>, cell int") if len(sample) else rows.withColumn("cell", F.lit(0))
     dealt = scratch.save("dealt", dealt)
