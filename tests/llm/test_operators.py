@@ -516,7 +516,7 @@ def test_mask_search(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = C.ranked(DOCS, items)
     same(masks.search(docs, bench), want)
-    monkeypatch.setattr(masks, "GROUP_BYTES", 200)
+    monkeypatch.setattr(masks, "GROUP_BYTES", 4000)
     same(masks.search(docs, bench), want)
     same(masks.search(docs, bench, 3), C.ranked(DOCS, items, 3))
     assert masks.search(none, bench).collect() == [] and masks.search(docs, bench.limit(0)).collect() == []
