@@ -63,10 +63,10 @@ class SegmentedIndex:
         chunks.sortWithinPartitions(self.doc).write.option("compression", "zstd").parquet(f"{folder}/chunks")
         mine = self.spark.read.schema(chunks.schema).parquet(f"{folder}/chunks")
         here |= {"gone": self._read(here, "gone").count(), "chunks": mine.count()}
-        B.build(Scratch(self.spark, "segment"), mine, self.cut(F.col(self.text)), f"{folder}/index", seq, self.dim, B.SIZE)
+        B.build(mine, self.cut(F.col(self.text)), f"{folder}/index", seq, self.dim, B.SIZE)
         mine.select(self.doc).distinct().write.parquet(f"{folder}/docs")
-        n, with_terms, all_terms = B.totals(B.read(self.spark, f"{folder}/index", "places"))
-        terms = B.term_frequencies(B.read(self.spark, f"{folder}/index", "postings"))
+        n, with_terms, all_terms = B.totals(B.read(self.spark, f"{folder}/index", "postings"))
+        terms = Scratch(self.spark, "segment").save("counts", B.term_frequencies(B.read(self.spark, f"{folder}/index", "postings")), B.COUNTED)
         before = held.get("totals", [0, 0, 0])
         dead = self._dead(segments, self._read(here, "gone").drop("segment")) if segments else None
         if dead is not None:
@@ -96,12 +96,11 @@ class SegmentedIndex:
         segments = held["segments"]
         live = self._live(segments)
         paths = [f"{self.path}/{s['folder']}/index" for s in segments]
-        read = lambda kind: reduce(DataFrame.unionByName, (B.read(self.spark, p, kind).withColumn("segment", F.lit(s["seq"]).cast("long")) for p, s in zip(paths, segments, strict=True)))
+        read = lambda kind: reduce(DataFrame.unionByName, (B.read(self.spark, p, kind) for p in paths))
         allowed = live.select("point_id", "segment") if any(s["gone"] for s in segments[1:]) else None
-        vectors = read("vectors") if allowed is None else read("vectors").join(allowed.distinct(), ["point_id", "segment"], "left_semi")
         counts = self._all(segments, "terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         return SearchIndex(
-            self.dim, live.drop("segment"), read("postings").drop("segment"), read("places").drop("segment"), X.weighted_terms(counts, held["totals"][0], self.idf), vectors.drop("segment"), tuple(held["totals"]), allowed, self.k1, self.b, self.cut
+            self.dim, live.drop("segment"), read("postings"), X.weighted_terms(counts, held["totals"][0], self.idf), read("vectors"), tuple(held["totals"]), allowed, self.k1, self.b, self.cut
         )
 
     def compact(self) -> int:
@@ -125,7 +124,7 @@ class SegmentedIndex:
         mine = self.spark.read.schema(chunks.schema).parquet(f"{folder}/chunks")
         gone = self._all(merged, "gone").select(self.doc).distinct()
         (gone if first else gone.limit(0)).write.parquet(f"{folder}/gone")
-        B.build(Scratch(self.spark, "segment"), mine, self.cut(F.col(self.text)), f"{folder}/index", here["seq"], self.dim, B.SIZE)
+        B.build(mine, self.cut(F.col(self.text)), f"{folder}/index", here["seq"], self.dim, B.SIZE)
         mine.select(self.doc).distinct().write.parquet(f"{folder}/docs")
         self._all(merged, "terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{folder}/terms")
         here |= {"gone": self._read(here, "gone").count(), "chunks": mine.count()}

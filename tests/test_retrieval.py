@@ -178,6 +178,33 @@ def test_blocks_leave_postings_out(spark, monkeypatch):
     assert 0 < counts["read"] < counts["all"] / 3
 
 
+def test_postings_cross_no_shuffle(spark, corpus, monkeypatch):
+    """A search reads blocks where they are; only the best of each task go on."""
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=8)
+    plans, save = [], Scratch.save
+
+    def saved(self, name, build, *more):
+        plans.append(build._jdf.queryExecution().executedPlan().toString())
+        return save(self, name, build, *more)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    asked = spark.createDataFrame([(1, "w0 w50")], "query_id long, text string")
+    assert S.lexical(index, asked, 5).count() == 5 and S.vector(index, asked, 5).count() == 5
+    reading = [p for p in plans if "tf#" in p or "v_at#" in p]
+    assert len(reading) == 2 and not any("Exchange" in p for p in reading)
+
+
+def test_many_queries_in_slices(spark, corpus, monkeypatch):
+    """However many queries are scored at a time, the hits are the same."""
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
+    asked = spark.createDataFrame([(i, t) for i, t, _ in corpus[:40]], "query_id long, text string")
+    found = []
+    for n in (1024, 7):
+        monkeypatch.setattr(B, "QUERIES", n)
+        found.append([sorted((h.query_id, h.rank, h.point_id, round(h.score, 6)) for h in f(index, asked, 6).collect()) for f in (S.lexical, S.vector)])
+    assert found[0] == found[1] and all(len(x) == 240 for x in found[0])
+
+
 def test_a_save_that_breaks_off_changes_nothing(spark, corpus, tmp_path, monkeypatch):
     frame = spark.createDataFrame(corpus, "point_id long, text string, company string")
     one, two = (S.SearchIndex.build(f, Scratch(spark, "test"), dim=8) for f in (frame, frame.filter("point_id < 50")))
