@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.retrieve import containing
+from docquarry.session import Scratch
 
 UNKNOWN = "未知"
 #: Fixed weights of document types; others count 1.
@@ -112,17 +113,21 @@ def derive_aliases(names: DataFrame, strip: str = "(股份|集团|有限公司|
 
 
 def entity_search(asked: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, name, tier, place): exact, then by alias, then one within the other; longer names first."""
+    """(query_id, name, tier, place): exact, then by alias, then one within the other; longer names first.
+
+    Repeated names and texts meet once; a text's best k names then go to the queries that ask it."""
+    scratch = Scratch(asked.sparkSession, "entities")
     asked = asked.select("query_id", "text").filter(F.length("text") >= 2)
-    names = names.select("name", "alias")
-    ways = (containing(asked, "text", names, "name", "query_id"), containing(asked, "text", names, "alias", "query_id"), containing(names, "name", asked, "text", "name"))
-    both = ways[0].select("query_id", "text", "name", "alias")
+    texts, names = scratch.save("texts", asked.select("text").distinct()), scratch.save("names", names.select("name", "alias").distinct())
+    ways = (containing(texts, "text", names, "name", "text"), containing(texts, "text", names, "alias", "text"), containing(names, "name", texts, "text", "name"))
+    both = ways[0].select("text", "name", "alias")
     for more in ways[1:]:
-        both = both.unionByName(more.select("query_id", "text", "name", "alias"))
+        both = both.unionByName(more.select("text", "name", "alias"))
     tier = F.when(F.col("text") == F.col("name"), 1).when(F.contains("text", "alias"), 2).otherwise(3)
-    rows = both.groupBy("query_id", "name").agg(F.min(tier).alias("tier"))
-    w = Window.partitionBy("query_id").orderBy("tier", F.length("name").desc(), "name")
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    first = lambda rows, key: rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("tier", F.length("name").desc(), "name"))).filter(F.col("place") <= k)
+    best = first(both.groupBy("text", "name").agg(F.min(tier).alias("tier")), "text").drop("place")
+    rows = asked.join(best.hint("merge"), "text").groupBy("query_id", "name").agg(F.min("tier").alias("tier"))
+    return first(rows, "query_id")
 
 
 def summary_route(name: Column, skip: list[str], routes: list[tuple[str, str]], default: str = "general") -> Column:

@@ -112,3 +112,40 @@ def test_places_in_answers(spark):
     assert [(r.raw, text[r.start : r.start + len(r.raw)]) for r in V.figures(frame).orderBy("place").collect()] == [("1,200.5万元", "1,200.5万元"), ("5%", "5%")]
     assert [(r.query_id, r.idx) for r in V.source_tags(frame).orderBy("query_id", "place").collect()] == [(1, 12), (1, 3), (3, 1)]
     assert all(text[r.start : r.end] == f"[来源{r.idx}]" for r in V.source_tags(frame).filter("query_id = 1").collect())
+
+
+def test_entities_of_repeated_names(spark):
+    """Copies of names and texts meet once; a query asked with two texts takes the best of both."""
+    names = [(f"Firm {i % 30:03d}", f"{i % 30:03d}") for i in range(300)] + [(None, "no"), ("Other", None)]
+    asked = [(i, f"Firm {i % 30:03d}") for i in range(60)] + [(100, "Firm 00"), (101, "of 007 and 008"), (102, None), (103, "x"), (101, "Firm 02")]
+    frame = spark.createDataFrame(names, "name string, alias string"), spark.createDataFrame(asked, "query_id long, text string")
+    found = M.entity_search(frame[1], frame[0])
+    want = set()
+    for q in {q for q, _ in asked}:
+        tiers = {}
+        for text in (t for i, t in asked if i == q and t and len(t) >= 2):
+            for name, alias in set(names):
+                if name and (name in text or text in name) or alias and alias in text:
+                    tier = 1 if text == name else 2 if alias and alias in text else 3
+                    tiers[name] = min(tier, tiers.get(name, 9))
+        want |= {(q, n, t, i + 1) for i, (n, t) in enumerate(sorted(tiers.items(), key=lambda x: (x[1], -len(x[0] or ""), x[0] or ""))[:5])}
+    assert {(r.query_id, r.name, r.tier, r.place) for r in found.collect()} == want
+
+
+def test_large_vocabularies_are_never_broadcast(spark, monkeypatch):
+    """However small their files look: like names compress to next to nothing, and a broadcast of them took the driver's memory."""
+    from docquarry.operators import retrieve as R
+    from docquarry.session import Scratch
+
+    plans, save = [], Scratch.save
+
+    def saved(self, name, build, *more):
+        plans.append(build._jdf.queryExecution().optimizedPlan().toString())
+        return save(self, name, build, *more)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    monkeypatch.setattr(R, "BROADCAST_CHARS", 0)
+    keys = spark.range(2000).selectExpr("concat('company ', lpad(cast(id as string), 9, '0')) as name", "id as n")
+    found = R.containing(keys.select("n", F.concat("name", F.lit(" x")).alias("text")), "text", keys.select("name", F.col("n").alias("m")), "name", "n")
+    assert found.count() == 2000 and "strategy=merge" in plans[0]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
