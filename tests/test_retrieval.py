@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import tokens
 from docquarry.operators import chunking as C
 from docquarry.operators import evaluate as E
 from docquarry.operators import index as X
@@ -205,6 +207,46 @@ def test_many_queries_in_slices(spark, corpus, monkeypatch):
     assert found[0] == found[1] and all(len(x) == 240 for x in found[0])
 
 
+def test_common_terms_are_scored_by_products(spark, corpus, monkeypatch):
+    """What many queries have is scored as matrices, to the same hits, and reads what they would read one by one."""
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
+    asked = spark.createDataFrame([(i, t) for i, t, _ in corpus[:40]], "query_id long, text string")
+    found, repeat = [], B._flat
+    for dense in (0, B.DENSE, 1 << 30):
+        monkeypatch.setattr(B, "DENSE", dense)
+        found.append([sorted((h.query_id, h.rank, h.point_id, round(h.score, 6)) for h in f(index, asked, 6).collect()) for f in (S.lexical, S.vector)])
+    assert found[0] == found[1] == found[2]
+    rows, texts = index.postings.toArrow().to_pylist(), {i: t.split() for i, t, _ in corpus[:40]}
+    queries = B.Queries(list(texts), [dict.fromkeys(range(60), 1.0) for _ in texts], [None] * len(texts), 6, [f"w{i}" for i in range(60)])
+    sizes: list[int] = []
+    monkeypatch.setattr(B, "DENSE", 128)
+    monkeypatch.setattr(B, "_flat", lambda starts, n: sizes.append(int(n.sum())) or repeat(starts, n))
+    for row in rows:
+        held, counts = B.Lexical(row, queries, pa.array(queries.names)), [0, 0]
+        B.search_block(held, len(row["points"]), queries.slices[0], queries.bounds, counts)
+        assert counts[0] == counts[1] and max(sizes) < counts[1] / 4
+        sizes.clear()
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Buckets are those of functions.text.bucket, also when a word comes again, and when the words held are let go."""
+    md5, hashed = B.hashlib.md5, []
+    monkeypatch.setattr(B.hashlib, "md5", lambda w: hashed.append(w) or md5(w))
+    of = lambda w: int(md5(w.encode()).hexdigest()[:8], 16) % 1000
+    buckets = B._Buckets(1000)
+    for words in (["a", "b", "é"], [], ["b", "中", "a"], ["中", "d"]):
+        assert buckets(pa.array(words, pa.string())).tolist() == [of(w) for w in words]
+    assert len(hashed) == 5
+    monkeypatch.setattr(B, "KNOWN", 2)
+    assert buckets(pa.array(["d", "x"])).tolist() == [of("d"), of("x")] and len(buckets.names) == 2
+
+
+def test_tokens_with_han_or_figures(spark):
+    texts = ["a 1,234.5 b", "12% up", "x5中", "中5", "ab 3 , 4", "é1,", "2024年"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [["a", "1234.5", "b"], ["12", "%", "up"], ["x5", "中"], ["中", "5"], ["ab", "3", "4"], ["é1"], ["2024年", "2024"]]
+
+
 def test_a_save_that_breaks_off_changes_nothing(spark, corpus, tmp_path, monkeypatch):
     frame = spark.createDataFrame(corpus, "point_id long, text string, company string")
     one, two = (S.SearchIndex.build(f, Scratch(spark, "test"), dim=8) for f in (frame, frame.filter("point_id < 50")))
