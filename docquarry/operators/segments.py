@@ -63,7 +63,7 @@ class SegmentedIndex:
         chunks.sortWithinPartitions(self.doc).write.option("compression", "zstd").parquet(f"{folder}/chunks")
         mine = self.spark.read.schema(chunks.schema).parquet(f"{folder}/chunks")
         here |= {"gone": self._read(here, "gone").count(), "chunks": mine.count()}
-        B.build(mine, self.cut(F.col(self.text)), f"{folder}/index", seq, self.dim, B.SIZE)
+        B.build(mine, self.text, f"{folder}/index", seq, self.dim, B.SIZE, self.cut)
         mine.select(self.doc).distinct().write.parquet(f"{folder}/docs")
         n, with_terms, all_terms = B.totals(B.read(self.spark, f"{folder}/index", "postings"))
         terms = Scratch(self.spark, "segment").save("counts", B.term_frequencies(B.read(self.spark, f"{folder}/index", "postings")), B.COUNTED)
@@ -124,7 +124,7 @@ class SegmentedIndex:
         mine = self.spark.read.schema(chunks.schema).parquet(f"{folder}/chunks")
         gone = self._all(merged, "gone").select(self.doc).distinct()
         (gone if first else gone.limit(0)).write.parquet(f"{folder}/gone")
-        B.build(mine, self.cut(F.col(self.text)), f"{folder}/index", here["seq"], self.dim, B.SIZE)
+        B.build(mine, self.text, f"{folder}/index", here["seq"], self.dim, B.SIZE, self.cut)
         mine.select(self.doc).distinct().write.parquet(f"{folder}/docs")
         self._all(merged, "terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{folder}/terms")
         here |= {"gone": self._read(here, "gone").count(), "chunks": mine.count()}

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import tokens
+from docquarry.functions.text import plain, runs, tokens
 from docquarry.operators import chunking as C
 from docquarry.operators import evaluate as E
 from docquarry.operators import index as X
@@ -392,3 +392,33 @@ def test_budget_without_limit(spark):
     assert U.budget_actions(calls, 0, 0).first().action == "ok" and U.budget_actions(calls, 9, 0).first().action == "reject"
     defaults = spark.createDataFrame([("day", 50.0), ("session", 5.0)], "name string, value double")
     assert {r.name: r.value for r in U.with_overrides(defaults, defaults.filter("name = 'day'").withColumn("value", F.lit(9.0))).collect()} == {"day": 9.0, "session": 5.0}
+
+
+def test_plain_texts_have_the_terms_that_tokens_cuts(spark):
+    """Runs of letters and digits, cut many texts at a time, are what the expression cuts; every other text is left to it."""
+    texts = [f"A{chr(c)}b1{chr(c)}2 {chr(c)}9 Çé{chr(c)}" for c in range(0x2100)] + [None, "", " ", "x", "12", "2.5", "1,000", "7%", "3. x", "a,b 1 ,2", "营收 12", "É" * 3, "ß1", "İx", "“q”—r…", "5€", "x²", "½"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", plain(F.col("text")).alias("plain"), tokens(F.col("text")).alias("tokens")).orderBy("id").collect()
+    cut, n = runs(pa.array([r["plain"] for r in rows], pa.string()))
+    ends = np.cumsum(n)
+    assert len(cut) == ends[-1]
+    for r, end, k in zip(rows, ends, n, strict=True):
+        if r["plain"] is None:
+            assert k == 0
+        else:
+            assert cut.slice(end - k, k).to_pylist() == r["tokens"], texts[r["id"]]
+    left = {t for t, r in zip(texts, rows, strict=True) if r["plain"] is None}
+    assert {"2.5", "1,000", "7%", "营收 12", "x²", "½"} <= left and not left & {None, "", "x", "12", "3. x", "a,b 1 ,2", "ß1", "İx", "“q”—r…", "5€"}
+    some = pa.array(["skipped", "é b", None, "c1"], pa.string()).slice(1)
+    assert runs(some)[0].to_pylist() == ["é", "b", "c1"] and runs(some)[1].tolist() == [2, 0, 1]
+
+
+def test_blocks_of_plain_and_other_texts_hold_all_terms(spark):
+    """One index of texts that are cut in bulk and of texts that are not: each is found by each of its terms, with the counts of plain postings."""
+    texts = {1: "alpha beta beta", 2: "营收 12.5% beta", 3: None, 4: "", 5: "Ünder 1,000 alpha", 6: "gamma. alpha,beta", 7: "营收"}
+    index = S.SearchIndex.build(spark.createDataFrame(list(texts.items()), "point_id long, text string"), Scratch(spark, "test"), dim=8, idf="plus_one")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "营收"), (4, "12.5"), (5, "1000"), (6, "gamma ünder")], "query_id long, text string")
+    found = {(r["query_id"], r["point_id"]) for r in S.lexical(index, asked).collect()}
+    assert found == {(1, 1), (1, 5), (1, 6), (2, 1), (2, 2), (2, 6), (3, 2), (3, 7), (4, 2), (5, 5), (6, 5), (6, 6)}
+    assert index.totals[:2] == (7, 5)
+    df = {r["term"]: r["df"] for r in index.terms.collect()}
+    assert df["beta"] == 3 and df["alpha"] == 3 and df["1000"] == 1 and df["%"] == 1
