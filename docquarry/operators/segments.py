@@ -70,10 +70,9 @@ class SegmentedIndex:
         before = held.get("totals", [0, 0, 0])
         dead = self._dead(segments, self._read(here, "gone").drop("segment")) if segments else None
         if dead is not None:
-            words = dead.select(self.cut(F.col(self.text)).alias("w")).select(F.coalesce("w", F.array()).alias("w"))
-            row = words.agg(F.count("*"), F.coalesce(F.count_if(F.size("w") > 0), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+            less, row = B.text_counts(dead, self.text, Scratch(self.spark, "segment"), "dead", self.cut)
             n, with_terms, all_terms = n - row[0], with_terms - row[1], all_terms - row[2]
-            less = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+            less = less.withColumn("df", -F.col("df"))
             terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         terms.write.parquet(f"{folder}/terms")
         totals = [before[0] + n, before[1] + with_terms, before[2] + all_terms]

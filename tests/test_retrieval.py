@@ -422,3 +422,17 @@ def test_blocks_of_plain_and_other_texts_hold_all_terms(spark):
     assert index.totals[:2] == (7, 5)
     df = {r["term"]: r["df"] for r in index.terms.collect()}
     assert df["beta"] == 3 and df["alpha"] == 3 and df["1000"] == 1 and df["%"] == 1
+
+
+def test_counts_of_texts_are_those_of_their_blocks(spark):
+    """Texts that leave an index, plain or not, take from its statistics just what they would bring as blocks; they are cut in one pass."""
+    r = random.Random(3)
+    texts = [" ".join(r.choices(["a", "b", "Ça", "2.5", "营收", "x1", "7%", "1,000"], k=r.randrange(6))) for _ in range(300)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "point_id long, text string")
+    df, totals = B.text_counts(frame, "text", Scratch(spark, "test"), "counts")
+    index = S.SearchIndex.build(frame, Scratch(spark, "test"), dim=8, idf="plus_one")
+    assert totals == index.totals and sorted(map(tuple, df.collect())) == sorted(map(tuple, index.terms.select("term", "df").collect()))
+    plan = df._jdf.queryExecution().toString()
+    assert "regexp" not in plan  # what was cut is read, not cut again
+    none, totals = B.text_counts(frame.limit(0), "text", Scratch(spark, "test"), "counts")
+    assert none.count() == 0 and totals == (0, 0, 0)
