@@ -175,3 +175,15 @@ def test_segmenter(spark):
     index = SearchIndex.build(spark.createDataFrame([(1, "公司营业收入405.29亿元"), (2, "公司营业405.3亿元"), (3, "其他")], "point_id long, text string"), Scratch(spark, "cut"), dim=8, cut=cut)
     hits = lexical(index, spark.createDataFrame([(1, "营业收入"), (2, "405.29")], "query_id long, text string"), 5).collect()
     assert {(h.query_id, h.point_id) for h in hits} == {(1, 1), (2, 1)}
+
+
+def test_windows_are_cut_in_one_pass_and_alike_for_every_size(spark):
+    """A window ends behind the last break of the first kind found, or with the line of a figure that goes on behind it."""
+    text = "a" * 35 + "\n" + "b" * 20 + ". " + "𝒳" * 30 + "7亿元 more\n" + "c" * 50
+    frame = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    windows = C.child_windows(frame, "text", "doc_id", window=40, stride=30)
+    got = {(r.doc_id, r.child, r.start): r.chunk for r in windows.collect()}
+    assert got[1, 0, 0] == text[:36] and got[1, 1, 30] == text[30:70] and got[2, 0, 0] == got[3, 0, 0] == ""
+    last = max(child for doc, child, _ in got if doc == 1)
+    assert got[1, last, last * 30] == text[last * 30 :] and all(got[1, i, i * 30][:30] == text[i * 30 : (i + 1) * 30] for i in range(last + 1))
+    assert "regexp_extract_all" not in windows._jdf.queryExecution().toString()
