@@ -18,7 +18,7 @@ from docquarry.operators import cells as cells_of
 from docquarry.operators import search as S
 from docquarry.operators import understand as Q
 from docquarry.operators import usage as U
-from docquarry.session import Scratch
+from docquarry.session import Scratch, spread
 from docquarry.sources import tables as T
 
 HITS = "query_id long, point_id long, score double, rank int"
@@ -436,3 +436,13 @@ def test_counts_of_texts_are_those_of_their_blocks(spark):
     assert "regexp" not in plan  # what was cut is read, not cut again
     none, totals = B.text_counts(frame.limit(0), "text", Scratch(spark, "test"), "counts")
     assert none.count() == 0 and totals == (0, 0, 0)
+
+
+def test_documents_of_one_row_group_are_dealt_out(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").crossJoin(spark.range(5)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    dealt = spread(docs)
+    assert dealt.groupBy(F.spark_partition_id()).count().count() == spark.sparkContext.defaultParallelism * 2 + 2 == 10
+    assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, docs.collect()))
+    even = dealt.localCheckpoint()
+    assert spread(even) is even and spread(docs.limit(0)).count() == 0
