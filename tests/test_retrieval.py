@@ -18,6 +18,7 @@ from docquarry.operators import cells as cells_of
 from docquarry.operators import search as S
 from docquarry.operators import understand as Q
 from docquarry.operators import usage as U
+from docquarry.plans import retrieval
 from docquarry.session import Scratch, spread
 from docquarry.sources import tables as T
 
@@ -446,3 +447,9 @@ def test_documents_of_one_row_group_are_dealt_out(spark, sf_dir, tmp_path):
     assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, docs.collect()))
     even = dealt.localCheckpoint()
     assert spread(even) is even and spread(docs.limit(0)).count() == 0
+
+
+def test_vocabulary_is_made_once(spark, sf_dir):
+    one, two = retrieval.vocabulary(spark, sf_dir), retrieval.vocabulary(spark, sf_dir)
+    assert one.inputFiles() == two.inputFiles() and not any("documents.parquet" in f for f in one.inputFiles())
+    assert one.count() == 100
