@@ -287,6 +287,53 @@ def test_hybrid_search(spark, corpus):
     assert {r.company for r in found if r.query_id == 1} == {"c0", "c1"} and max(r.rank for r in found) == 6
 
 
+def test_tables_are_searched_and_boosted(spark, corpus):
+    """For queries that ask for a figure, chunks with a table are searched alone too and count more in both lists, once; other queries keep their lists."""
+    index = S.SearchIndex.build(spark.createDataFrame(corpus, "point_id long, text string, company string"), Scratch(spark, "test"), dim=64)
+    asked = {1: "w0 w1 w50", 2: "w0 w1 w50", 3: "w7 w8"}
+    questions = {1: "w0 w1 w50 表格 w50 w1 数据", 3: "w7 w8 表格 财务 务指 指标 数据"}
+    queries = spark.createDataFrame([*asked.items(), (4, None)], "query_id long, text string")
+    held = [i for i, _, _ in corpus if i % 20 == 0]
+    tables = spark.createDataFrame([(i,) for i in held * 2], "point_id long")
+    vec, lex = S.boost_tables(index, queries, S.vector(index, queries, 6), S.lexical(index, queries, 9), tables, F.col("query_id").isin(1, 3, 4), ["w50", "w1"], vector_k=6)
+
+    def hashed(text):
+        v = np.zeros(64)
+        for w in text.split():
+            v[int(B.hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        return v / np.linalg.norm(v)
+
+    def best(of, k):
+        return sorted(((i, round(s, 6)) for i, s in of.items() if s > 0), key=lambda x: (-x[1], x[0]))[:k]
+
+    read = lambda hits, q: [(h.point_id, round(h.score, 6)) for h in sorted(hits.filter(F.col("query_id") == q).collect(), key=lambda h: h.rank)]
+    vectors = {i: hashed(t) for i, t, _ in corpus}
+    new = 0
+    for q, text in asked.items():
+        plain = dict(best({i: float(v @ hashed(text)) for i, v in vectors.items()}, 6))
+        alone = dict(best({i: float(vectors[i] @ hashed(questions[q])) for i in held}, 6)) if q in questions else {}
+        want = best({i: max(plain.get(i, 0), 1.5 * alone.get(i, 0)) for i in plain | alone}, 6)
+        got = read(vec, q)
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+        new += len({i for i, _ in got} - set(plain))
+        words = dict(best(scores(corpus, text), 9))
+        want = best({i: s * 1.5 if q in questions and i in held else s for i, s in words.items()}, 9)
+        got = read(lex, q)
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+    assert new > 0 and read(vec, 4) == read(lex, 4) == []
+
+
+def test_questions_for_a_table(spark):
+    """A figure, a word that asks for one or the pattern will do alone; the question names the first three figures of the vocabulary that it has."""
+    texts = ["净利润和毛利率和存货", "见下表", "what is ROE", "hello", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = frame.select(Q.asks_for_figure(F.col("t")).alias("asks"), S.table_question(F.col("t"), Q.FIGURES).alias("q")).collect()
+    assert [r.asks for r in rows] == [True, True, True, False, None]
+    assert [r.q for r in rows] == ["净利润和毛利率和存货 表格 净利润 毛利 毛利率 数据", "见下表 表格 财务指标 数据", "what is ROE 表格 ROE 数据", "hello 表格 财务指标 数据", None]
+    frame = spark.createDataFrame([(0, "the sum"), (1, "this and that"), (2, "x5"), (3, "so")], "i int, t string")
+    assert [r[0] for r in frame.select(Q.asks_for_figure(F.col("t"), ["the"], ["and "], "x[0-9]")).collect()] == [True, True, True, False]
+
+
 def test_viewpoints_and_document_search(spark):
     rows = spark.createDataFrame([(1, 2, "later", None, None, None), (1, 1, "growth", "b", "negative", "falls"), (1, 1, "growth", "a", "odd", "rises")], "query_id long, theme_no int, theme string, source string, stance string, view string")
     assert R.viewpoints(rows, {"positive": "+", "negative": "-"}).first().body == "## growth\n- [a] rises\n- -[b] falls\n## later"
